@@ -11,7 +11,6 @@ directory and everything below it; ``**`` spans directory levels; ``*`` and
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -25,13 +24,22 @@ class Rule:
     source: str
 
 
+_META = set(".^$*+?()[]{}|\\")
+
+
+def _lit(ch: str) -> str:
+    """A literal character, escaped only if it is a regex metacharacter (the
+    result runs in Java regex and RE2 alike)."""
+    return "\\" + ch if ch in _META else ch
+
+
 def _segment(seg: str) -> str:
     """Translate one path component of a glob into a regex fragment."""
     out, i, n = [], 0, len(seg)
     while i < n:
         ch = seg[i]
         if ch == "\\" and i + 1 < n:
-            out.append(re.escape(seg[i + 1]))
+            out.append(_lit(seg[i + 1]))
             i += 2
             continue
         if ch == "*":
@@ -57,7 +65,7 @@ def _segment(seg: str) -> str:
                 out.append(("[^" if neg else "[") + body + "]")
                 i = j
         else:
-            out.append(re.escape(ch))
+            out.append(_lit(ch))
         i += 1
     return "".join(out)
 

@@ -14,10 +14,15 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from treesnap.functions.text import PY_WS_CLASS
 
 # Fixed value: relative import targets in JS/TS sources. A quoted path starting
 # with '.' or '/' directly after `from`, a bare `import`, or `require(`.
-JS_IMPORT_PATTERN = r"""(?:from\s*|import\s*|require\s*\(\s*)['"]([./][^'"]+)['"]"""
+# Whitespace is Python's (see PY_WS_CLASS).
+JS_IMPORT_PATTERN = (r"""(?:from{ws}*|import{ws}*|require{ws}*\({ws}*)['"]([./][^'"]+)['"]"""
+                     .replace("{ws}", PY_WS_CLASS))
 
 # Fixed value: site-relative links in HTML pages.
 HREF_PATTERN = r'href="(/[^"]+)"'
@@ -54,7 +59,7 @@ def python_import_list(source: str) -> list[str]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def py_imports(content: pd.Series) -> pd.Series:
     return content.map(lambda s: python_import_list(s) if isinstance(s, str) else [])
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 # (str.isspace): tab, LF, VT, FF, CR, the four information separators
 # U+001C..U+001F, space, NEL, NBSP, OGHAM SPACE MARK, U+2000..U+200A,
 # LINE SEPARATOR, PARAGRAPH SEPARATOR, NNBSP, MMSP, IDEOGRAPHIC SPACE.
-PY_WS_CLASS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a"
-               "\\u2028\\u2029\\u202f\\u205f\\u3000]")
+PY_WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+               r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 # Sentence count per file size, by line count.
 # fewer than 30 lines -> 2 sentences, fewer than 150 -> 4, otherwise 6.

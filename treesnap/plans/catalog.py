@@ -130,3 +130,251 @@ def q_change_gate(spark, sf_dir):
     cache = TB.previous_cache(docs)
     work = changes.classify(changes.file_meta(files), cache)
     return changes.change_gate(changes.miss_counts(work), TB.previous_synthesis(cache))
+
+
+# ------------------------------------------------------- 2. paths and globs
+from treesnap.functions import globs as G  # noqa: E402
+from treesnap.functions import paths as P  # noqa: E402
+from treesnap.functions.imports import HREF_PATTERN, JS_IMPORT_PATTERN  # noqa: E402
+from treesnap.functions.text import PY_WS_CLASS  # noqa: E402
+from treesnap.operators import deps as D  # noqa: E402
+from treesnap.operators import tree as TR  # noqa: E402
+
+GLOB_INCLUDE = ["**/*.txt", "!src1*/", "src1/", "!**/es/doc_*0.txt"]
+GLOB_EXCLUDE = ["de/", "doc_1?.txt", "es/doc_[0-4]*"]
+
+
+@register("glob_filter", f"""
+  WITH f AS (SELECT source AS project, {DOC_PATH} AS path FROM documents),
+  m AS (SELECT project, path,
+    CASE WHEN regexp_matches(path, '^(?:.+/)?es/doc_[^/]*0\\.txt(?:/.*)?$') THEN FALSE
+         WHEN regexp_matches(path, '^(?:.+/)?src1/.*$') THEN TRUE
+         WHEN regexp_matches(path, '^(?:.+/)?src1[^/]*/.*$') THEN FALSE
+         WHEN regexp_matches(path, '^(?:.+/)?[^/]*\\.txt(?:/.*)?$') THEN TRUE ELSE FALSE END AS inc,
+    CASE WHEN regexp_matches(path, '^es/doc_[0-4][^/]*(?:/.*)?$') THEN TRUE
+         WHEN regexp_matches(path, '^(?:.+/)?doc_1[^/]\\.txt(?:/.*)?$') THEN TRUE
+         WHEN regexp_matches(path, '^(?:.+/)?de/.*$') THEN TRUE ELSE FALSE END AS exc
+    FROM f)
+  SELECT project, path FROM m WHERE inc AND NOT exc""")
+def q_glob_filter(spark, sf_dir):
+    files = TB.files_from_documents(_documents(spark, sf_dir)).select("project", "path")
+    return files.filter(G.select_paths("path", GLOB_INCLUDE, GLOB_EXCLUDE))
+
+
+URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)', 1)"
+
+
+@register("path_parts", f"""
+  WITH u AS (SELECT page_id, {URL_PATH} AS path FROM pages),
+  s AS (SELECT page_id, path, string_split(path, '/') AS parts FROM u)
+  SELECT page_id, path,
+         array_to_string(parts[1:len(parts) - 1], '/') AS parent,
+         parts[len(parts)] AS name,
+         CAST(len(parts) AS INTEGER) AS depth,
+         regexp_extract(parts[len(parts)], '^.+(\\.[^./]+)$', 1) AS suffix,
+         translate(path, '/.-', '___') AS node_id,
+         array_to_string(list_filter(parts, lambda x: x <> '' AND x <> '.'), '/') AS cleaned
+  FROM s""")
+def q_path_parts(spark, sf_dir):
+    pages = TB.table(spark, sf_dir, "pages")
+    u = pages.select("page_id", P.url_path("url").alias("path"))
+    return u.select("page_id", "path", P.parent("path").alias("parent"), P.name("path").alias("name"),
+                    P.depth("path").cast("int").alias("depth"), P.suffix("path").alias("suffix"),
+                    P.node_id("path").alias("node_id"), P.clean("path").alias("cleaned"))
+
+
+@register("slug", """
+  WITH s AS (SELECT p_partkey, p_name,
+                    regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s
+             FROM part)
+  SELECT p_partkey, p_name, CASE WHEN s = '' THEN 'default' ELSE s END AS slug FROM s""")
+def q_slug(spark, sf_dir):
+    part = TB.table(spark, sf_dir, "part")
+    return part.select("p_partkey", "p_name", P.slug("p_name").alias("slug"))
+
+
+# ------------------------------------------------------------------ 3. tree
+SQL_PATHS = f"SELECT source AS project, {DOC_PATH} AS path FROM documents"
+SQL_DIRS = """
+  SELECT project, dir_path,
+         array_to_string(string_split(dir_path, '/')[1:len(string_split(dir_path, '/')) - 1], '/') AS parent,
+         string_split(dir_path, '/')[-1] AS name, CAST(depth AS INTEGER) AS depth
+  FROM (SELECT project, array_to_string(string_split(path, '/')[1:level], '/') AS dir_path, min(level) AS depth
+        FROM (SELECT project, path, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS level
+              FROM ({paths}))
+        GROUP BY 1, 2)"""
+
+
+@register("dir_nodes", SQL_DIRS.format(paths=SQL_PATHS))
+def q_dir_nodes(spark, sf_dir):
+    paths = TB.files_from_documents(_documents(spark, sf_dir)).select("project", "path")
+    return TR.dir_nodes(paths)
+
+
+SQL_TREE_EDGES = """
+  WITH p AS (SELECT project, path, string_split(path, '/') AS parts FROM ({paths})),
+  e AS (SELECT project, path, parts, unnest(generate_series(0, len(parts) - 2)) AS pos FROM p),
+  e2 AS (SELECT project, path, parts, pos,
+           CASE WHEN pos = 0 THEN array_to_string(parts[1:len(parts) - 1], '/')
+                ELSE array_to_string(parts[1:pos], '/') END AS parent_path,
+           CASE WHEN pos = 0 THEN path ELSE array_to_string(parts[1:pos + 1], '/') END AS child_path
+         FROM e),
+  e3 AS (SELECT *, translate(parent_path, '/.-', '___') AS parent_id,
+                translate(child_path, '/.-', '___') AS child_id FROM e2)
+  SELECT project, parent_id, child_id,
+         arg_min(parent_path, {{'k': parts, 'p': pos}}) AS parent_path,
+         arg_min(child_path, {{'k': parts, 'p': pos}}) AS child_path,
+         arg_min(path, {{'k': parts, 'p': pos}}) AS first_file,
+         CAST(arg_min(pos, {{'k': parts, 'p': pos}}) AS INTEGER) AS first_pos
+  FROM e3 GROUP BY project, parent_id, child_id"""
+
+
+@register("tree_edges", SQL_TREE_EDGES.format(paths=SQL_PATHS))
+def q_tree_edges(spark, sf_dir):
+    paths = TB.files_from_documents(_documents(spark, sf_dir)).select("project", "path")
+    return TR.tree_edges(paths)
+
+
+@register("tree_lines", f"""
+  WITH f AS ({SQL_PATHS}),
+  nd AS (
+    SELECT project, path AS node_path,
+           array_to_string(string_split(path, '/')[1:len(string_split(path, '/')) - 1], '/') AS parent,
+           string_split(path, '/')[-1] AS name, CAST(len(string_split(path, '/')) AS INTEGER) AS depth
+    FROM f
+    UNION ALL
+    SELECT project, dir_path, parent, name, depth FROM ({SQL_DIRS.format(paths=SQL_PATHS)})),
+  fl AS (SELECT *, name = max(name) OVER (PARTITION BY project, parent) AS is_last FROM nd),
+  anc AS (SELECT project, node_path, unnest(generate_series(1, depth - 1)) AS level FROM fl),
+  pre AS (
+    SELECT a.project, a.node_path,
+           string_agg(CASE WHEN x.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.level) AS prefix
+    FROM anc a JOIN fl x
+      ON x.project = a.project
+     AND x.node_path = array_to_string(string_split(a.node_path, '/')[1:a.level], '/')
+    GROUP BY a.project, a.node_path)
+  SELECT fl.project, fl.node_path, fl.depth,
+         COALESCE(pre.prefix, '') || CASE WHEN fl.is_last THEN '└── ' ELSE '├── ' END || fl.name AS line
+  FROM fl LEFT JOIN pre ON fl.project = pre.project AND fl.node_path = pre.node_path
+  UNION ALL
+  SELECT DISTINCT project, '' AS node_path, 0 AS depth, project || '/' AS line FROM f""")
+def q_tree_lines(spark, sf_dir):
+    paths = TB.files_from_documents(_documents(spark, sf_dir)).select("project", "path")
+    return TR.tree_lines(paths)
+
+
+# ---------------------------------------------------------- 4. dependencies
+SQL_DEP_FILES = """
+  SELECT lang AS project, source || '/doc_' || CAST(doc_id AS VARCHAR) || '.ts' AS path,
+         'import a from ''../src' || CAST((doc_id * 7) % 20 AS VARCHAR) || '/doc_'
+           || CAST((doc_id * 7) % (SELECT count(*) FROM documents) AS VARCHAR) || '''' || chr(10) || text
+           AS content
+  FROM documents"""
+JS_PAT_SQL = JS_IMPORT_PATTERN.replace("'", "''")
+SQL_RAW_DEPS = f"""
+  SELECT project, path, unnest(deps) AS dep, unnest(generate_series(0, len(deps) - 1)) AS dep_ord
+  FROM (SELECT project, path, regexp_extract_all(content, '{JS_PAT_SQL}', 1) AS deps FROM ({SQL_DEP_FILES}))"""
+
+
+@register("import_extract", f"SELECT project, path, CAST(dep_ord AS INTEGER) AS dep_ord, dep FROM ({SQL_RAW_DEPS})")
+def q_import_extract(spark, sf_dir):
+    files = TB.dependency_files(_documents(spark, sf_dir))
+    return D.raw_dependencies(files).select("project", "path", "dep_ord", "dep")
+
+
+NORMALISE_SQL = """(CASE WHEN NOT r.up THEN array_to_string(r.st, '/') END)"""
+SQL_DEP_EDGES = f"""
+  WITH d AS ({SQL_RAW_DEPS}),
+  b AS (SELECT project, path, dep_ord, dep,
+          CASE WHEN starts_with(dep, '/') THEN regexp_replace(dep, '^/+', '')
+               ELSE CASE WHEN array_to_string(string_split(path, '/')[1:len(string_split(path, '/')) - 1], '/') = ''
+                         THEN dep
+                         ELSE array_to_string(string_split(path, '/')[1:len(string_split(path, '/')) - 1], '/')
+                              || '/' || dep END END AS base
+        FROM d),
+  c AS (SELECT project, path, dep_ord, dep,
+          array_to_string(list_filter(string_split(base, '/'), lambda x: x <> '' AND x <> '.'), '/') AS cleaned
+        FROM b),
+  l AS (SELECT project, path, dep_ord, dep,
+          CASE WHEN regexp_extract(string_split(cleaned, '/')[-1], '^.+(\\.[^./]+)$', 1) = ''
+               THEN [cleaned, cleaned || '.ts', cleaned || '.tsx', cleaned || '.js', cleaned || '.jsx',
+                     cleaned || '.py', cleaned || '/index.ts', cleaned || '/index.tsx', cleaned || '/index.js',
+                     cleaned || '/index.jsx']
+               ELSE [cleaned] END AS cands
+        FROM c),
+  u AS (SELECT project, path, dep_ord, dep, unnest(cands) AS cand,
+               unnest(generate_series(0, len(cands) - 1)) AS prio FROM l),
+  n AS (SELECT project, path, dep_ord, dep, prio,
+          list_reduce(string_split(cand, '/'),
+            lambda acc, x: CASE WHEN x = '' OR x = '.' THEN acc
+                                WHEN x = '..' THEN (CASE WHEN len(acc.st) = 0 THEN {{'st': acc.st, 'up': TRUE}}
+                                                         ELSE {{'st': acc.st[1:len(acc.st) - 1], 'up': acc.up}} END)
+                                ELSE {{'st': list_append(acc.st, x), 'up': acc.up}} END,
+            {{'st': []::VARCHAR[], 'up': FALSE}}) AS r
+        FROM u),
+  n2 AS (SELECT project, path, dep_ord, dep, prio, {NORMALISE_SQL} AS cand FROM n),
+  fs AS (SELECT project, path AS cand FROM ({SQL_DEP_FILES})),
+  res AS (SELECT n2.project, n2.path, n2.dep_ord, n2.dep, arg_min(n2.cand, n2.prio) AS target
+          FROM n2 JOIN fs ON n2.project = fs.project AND n2.cand = fs.cand
+          GROUP BY n2.project, n2.path, n2.dep_ord, n2.dep)
+  SELECT project, path AS src_path, target AS dst_path,
+         translate(path, '/.-', '___') AS src_id, translate(target, '/.-', '___') AS dst_id,
+         CAST(min(dep_ord) AS INTEGER) AS dep_ord
+  FROM res WHERE target <> path GROUP BY project, path, target"""
+
+
+@register("dep_edges", SQL_DEP_EDGES)
+def q_dep_edges(spark, sf_dir):
+    files = TB.dependency_files(_documents(spark, sf_dir))
+    return D.dependency_edges(files)
+
+
+@register("link_extract", f"""
+  SELECT page_id, CAST(link_ord AS INTEGER) AS link_ord, link FROM (
+    SELECT page_id, unnest(l) AS link, unnest(generate_series(0, len(l) - 1)) AS link_ord
+    FROM (SELECT page_id, regexp_extract_all(html, '{HREF_PATTERN}', 1) AS l FROM pages))""")
+def q_link_extract(spark, sf_dir):
+    from treesnap.functions.imports import href_links
+    pages = TB.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.posexplode(href_links(F.col("html"))).alias("link_ord", "link"))
+
+
+@register("py_imports")
+def q_py_imports(spark, sf_dir):
+    files = TB.python_files(_documents(spark, sf_dir))
+    return D.raw_dependencies(files).select("project", "path", "dep_ord", "dep")
+
+
+@register("py_dep_edges")
+def q_py_dep_edges(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return D.dependency_edges(TB.python_files(docs).unionByName(TB.files_from_documents(docs)))
+
+
+SQL_DIAGRAM_TREE = """
+  SELECT project, 0 AS section, '' AS sort_path, 0 AS pos, 'graph TD' AS line FROM (SELECT DISTINCT project FROM ({paths}))
+  UNION ALL
+  SELECT project, 1, dir_path, 0, '    ' || translate(dir_path, '/.-', '___') || '("' || name || '/")'
+  FROM ({dirs})
+  UNION ALL
+  SELECT project, 2, path, 0, '    ' || translate(path, '/.-', '___') || '[' || string_split(path, '/')[-1] || ']'
+  FROM ({paths})
+  UNION ALL
+  SELECT project, 3, first_file, first_pos, '    ' || parent_id || ' --> ' || child_id FROM ({edges})"""
+
+
+@register("diagram_lines", f"""
+  {SQL_DIAGRAM_TREE.format(paths=SQL_DEP_FILES, dirs=SQL_DIRS.format(paths=SQL_DEP_FILES),
+                           edges=SQL_TREE_EDGES.format(paths=SQL_DEP_FILES))}
+  UNION ALL
+  SELECT DISTINCT project, 4, '', x.pos, x.line
+  FROM ({SQL_DEP_EDGES}), (SELECT 0 AS pos, '' AS line UNION ALL SELECT 1, '    %% dependency edges') x
+  UNION ALL
+  SELECT project, 5, arg_min(src_path, {{'k': string_split(src_path, '/'), 'o': dep_ord}}),
+         CAST(arg_min(dep_ord, {{'k': string_split(src_path, '/'), 'o': dep_ord}}) AS INTEGER),
+         '    ' || src_id || ' -.-> ' || dst_id
+  FROM ({SQL_DEP_EDGES}) GROUP BY project, src_id, dst_id""")
+def q_diagram_lines(spark, sf_dir):
+    files = TB.dependency_files(_documents(spark, sf_dir))
+    paths = files.select("project", "path")
+    return TR.diagram_tree_lines(paths).unionByName(D.diagram_dep_lines(D.dependency_edges(files)))
