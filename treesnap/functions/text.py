@@ -25,8 +25,9 @@ def _c(col) -> Column:
 def py_strip(col) -> Column:
     """Python ``str.strip()``: drop leading and trailing Unicode whitespace."""
     c = _c(col)
-    return F.regexp_replace(F.regexp_replace(c, f"^{PY_WS_CLASS}+", ""),
-                            f"{PY_WS_CLASS}+\\z", "")
+    # possessive run before the end anchor: no backtracking inside long runs
+    return F.regexp_replace(F.regexp_replace(c, f"^{PY_WS_CLASS}++", ""),
+                            f"{PY_WS_CLASS}++\\z", "")
 
 
 def blank_to_null(col) -> Column:
@@ -56,12 +57,17 @@ def sentence_count(n_lines) -> Column:
     return expr.otherwise(F.lit(SENTENCE_DEFAULT))
 
 
+# A sentence for the stand-in description: starts at a non-space character
+# and runs to the next run of . ! or ? (or to the end of the text). Every
+# attempt succeeds from its first character, so matching is linear.
+SENTENCE_PATTERN = r"[^.!?\t\n\x0b\f\r ][^.!?]*(?:[.!?]+|\z)"
+
+
 def first_sentences(text, n) -> Column:
     """Deterministic stand-in description: the first ``n`` sentences of the
-    whole text (sentences end at . ! or ? followed by whitespace), stripped."""
-    t = py_strip(text)
-    parts = F.split(t, "(?<=[.!?])\\s+")
-    return py_strip(F.array_join(F.slice(parts, 1, _c(n)), " "))
+    whole text joined by single spaces ('' when the text has none)."""
+    found = F.regexp_extract_all(_c(text), F.lit(SENTENCE_PATTERN), 0)
+    return F.array_join(F.slice(found, F.lit(1), _c(n)), " ")
 
 
 def sha256_hex(content) -> Column:

@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None):
 DOC_PATH = "(source || '/' || lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.txt')"
 N_LINES = "CAST(strlen(text) - strlen(replace(text, chr(10), '')) + 1 AS INTEGER)"
 SENTENCES = "(CASE WHEN {n} < 30 THEN 2 WHEN {n} < 150 THEN 4 ELSE 6 END)"
-SENTENCE_RE = r"[^.!?\t\n\x0b\f\r ][^.!?]*[.!?]+"
+SENTENCE_RE = r"[^.!?\t\n\x0b\f\r ][^.!?]*(?:[.!?]+|\z)"
 
 SQL_FILES = f"""
   SELECT source AS project, {DOC_PATH} AS path, text, sha256(text) AS sha256,
@@ -378,3 +378,292 @@ def q_diagram_lines(spark, sf_dir):
     files = TB.dependency_files(_documents(spark, sf_dir))
     paths = files.select("project", "path")
     return TR.diagram_tree_lines(paths).unionByName(D.diagram_dep_lines(D.dependency_edges(files)))
+
+
+# ------------------------------------------- 5. descriptions and the cache
+from treesnap.operators import describe as DS  # noqa: E402
+from treesnap.operators import registry as R  # noqa: E402
+from treesnap.operators import search as SR  # noqa: E402
+from treesnap.operators import usage as U  # noqa: E402
+from treesnap.streaming import ingest as IG  # noqa: E402
+
+def py_strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{PY_WS_CLASS}+', ''), '{PY_WS_CLASS}+\\z', '')"
+DESC_SQL = f"array_to_string(regexp_extract_all(text, '{SENTENCE_RE}', 0)[1:sentences], ' ')"
+
+
+def _descriptions(spark, sf_dir):
+    files, cache, work = _work(spark, sf_dir)
+    generated = DS.stand_in_descriptions(changes.pending_work(files, work))
+    return files, cache, changes.merge_descriptions(work, generated), generated
+
+
+@register("file_descriptions", f"""
+  WITH w AS ({SQL_WORK})
+  SELECT project, path, sha256, status, COALESCE(cached_description, {DESC_SQL}) AS description FROM w""")
+def q_file_descriptions(spark, sf_dir):
+    _, _, merged, _ = _descriptions(spark, sf_dir)
+    return merged.select("project", "path", "sha256", "status", "description")
+
+
+@register("cache_upsert", f"""
+  WITH w AS ({SQL_WORK}),
+  new AS (SELECT project, path, sha256, {DESC_SQL} AS description FROM w WHERE status <> 'hit'),
+  old AS ({SQL_CACHE})
+  SELECT * FROM new
+  UNION ALL
+  SELECT old.* FROM old ANTI JOIN new ON old.project = new.project AND old.path = new.path""")
+def q_cache_upsert(spark, sf_dir):
+    _, cache, _, generated = _descriptions(spark, sf_dir)
+    return R.upsert(cache, generated, ["project", "path"])
+
+
+@register("file_listing", f"""
+  WITH w AS ({SQL_WORK})
+  SELECT project, path, path || ': ' || COALESCE(cached_description, {DESC_SQL}) AS line FROM w""")
+def q_file_listing(spark, sf_dir):
+    _, _, merged, _ = _descriptions(spark, sf_dir)
+    return merged.select("project", "path", F.concat("path", F.lit(": "), "description").alias("line"))
+
+
+# ------------------------------------------------------------- 6. registry
+SQL_PUSHES = f"""
+  SELECT doc_id, source || '-' || lang AS project,
+         CASE WHEN doc_id < (SELECT count(*) FROM documents) / 2 THEN 0 ELSE 1 END AS batch,
+         {DOC_PATH} AS path,
+         array_to_string(regexp_extract_all(text, '{SENTENCE_RE}', 0)[1:{SENTENCES.format(n=N_LINES)}], ' ')
+           AS description,
+         array_to_string(regexp_extract_all(text, '{SENTENCE_RE}', 0)[1:1], ' ') AS readme,
+         split_part(text, chr(10), 1) AS use_cases,
+         CASE WHEN lang = 'en' THEN '' ELSE '  Write ' || lang || ' prose.  ' END AS conv_user,
+         CASE WHEN lang = 'de' THEN '   ' ELSE 'Sources come from ' || source || '.' END AS conv_ai,
+         source || '-' || lang || '/' || chr(10) || '└── doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS file_tree,
+         'graph TD' || chr(10) || '    ' || translate({DOC_PATH}, '/.-', '___') || '[doc_'
+           || CAST(doc_id AS VARCHAR) || '.txt]' AS architecture
+  FROM documents"""
+SQL_PUSH_CHUNKS = f"""
+  SELECT doc_id, project, batch, 'file:' || path AS id, path, {py_strip_sql('description')} AS text
+  FROM ({SQL_PUSHES}) WHERE {py_strip_sql('description')} <> ''
+  UNION ALL
+  SELECT doc_id, project, batch, 'file:README.md', 'README.md', {py_strip_sql('readme')}
+  FROM ({SQL_PUSHES}) WHERE {py_strip_sql('readme')} <> ''"""
+SQL_LATEST = "SELECT * FROM ({pushes}) QUALIFY row_number() OVER (PARTITION BY project{extra} ORDER BY doc_id DESC) = 1"
+SQL_BATCH_REG = f"""
+  SELECT l.project AS name, l.batch,
+         CAST((SELECT count(*) FROM ({SQL_PUSH_CHUNKS}) c WHERE c.doc_id = l.doc_id) AS INTEGER) AS file_chunk_count
+  FROM ({SQL_LATEST.format(pushes="SELECT * FROM (" + SQL_PUSHES + ") WHERE batch = {b}", extra="")}) l"""
+SQL_REGISTRY = f"""
+  WITH r0 AS ({SQL_BATCH_REG.replace('{b}', '0')}), r1 AS ({SQL_BATCH_REG.replace('{b}', '1')})
+  SELECT r1.name, '{TB.BATCH_TIMES[1].replace(' ', 'T')}+00:00' AS last_indexed_at, r1.file_chunk_count,
+         CASE WHEN r0.name IS NULL THEN 'created' ELSE 'updated' END AS action
+  FROM r1 LEFT JOIN r0 ON r0.name = r1.name
+  UNION ALL
+  SELECT r0.name, '{TB.BATCH_TIMES[0].replace(' ', 'T')}+00:00', r0.file_chunk_count, 'kept'
+  FROM r0 ANTI JOIN r1 ON r0.name = r1.name"""
+
+
+_INGESTED: dict[tuple[str, str], tuple] = {}
+
+
+def _ingested(spark, sf_dir):
+    """Apply the two halves of the push log as batches 0 and 1 to a state
+    folder under the checkpoint directory (state persisted between batches,
+    as a running ingest does). Returns (batch 0, batch 1) results and the
+    final state read back from storage. Reused within one application."""
+    from treesnap.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INGESTED:
+        pushes = TB.snapshot_pushes(_documents(spark, sf_dir))
+        root = scratch_path(spark, "ingest-state")
+        first = IG.ingest_to(spark, pushes.filter("batch = 0").select("value", "doc_id"), root, 0,
+                             TB.BATCH_TIMES[0])
+        second = IG.ingest_to(spark, pushes.filter("batch = 1").select("value", "doc_id"), root, 1,
+                              TB.BATCH_TIMES[1])
+        _INGESTED[key] = (first, second, IG.load_state(spark, root), root)
+    return _INGESTED[key]
+
+
+@register("overview_extract", f"""
+  SELECT doc_id, project,
+         NULLIF({py_strip_sql('use_cases')}, '') AS use_cases,
+         NULLIF(array_to_string(list_filter([
+             CASE WHEN {py_strip_sql('conv_user')} <> ''
+                  THEN '[User-defined]' || chr(10) || {py_strip_sql('conv_user')} END,
+             CASE WHEN {py_strip_sql('conv_ai')} <> ''
+                  THEN '[AI-inferred]' || chr(10) || {py_strip_sql('conv_ai')} END],
+           lambda x: x IS NOT NULL), chr(10) || chr(10)), '') AS conventions,
+         NULLIF({py_strip_sql('architecture')}, '') AS diagram,
+         NULLIF({py_strip_sql('file_tree')}, '') AS file_tree
+  FROM ({SQL_PUSHES})""")
+def q_overview_extract(spark, sf_dir):
+    from treesnap.sources import snapshots as S
+    pushes = TB.snapshot_pushes(_documents(spark, sf_dir))
+    return R.overview_fields(S.accepted(S.parse(pushes)), extra=["doc_id"]).select(
+        "doc_id", "project", "use_cases", "conventions", "diagram", "file_tree")
+
+
+@register("registry_upsert", SQL_REGISTRY)
+def q_registry_upsert(spark, sf_dir):
+    _, second, state, _ = _ingested(spark, sf_dir)
+    acted = second.results.select(F.col("project").alias("name"), "action")
+    reg = state.projects.join(acted, "name", "left")
+    return reg.select("name", F.date_format("last_indexed_at", R.ISO_FORMAT).alias("last_indexed_at"),
+                      "file_chunk_count", F.coalesce("action", F.lit("kept")).alias("action"))
+
+
+@register("chunk_upsert", f"""
+  SELECT project, id, path, text, CAST(doc_id AS BIGINT) AS push_doc
+  FROM ({SQL_PUSH_CHUNKS}) QUALIFY row_number() OVER (PARTITION BY project, id ORDER BY doc_id DESC) = 1""")
+def q_chunk_upsert(spark, sf_dir):
+    _, _, state, _ = _ingested(spark, sf_dir)
+    c = state.chunks
+    # push_order carries generated_at; map it back to the pushing doc_id
+    secs = F.unix_timestamp(F.to_timestamp(F.col("push_order"), "yyyy-MM-dd'T'HH:mm:ssXXX")) - \
+        F.unix_timestamp(F.lit(TB.PUSH_EPOCH))
+    return c.select("project", "id", "path", "text", secs.cast("bigint").alias("push_doc"))
+
+
+@register("list_projects", f"""
+  WITH reg AS ({SQL_REGISTRY})
+  SELECT name AS project, file_chunk_count AS chunks, last_indexed_at FROM reg ORDER BY name""")
+def q_list_projects(spark, sf_dir):
+    _, _, state, _ = _ingested(spark, sf_dir)
+    return R.list_projects(state.projects)
+
+
+SQL_OVERVIEWS = f"""
+  SELECT project,
+         NULLIF({py_strip_sql('use_cases')}, '') AS use_cases,
+         NULLIF(array_to_string(list_filter([
+             CASE WHEN {py_strip_sql('conv_user')} <> ''
+                  THEN '[User-defined]' || chr(10) || {py_strip_sql('conv_user')} END,
+             CASE WHEN {py_strip_sql('conv_ai')} <> ''
+                  THEN '[AI-inferred]' || chr(10) || {py_strip_sql('conv_ai')} END],
+           lambda x: x IS NOT NULL), chr(10) || chr(10)), '') AS conventions,
+         NULLIF({py_strip_sql('architecture')}, '') AS diagram,
+         NULLIF({py_strip_sql('file_tree')}, '') AS file_tree
+  FROM ({SQL_LATEST.format(pushes=SQL_PUSHES, extra='')})"""
+LOOKUP_FIELDS = ("use_cases", "conventions", "diagram", "file_tree", "summary")
+
+
+def _overview_requests(spark, sf_dir):
+    b = TB.table(spark, sf_dir, "benchmark")
+    fields = F.array(*[F.lit(f) for f in LOOKUP_FIELDS])
+    return b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 24).cast("string"),
+                                        F.lit("-en")).alias("project"),
+                    F.element_at(fields, (F.col("item_id") % len(LOOKUP_FIELDS) + 1).cast("int")).alias("field"))
+
+
+@register("overview_lookup", f"""
+  WITH req AS (
+    SELECT item_id, 'src' || CAST(item_id % 24 AS VARCHAR) || '-en' AS project,
+           {list(LOOKUP_FIELDS)}[item_id % {len(LOOKUP_FIELDS)} + 1] AS field FROM benchmark),
+  ov AS ({SQL_OVERVIEWS}),
+  j AS (SELECT req.item_id, req.project, req.field, ov.project IS NOT NULL AS known,
+          CASE req.field WHEN 'use_cases' THEN ov.use_cases WHEN 'conventions' THEN ov.conventions
+                         WHEN 'diagram' THEN ov.diagram WHEN 'file_tree' THEN ov.file_tree END AS v
+        FROM req LEFT JOIN ov ON ov.project = req.project)
+  SELECT item_id, project, field,
+         CASE WHEN known AND v IS NOT NULL AND v <> '' THEN v END AS value,
+         CASE WHEN NOT known THEN 'Unknown project ''' || project || ''''
+              WHEN v IS NULL OR v = '' THEN 'No ' || field || ' found for project ''' || project || '''' END AS error
+  FROM j""")
+def q_overview_lookup(spark, sf_dir):
+    _, _, state, _ = _ingested(spark, sf_dir)
+    req = _overview_requests(spark, sf_dir)
+    return R.overview_lookup(req.select("project", "field", "item_id"), state.overviews)
+
+
+@register("file_lookup", f"""
+  WITH req AS (SELECT DISTINCT 'src' || CAST(doc_id % 20 AS VARCHAR) || '/en/doc_' || CAST(doc_id AS VARCHAR)
+                      || '.txt' AS path FROM labels),
+  ch AS ({SQL_PUSH_CHUNKS})
+  SELECT req.path, ch.project, ch.text,
+         CASE WHEN ch.project IS NULL THEN 'File not found in index: ' || req.path END AS error
+  FROM req LEFT JOIN ch ON ch.id = 'file:' || req.path""")
+def q_file_lookup(spark, sf_dir):
+    _, _, state, _ = _ingested(spark, sf_dir)
+    labels = TB.table(spark, sf_dir, "labels")
+    req = labels.select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit("/en/doc_"),
+                                 F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")).distinct()
+    return R.file_lookup(req, state.chunks)
+
+
+@register("collections", f"""
+  WITH ch AS (SELECT * FROM ({SQL_PUSH_CHUNKS})
+              QUALIFY row_number() OVER (PARTITION BY project, id ORDER BY doc_id DESC) = 1),
+  g AS (SELECT project, count(*) AS chunks FROM ch GROUP BY project),
+  s AS (SELECT project, chunks,
+          regexp_replace(regexp_replace(lower(project), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM g)
+  SELECT project, CASE WHEN s = '' THEN 'default' ELSE s END AS collection, CAST(chunks AS BIGINT) AS chunks,
+         chunks = 0 AS is_empty FROM s""")
+def q_collections(spark, sf_dir):
+    _, _, state, _ = _ingested(spark, sf_dir)
+    return R.collections(state.chunks)
+
+
+# ---------------------------------------------------------------- 7. search
+SQL_KNN = """
+  WITH q AS (SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+  c AS (SELECT CAST(label AS VARCHAR) AS project, vec_id, 'file:vec_' || CAST(vec_id AS VARCHAR) AS id, embedding
+        FROM embeddings),
+  d AS (SELECT q.query_id, c.project, c.vec_id, c.id,
+               list_sum(list_transform(list_zip(c.embedding, q.qv),
+                                       lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ^ 2)) AS dist
+        FROM q, c),
+  pp AS (SELECT *, row_number() OVER (PARTITION BY query_id, project ORDER BY dist, id) AS prank FROM d
+         QUALIFY prank <= 5)"""
+
+
+def _knn_inputs(spark, sf_dir):
+    emb = TB.table(spark, sf_dir, "embeddings")
+    bench = TB.table(spark, sf_dir, "benchmark")
+    chunks = emb.select(F.col("label").cast("string").alias("project"),
+                        F.concat(F.lit("file:vec_"), F.col("vec_id").cast("string")).alias("id"),
+                        "vec_id", "embedding")
+    queries = bench.join(emb, bench.item_id == emb.vec_id, "inner").select(
+        F.col("item_id").alias("query_id"), "embedding")
+    return chunks, queries
+
+
+@register("knn_per_project", SQL_KNN + """
+  SELECT query_id, project, CAST(prank AS INTEGER) AS rank, vec_id, round(1 - dist, 4) AS score FROM pp""")
+def q_knn_per_project(spark, sf_dir):
+    chunks, queries = _knn_inputs(spark, sf_dir)
+    pp = SR.per_project(SR.candidates(chunks, queries, 5), 5)
+    return pp.select("query_id", "project", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@register("knn_global", SQL_KNN + """
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, project, vec_id, score FROM (
+    SELECT *, round(1 - dist, 4) AS score,
+           row_number() OVER (PARTITION BY query_id ORDER BY round(1 - dist, 4) DESC, project, dist, id) AS rank
+    FROM pp) WHERE rank <= 5""")
+def q_knn_global(spark, sf_dir):
+    chunks, queries = _knn_inputs(spark, sf_dir)
+    g = SR.search(chunks, queries, k=5)
+    return g.select("query_id", F.col("rank").cast("int").alias("rank"), "project", "vec_id", "score")
+
+
+@register("text_search")
+def q_text_search(spark, sf_dir):
+    """Benchmark texts as queries against the ingested description chunks,
+    both embedded with the stand-in embedding (rows-only check)."""
+    _, _, state, _ = _ingested(spark, sf_dir)
+    bench = TB.table(spark, sf_dir, "benchmark")
+    queries = DS.with_hashed_embedding(bench.select(F.col("item_id").alias("query_id"), "text")).drop("text")
+    chunks = state.chunks.select("project", "id", "path", "embedding")
+    return SR.search(chunks, queries, k=5, metric="cosine").select("query_id", "rank", "project", "id", "score")
+
+
+# ----------------------------------------------------------------- 8. usage
+@register("token_usage", """
+  SELECT conv_id,
+         CAST(sum(CASE WHEN role <> 'assistant' THEN (strlen(text) + 3) // 4 ELSE 0 END) AS BIGINT) AS input_tokens,
+         CAST(sum(CASE WHEN role = 'assistant' THEN (strlen(text) + 3) // 4 ELSE 0 END) AS BIGINT) AS output_tokens,
+         CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS calls,
+         CAST(sum((strlen(text) + 3) // 4) AS BIGINT) AS total_tokens
+  FROM conversations GROUP BY conv_id""")
+def q_token_usage(spark, sf_dir):
+    conv = TB.table(spark, sf_dir, "conversations")
+    return U.usage(U.call_log_from_turns(conv), ["conv_id"])

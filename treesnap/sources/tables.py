@@ -82,3 +82,41 @@ def python_files(documents: DataFrame) -> DataFrame:
         F.col("source").alias("project"),
         F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
         body.cast("binary").alias("content"))
+
+
+# Fixed values for the push log: first push time and the two batch times.
+PUSH_EPOCH = "2026-01-01 00:00:00"
+BATCH_TIMES = ("2026-01-10 00:00:00", "2026-01-11 00:00:00")
+
+
+def snapshot_pushes(documents: DataFrame) -> DataFrame:
+    """A log of pushed snapshot documents, one per ``documents`` row, as
+    JSON text: project = <source>-<lang>; the file map holds the document's
+    own path and the project's README.md (so later pushes replace earlier
+    chunks); pushes are ordered by doc_id through ``generated_at``. Columns:
+    doc_id, batch (0 for the first half of doc_ids, 1 for the rest), value."""
+    from treesnap.functions import paths as P
+    from treesnap.functions.text import first_sentences, line_count, sentence_count
+
+    n = documents.select(F.count(F.lit(1))).scalar()
+    project = F.concat(F.col("source"), F.lit("-"), F.col("lang"))
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(PUSH_EPOCH)) + F.col("doc_id"))
+    gen = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
+    path = doc_path()
+    desc = first_sentences(F.col("text"), sentence_count(line_count(F.col("text"))))
+    readme = first_sentences(F.col("text"), F.lit(1))
+    doc = F.struct(
+        F.struct(project.alias("name"), gen.alias("generated_at"), F.lit(2).alias("file_count")).alias("metadata"),
+        F.lit("").alias("instructions"),
+        F.substring_index(F.col("text"), "\n", 1).alias("use_cases"),
+        F.struct(F.when(F.col("lang") == "en", F.lit("")).otherwise(
+                     F.concat(F.lit("  Write "), F.col("lang"), F.lit(" prose.  "))).alias("user"),
+                 F.when(F.col("lang") == "de", F.lit("   ")).otherwise(
+                     F.concat(F.lit("Sources come from "), F.col("source"), F.lit("."))).alias("ai")
+                 ).alias("conventions"),
+        F.concat(project, F.lit("/\n└── doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_tree"),
+        F.concat(F.lit("graph TD\n    "), P.node_id(path), F.lit("[doc_"), F.col("doc_id").cast("string"),
+                 F.lit(".txt]")).alias("architecture"),
+        F.create_map(path, desc, F.lit("README.md"), readme).alias("files"))
+    return documents.select("doc_id", F.when(F.col("doc_id") < n / 2, 0).otherwise(1).alias("batch"),
+                            F.to_json(doc).alias("value"))
