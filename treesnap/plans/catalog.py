@@ -667,3 +667,88 @@ def q_text_search(spark, sf_dir):
 def q_token_usage(spark, sf_dir):
     conv = TB.table(spark, sf_dir, "conversations")
     return U.usage(U.call_log_from_turns(conv), ["conv_id"])
+
+
+# ------------------------------------------------------- 9. build + stream
+from treesnap.plans import build as BLD  # noqa: E402
+
+GENERATED_AT = "2026-01-12T00:00:00+00:00"
+
+
+def _build(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    cache = TB.previous_cache(docs)
+    settings = BLD.BuildSettings(generated_at=GENERATED_AT, instructions="Answer questions about the corpus.")
+    return BLD.build(TB.files_from_documents(docs), cache, TB.previous_synthesis(cache), settings)
+
+
+@register("synthesis_merge", f"""
+  WITH w AS ({SQL_WORK}),
+  cache AS ({SQL_CACHE}),
+  prev AS (SELECT project, 'graph LR' || chr(10) || '    user --> ' || project AS use_cases,
+                  '- ' || CAST(count(*) AS VARCHAR) || ' files described' AS conventions_ai
+           FROM cache GROUP BY project),
+  counts AS (SELECT project, count(*) AS total_files, count(*) FILTER (WHERE status <> 'hit') AS miss_files
+             FROM w GROUP BY project),
+  gate AS (SELECT counts.project, total_files FROM counts LEFT JOIN prev ON prev.project = counts.project
+           WHERE prev.project IS NULL OR miss_files / total_files >= 0.2),
+  tops AS (SELECT project, count(*) AS n_top, arg_max(top, {{'c': c, 't': top}}) AS main_top FROM (
+             SELECT project, string_split(path, '/')[1] AS top, count(*) AS c FROM w
+             WHERE len(string_split(path, '/')) > 1 GROUP BY 1, 2) GROUP BY project),
+  exts AS (SELECT project, arg_max(ext, {{'c': c, 'e': ext}}) AS main_ext FROM (
+             SELECT project, lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^./]+)$', 1)) AS ext,
+                    count(*) AS c FROM w GROUP BY 1, 2) GROUP BY project),
+  regen AS (
+    SELECT gate.project,
+           'graph LR' || chr(10) || '    user((User)) --> ' || gate.project || chr(10) || '    ' || gate.project
+             || ' --> ' || COALESCE(main_top, 'root') AS use_cases,
+           '- ' || CAST(total_files AS VARCHAR) || ' files across ' || CAST(COALESCE(n_top, 0) AS VARCHAR)
+             || ' top-level directories' || chr(10) || '- most files are .' || COALESCE(NULLIF(main_ext, ''), '(none)')
+             AS conventions_ai
+    FROM gate LEFT JOIN tops ON tops.project = gate.project LEFT JOIN exts ON exts.project = gate.project)
+  SELECT project, use_cases, conventions_ai, TRUE AS regenerated FROM regen
+  UNION ALL
+  SELECT prev.project, prev.use_cases, prev.conventions_ai, FALSE FROM prev ANTI JOIN regen USING (project)""")
+def q_synthesis_merge(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    files, cache, work = _work(spark, sf_dir)
+    gate = changes.change_gate(changes.miss_counts(work), TB.previous_synthesis(cache))
+    regen = DS.stand_in_synthesis(gate, work)
+    merged = DS.merge_synthesis(TB.previous_synthesis(cache), regen)
+    flag = regen.select("project", F.lit(True).alias("regenerated"))
+    return merged.join(flag, "project", "left").select(
+        "project", "use_cases", "conventions_ai", F.coalesce("regenerated", F.lit(False)).alias("regenerated"))
+
+
+@register("snapshot_json")
+def q_snapshot_json(spark, sf_dir):
+    """Every project's snapshot document as ordered JSON lines (rows-only
+    check: the text escaping is the JSON writer's)."""
+    res = _build(spark, sf_dir)
+    return res.document_lines.select("project", "sec", F.col("ord.k1").alias("k1"),
+                                     F.array_join("ord.k2", "/").alias("k2"), F.col("ord.k3").alias("k3"), "line")
+
+
+@register("stream_ingest", SQL_REGISTRY)
+def q_stream_ingest(spark, sf_dir):
+    """The push log landed as JSON Lines in two drops, each consumed by a
+    Structured Streaming availableNow run (foreachBatch ingest). Result: the
+    registry after both micro-batches, as in ``registry_upsert``."""
+    from treesnap.session import scratch_path
+    pushes = TB.snapshot_pushes(_documents(spark, sf_dir))
+    landing, root, ckpt = (scratch_path(spark, n) for n in ("landing", "stream-state", "stream-ckpt"))
+    clock = lambda batch_id: F.lit(TB.BATCH_TIMES[min(batch_id, 1)]).cast("timestamp")
+    for b in (0, 1):
+        pushes.filter(F.col("batch") == b).select("value").write.mode("append").text(landing)
+        q = IG.start_stream(spark, landing, root, ckpt, clock=clock, available_now=True)
+        q.awaitTermination()
+    state = IG.load_state(spark, root)
+    prev = IG._versions(spark, f"{root}/projects")[-2]
+    before = spark.read.parquet(f"{root}/projects/v={prev}").select("name", F.lit(True).alias("_known"))
+    touched = state.projects.filter(F.col("last_indexed_at") == F.lit(TB.BATCH_TIMES[1]).cast("timestamp"))
+    action = (F.when(F.col("_t").isNull(), F.lit("kept"))
+              .when(F.col("_known"), F.lit("updated")).otherwise(F.lit("created")))
+    reg = (state.projects.join(touched.select("name", F.lit(True).alias("_t")), "name", "left")
+           .join(before, "name", "left"))
+    return reg.select("name", F.date_format("last_indexed_at", R.ISO_FORMAT).alias("last_indexed_at"),
+                      "file_chunk_count", action.alias("action"))
