@@ -31,7 +31,10 @@ def raw_dependencies(files: DataFrame, registry=None) -> DataFrame:
     f = files.select("project", "path", ext.alias("ext"), "content").filter(F.col("ext").isin(list(reg)))
     deps = I.extract(F.col("ext"), T.utf8_text("content"), reg)
     d = f.select("project", "path", "ext", deps.alias("deps"))
-    return d.select("project", "path", "ext", F.posexplode("deps").alias("dep_ord", "dep"))
+    # outer explode + null filter: a plain explode makes Spark infer a
+    # size(deps) > 0 filter below the projection and run the parser twice
+    e = d.select("project", "path", "ext", F.posexplode_outer("deps").alias("dep_ord", "dep"))
+    return e.filter(F.col("dep").isNotNull())
 
 
 def _js_candidates(src_path, dep):
@@ -69,7 +72,7 @@ def candidates(deps: DataFrame) -> DataFrame:
     cand = (F.when(F.col("ext") == "py", _py_candidates(src, dep))
             .when(js_like, _js_candidates(src, dep))
             .otherwise(F.array(F.concat(F.replace(dep, F.lit("."), F.lit("/")), F.lit(".py")))))
-    c = deps.select("project", "path", "dep_ord", "dep", F.posexplode(cand).alias("prio", "candidate"))
+    c = deps.select("project", "path", "dep_ord", "dep", F.posexplode_outer(cand).alias("prio", "candidate"))
     return c.filter(F.col("candidate").isNotNull())
 
 

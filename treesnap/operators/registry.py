@@ -43,9 +43,9 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def chunks_from_documents(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """One chunk per file entry with a non-blank description:
     (project, id='file:'+path, path, text=stripped description)."""
-    e = docs.select("project", *extra, F.explode("files").alias("path", "description"))
+    e = docs.select("project", *extra, F.explode_outer("files").alias("path", "description"))
     text = py_strip("description")
-    return (e.filter(F.col("description").isNotNull() & (text != ""))
+    return (e.filter(F.col("path").isNotNull() & F.col("description").isNotNull() & (text != ""))
             .select("project", F.concat(F.lit(CHUNK_ID_PREFIX), F.col("path")).alias("id"), "path",
                     text.alias("text"), *extra))
 

@@ -336,7 +336,8 @@ def q_dep_edges(spark, sf_dir):
 def q_link_extract(spark, sf_dir):
     from treesnap.functions.imports import href_links
     pages = TB.table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.posexplode(href_links(F.col("html"))).alias("link_ord", "link"))
+    e = pages.select("page_id", F.posexplode_outer(href_links(F.col("html"))).alias("link_ord", "link"))
+    return e.filter(F.col("link").isNotNull())
 
 
 @register("py_imports")
