@@ -753,3 +753,56 @@ def q_stream_ingest(spark, sf_dir):
            .join(before, "name", "left"))
     return reg.select("name", F.date_format("last_indexed_at", R.ISO_FORMAT).alias("last_indexed_at"),
                       "file_chunk_count", action.alias("action"))
+
+
+# ------------------------------------------------ 10. filters and counters
+FILTER_PROJECTS = ("1", "3", "7")
+
+
+@register("knn_filtered", SQL_KNN.replace(
+    "FROM embeddings),", f"FROM embeddings WHERE CAST(label AS VARCHAR) IN {FILTER_PROJECTS}),") + """
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, project, vec_id, score FROM (
+    SELECT *, round(1 - dist, 4) AS score,
+           row_number() OVER (PARTITION BY query_id ORDER BY round(1 - dist, 4) DESC, project, dist, id) AS rank
+    FROM pp) WHERE rank <= 5""")
+def q_knn_filtered(spark, sf_dir):
+    """Search restricted to a list of projects (semi-join with the list)."""
+    chunks, queries = _knn_inputs(spark, sf_dir)
+    wanted = spark.createDataFrame([(p,) for p in FILTER_PROJECTS], "name string")
+    g = SR.search(chunks, queries, k=5, projects=wanted)
+    return g.select("query_id", F.col("rank").cast("int").alias("rank"), "project", "vec_id", "score")
+
+
+@register("cache_size", f"""
+  WITH w AS ({SQL_WORK}),
+  new AS (SELECT project, path FROM w WHERE status <> 'hit'),
+  old AS ({SQL_CACHE}),
+  c AS (SELECT project, path FROM new UNION ALL
+        SELECT old.project, old.path FROM old ANTI JOIN new ON old.project = new.project AND old.path = new.path)
+  SELECT project, CAST(count(*) AS BIGINT) AS entries FROM c GROUP BY project""")
+def q_cache_size(spark, sf_dir):
+    _, cache, _, generated = _descriptions(spark, sf_dir)
+    c = R.upsert(cache, generated, ["project", "path"])
+    return c.groupBy("project").agg(F.count(F.lit(1)).cast("bigint").alias("entries"))
+
+
+@register("ingest_results", f"""
+  WITH r0 AS ({SQL_BATCH_REG.replace('{b}', '0')}), r1 AS ({SQL_BATCH_REG.replace('{b}', '1')}),
+  ov AS ({SQL_OVERVIEWS.replace(SQL_LATEST.format(pushes=SQL_PUSHES, extra=''),
+                                SQL_LATEST.format(pushes="SELECT * FROM (" + SQL_PUSHES + ") WHERE batch = 1",
+                                                  extra=''))})
+  SELECT 'ok' AS status, r1.name AS project, r1.file_chunk_count AS chunks,
+         CASE WHEN r0.name IS NULL THEN 'created' ELSE 'updated' END AS action,
+         '{TB.BATCH_TIMES[1].replace(' ', 'T')}+00:00' AS indexed_at,
+         array_to_string(list_filter(['use_cases', 'conventions', 'diagram', 'file_tree'],
+           lambda f: CASE f WHEN 'use_cases' THEN ov.use_cases IS NOT NULL
+                            WHEN 'conventions' THEN ov.conventions IS NOT NULL
+                            WHEN 'diagram' THEN ov.diagram IS NOT NULL
+                            ELSE ov.file_tree IS NOT NULL END), ',') AS overview_fields
+  FROM r1 LEFT JOIN r0 ON r0.name = r1.name JOIN ov ON ov.project = r1.name""")
+def q_ingest_results(spark, sf_dir):
+    """Per-project result rows of the second ingest batch (action, chunk
+    count, timestamp and the overview fields present)."""
+    _, second, _, _ = _ingested(spark, sf_dir)
+    return second.results.select("status", "project", "chunks", "action", "indexed_at",
+                                 F.array_join("overview_fields", ",").alias("overview_fields"))

@@ -28,14 +28,17 @@ def _text_field(v, path: str):
 
 def parse(raw: DataFrame, value: str = "value") -> DataFrame:
     """Rows with a JSON text column -> typed snapshot columns plus
-    ``error`` (NULL for accepted documents). Other input columns are kept."""
-    v = F.try_parse_json(F.col(value))
+    ``error`` (NULL for accepted documents). Other input columns are kept.
+    The text is parsed once into a VARIANT column; every field is read from
+    that column."""
+    keep = [c for c in raw.columns if c != value]
+    parsed = raw.select(*keep, F.try_parse_json(F.col(value)).alias("_v"))
+    v = F.col("_v")
     name = F.try_variant_get(v, "$.metadata.name", "string")
     not_object = v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")
     error = (F.when(not_object, F.lit(INVALID_JSON))
              .when(name.isNull() | (name == ""), F.lit(MISSING_NAME)))
-    keep = [c for c in raw.columns if c != value]
-    return raw.select(
+    return parsed.select(
         *keep,
         name.alias("project"),
         F.try_variant_get(v, "$.metadata.generated_at", "string").alias("generated_at"),

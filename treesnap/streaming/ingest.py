@@ -143,15 +143,14 @@ def load_state(spark: SparkSession, root: str) -> State:
 
 def save_batch(result: BatchResult, root: str, batch_id: int) -> None:
     """Write chunks of touched projects (dynamic partition overwrite), then the
-    overview and registry versions. Inputs are materialised first so no plan
-    reads the files it overwrites."""
+    overview and registry versions. The chunk rows are materialised first
+    because their plan reads the partitions being overwritten; the versions
+    go to new folders and are written directly."""
     chunks = materialize(result.touched_chunks, "chunks")
     (chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("project").parquet(f"{root}/chunks"))
-    materialize(result.state.overviews, "overviews").write.mode("overwrite").parquet(
-        f"{root}/overviews/v={batch_id}")
-    materialize(result.state.projects, "projects").write.mode("overwrite").parquet(
-        f"{root}/projects/v={batch_id}")
+    result.state.overviews.write.mode("overwrite").parquet(f"{root}/overviews/v={batch_id}")
+    result.state.projects.write.mode("overwrite").parquet(f"{root}/projects/v={batch_id}")
 
 
 def ingest_to(spark: SparkSession, raw: DataFrame, root: str, batch_id: int, indexed_at,
@@ -159,8 +158,6 @@ def ingest_to(spark: SparkSession, raw: DataFrame, root: str, batch_id: int, ind
     """Load state, apply one batch, persist it."""
     state = load_state(spark, root)
     res = ingest_batch(state, raw, indexed_at, list(order_cols), persist=True)
-    res.results = materialize(res.results, "results")
-    res.rejected = materialize(res.rejected, "rejected")
     save_batch(res, root, batch_id)
     return res
 
