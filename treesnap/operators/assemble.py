@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from treesnap.functions import paths as P
 from treesnap.functions.text import py_strip
+from treesnap.session import bounded_broadcast
 from treesnap.operators.tree import SEC_DIRS
 
 ORD_TYPE = "struct<k1:int,k2:array<string>,k3:int>"
@@ -44,15 +45,18 @@ def _ord(k1=0, k2=None, k3=0):
                     F.lit(k3).cast("int").alias("k3") if isinstance(k3, int) else k3.cast("int").alias("k3"))
 
 
-def _fixed(meta: DataFrame, sec: int, text) -> DataFrame:
-    return meta.select("project", F.lit(sec).alias("sec"), _ord().alias("ord"), text.alias("line"))
+def _fixed(meta: DataFrame, lines: list[tuple[int, F.Column]]) -> DataFrame:
+    """All single lines of every document from one pass over ``meta``."""
+    items = F.array(*[F.struct(F.lit(sec).alias("sec"), text.alias("line")) for sec, text in lines])
+    e = meta.select("project", F.explode(items).alias("l"))
+    return e.select("project", F.col("l.sec").alias("sec"), _ord().alias("ord"), F.col("l.line").alias("line"))
 
 
 def _listed(df: DataFrame, sec: int, ord_col, item) -> DataFrame:
     """List items of one section with a trailing comma on all but the last."""
     rows = df.select("project", F.lit(sec).alias("sec"), ord_col.alias("ord"), item.alias("item"))
     last = rows.groupBy("project").agg(F.max("ord").alias("_last"))
-    j = rows.join(last, "project", "inner")
+    j = rows.join(bounded_broadcast(last, "last-item"), "project", "inner")
     line = F.concat(F.lit("    "), F.col("item"), F.when(F.col("ord") != F.col("_last"), F.lit(",")).otherwise(F.lit("")))
     return j.select("project", "sec", "ord", line.alias("line"))
 
@@ -66,41 +70,38 @@ def document_lines(meta: DataFrame, tree_lines: DataFrame, diagram_lines: DataFr
     tree_lines: (project, node_path, line); diagram_lines: (project,
     section, sort_path, pos, line); descriptions: (project, path,
     description). Returns (project, sec, ord, line)."""
-    m = meta
     s = lambda c: json_string(py_strip(F.coalesce(F.col(c), F.lit(""))))
-    parts = [
-        _fixed(m, S_OPEN, F.lit("{")),
-        _fixed(m, S_META_OPEN, F.lit('  "metadata": {')),
-        _fixed(m, S_NAME, F.concat(F.lit('    "name": '), json_string(F.col("project")), F.lit(","))),
-        _fixed(m, S_GENERATED, F.concat(F.lit('    "generated_at": '), json_string(F.col("generated_at")), F.lit(","))),
-        _fixed(m, S_COUNT, F.concat(F.lit('    "file_count": '), F.col("file_count").cast("string"))),
-        _fixed(m, S_META_CLOSE, F.lit("  },")),
-        _fixed(m, S_INSTR, F.concat(F.lit('  "instructions": '), s("instructions"), F.lit(","))),
-        _fixed(m, S_USE, F.concat(F.lit('  "use_cases": '), s("use_cases"), F.lit(","))),
-        _fixed(m, S_CONV_OPEN, F.lit('  "conventions": {')),
-        _fixed(m, S_CONV_USER, F.concat(F.lit('    "user": '), s("conventions_user"), F.lit(","))),
-        _fixed(m, S_CONV_AI, F.concat(F.lit('    "ai": '), s("conventions_ai"))),
-        _fixed(m, S_CONV_CLOSE, F.lit("  },")),
-        _fixed(m, S_TREE_OPEN, F.lit('  "file_tree": [')),
-        _listed(tree_lines, S_TREE,
-                _ord(0, F.when(F.col("node_path") == "", F.array().cast("array<string>"))
-                     .otherwise(P.parts("node_path"))), json_string(F.col("line"))),
-        _fixed(m, S_TREE_CLOSE, F.lit("  ],")),
-        _fixed(m, S_ARCH_OPEN, F.lit('  "architecture": [')),
-        _listed(diagram_lines, S_ARCH,
-                _ord(F.col("section"), F.when(F.col("section") == SEC_DIRS, F.array(F.col("sort_path")))
-                     .otherwise(P.parts("sort_path")), F.col("pos")), json_string(F.col("line"))),
-        _fixed(m, S_ARCH_CLOSE, F.lit("  ],")),
-        _fixed(m, S_FILES_OPEN, F.lit('  "files": {')),
-        _listed(descriptions, S_FILES, _ord(0, F.array(F.col("path"))),
-                F.concat(json_string(F.col("path")), F.lit(": "), json_string(F.coalesce("description", F.lit(""))))),
-        _fixed(m, S_FILES_CLOSE, F.lit("  }")),
-        _fixed(m, S_CLOSE, F.lit("}")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fixed = _fixed(meta, [
+        (S_OPEN, F.lit("{")),
+        (S_META_OPEN, F.lit('  "metadata": {')),
+        (S_NAME, F.concat(F.lit('    "name": '), json_string(F.col("project")), F.lit(","))),
+        (S_GENERATED, F.concat(F.lit('    "generated_at": '), json_string(F.col("generated_at")), F.lit(","))),
+        (S_COUNT, F.concat(F.lit('    "file_count": '), F.col("file_count").cast("string"))),
+        (S_META_CLOSE, F.lit("  },")),
+        (S_INSTR, F.concat(F.lit('  "instructions": '), s("instructions"), F.lit(","))),
+        (S_USE, F.concat(F.lit('  "use_cases": '), s("use_cases"), F.lit(","))),
+        (S_CONV_OPEN, F.lit('  "conventions": {')),
+        (S_CONV_USER, F.concat(F.lit('    "user": '), s("conventions_user"), F.lit(","))),
+        (S_CONV_AI, F.concat(F.lit('    "ai": '), s("conventions_ai"))),
+        (S_CONV_CLOSE, F.lit("  },")),
+        (S_TREE_OPEN, F.lit('  "file_tree": [')),
+        (S_TREE_CLOSE, F.lit("  ],")),
+        (S_ARCH_OPEN, F.lit('  "architecture": [')),
+        (S_ARCH_CLOSE, F.lit("  ],")),
+        (S_FILES_OPEN, F.lit('  "files": {')),
+        (S_FILES_CLOSE, F.lit("  }")),
+        (S_CLOSE, F.lit("}")),
+    ])
+    tree = _listed(tree_lines, S_TREE,
+                   _ord(0, F.when(F.col("node_path") == "", F.array().cast("array<string>"))
+                        .otherwise(P.parts("node_path"))), json_string(F.col("line")))
+    arch = _listed(diagram_lines, S_ARCH,
+                   _ord(F.col("section"), F.when(F.col("section") == SEC_DIRS, F.array(F.col("sort_path")))
+                        .otherwise(P.parts("sort_path")), F.col("pos")), json_string(F.col("line")))
+    files = _listed(descriptions, S_FILES, _ord(0, F.array(F.col("path"))),
+                    F.concat(json_string(F.col("path")), F.lit(": "),
+                             json_string(F.coalesce("description", F.lit("")))))
+    return fixed.unionByName(tree).unionByName(arch).unionByName(files)
 
 
 def write_documents(lines: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from treesnap.functions import paths as P
 from treesnap.functions.text import blank_to_null, py_strip
+from treesnap.session import bounded_broadcast
 
 # Overview fields in their fixed order, and the conventions
 # block labels.
@@ -104,7 +105,7 @@ def overview_lookup(requests: DataFrame, overviews: DataFrame) -> DataFrame:
     value. Other request columns are passed through."""
     ov = overviews.select("project", F.lit(True).alias("_known"),
                           F.create_map(*[x for f in OVERVIEW_FIELDS for x in (F.lit(f), F.col(f))]).alias("_m"))
-    j = requests.join(ov, "project", "left")
+    j = requests.join(bounded_broadcast(ov, "overviews"), "project", "left")
     value = F.element_at(F.col("_m"), F.col("field"))
     quoted = F.concat(F.lit("'"), F.col("project"), F.lit("'"))
     error = (F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown project "), quoted))

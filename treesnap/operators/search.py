@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treesnap.session import bounded_broadcast
+
 # Default number of results and score precision.
 DEFAULT_K = 5
 SCORE_DIGITS = 4
@@ -134,5 +136,6 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: st
     """Top-k per query across the selected projects (all when ``projects`` is
     None; otherwise a semi-join with the given project names)."""
     if projects is not None:
-        chunks = chunks.join(projects.select(F.col(projects.columns[0]).alias("project")), "project", "left_semi")
+        wanted = bounded_broadcast(projects.select(F.col(projects.columns[0]).alias("project")), "projects")
+        chunks = chunks.join(wanted, "project", "left_semi")
     return global_topk(per_project(candidates(chunks, queries, k, metric), k), k)

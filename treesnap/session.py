@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job in this package assumes. AQE re-plans joins and
 # aggregations at runtime (coalesces small shuffle partitions, splits skewed
@@ -67,3 +68,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# Largest row count of a per-project (or per-request) table that is shipped
+# whole to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(small: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join helper for a side keyed by a low-cardinality key (project):
+    materialise it once, count it, and broadcast it when the count is within
+    ``limit``. A hash join on such a key would put each project's rows in one
+    partition; past the limit the key has enough distinct values for an
+    ordinary shuffle join to spread."""
+    m = materialize(small, name)
+    return F.broadcast(m) if m.count() <= limit else m

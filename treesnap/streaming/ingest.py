@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from treesnap.operators import registry as R
 from treesnap.operators.describe import with_hashed_embedding
-from treesnap.session import materialize
+from treesnap.session import bounded_broadcast, materialize
 from treesnap.sources import snapshots as S
 
 CHUNK_SCHEMA = T.StructType([
@@ -84,7 +84,7 @@ def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str]
     chunks = R.chunks_from_documents(docs, extra=["push_order"])
     chunks = R.latest_per_key(chunks, ["project", "id"], "push_order")
     chunks = embed(chunks) if embed else with_hashed_embedding(chunks, "text", "embedding")
-    touched = latest.select("project")
+    touched = bounded_broadcast(latest.select("project"), "touched") if persist else latest.select("project")
     old_touched = state.chunks.join(touched, "project", "left_semi")
     new_chunks = R.upsert(old_touched, chunks.select(*CHUNK_SCHEMA.fieldNames()), ["project", "id"])
 
