@@ -60,3 +60,21 @@ def test_build_with_user_synthesis_and_force(spark, project_files):
     assert [r["use_cases"] for r in kept.synthesis.collect()] == ["old UC"]
     forced = B.build(project_files, full, syn, B.BuildSettings(synthesize=synth, force=True, checkpoint=False))
     assert [r["use_cases"] for r in forced.synthesis.collect()] == ["UC1"]
+
+
+def test_build_calls_model_once_per_miss(spark, project_files):
+    from treesnap.session import scratch_path
+    calls = spark.sparkContext.accumulator(0)
+
+    def complete(prompts, max_tokens):
+        calls.add(len(prompts))
+        return ["d"] * len(prompts)
+
+    settings = B.BuildSettings(describe=lambda pending: DS.describe_with(pending, complete, concurrency=2),
+                               generated_at="2026-01-01T00:00:00+00:00")
+    empty_cache = spark.createDataFrame([], "project string, path string, sha256 string, description string")
+    empty_syn = spark.createDataFrame([], "project string, use_cases string, conventions_ai string")
+    res = B.build(project_files, empty_cache, empty_syn, settings)
+    B.write_build(res, scratch_path(spark, "once"))
+    res.document_lines.count()
+    assert calls.value == 4

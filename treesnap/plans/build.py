@@ -8,8 +8,10 @@ snapshot documents, plus the updated description cache and synthesis.
           ├─ tree lines / diagram (tree + dependency edges)
           └─ document lines ─ write (range partitioned, per project folder)
 
-The work table is read by four branches, so it is cut from its lineage once
-(written to the shared checkpoint folder); the model is called once per miss.
+Three cuts (written to the shared checkpoint folder): the classified work
+table (hashing and the cache join run once), the generated descriptions (the
+model is called exactly once per miss, however many branches read them) and
+the described work table that the four output branches read.
 """
 
 from __future__ import annotations
@@ -65,11 +67,15 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
     s = settings or BuildSettings()
     sel = files.filter(G.select_paths("path", s.include, s.exclude))
     work = C.classify(C.file_meta(sel), cache)
+    if s.checkpoint:  # hash + cache join once; the pending count and all branches read it
+        work = materialize(work, "work")
     pending = C.pending_work(sel, work)
     generated = (s.describe or DS.stand_in_descriptions)(pending)
+    if s.checkpoint:  # the model runs exactly once per miss
+        generated = materialize(generated, "descriptions")
     merged = C.merge_descriptions(work, generated)
     if s.checkpoint:
-        merged = materialize(merged, "work")
+        merged = materialize(merged, "described")
 
     gate = C.change_gate(C.miss_counts(merged), synthesis, s.threshold, s.force)
     regenerated = (s.synthesize or DS.stand_in_synthesis)(gate, merged)
