@@ -107,7 +107,9 @@ def document_lines(meta: DataFrame, tree_lines: DataFrame, diagram_lines: DataFr
 def write_documents(lines: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write each project's document under ``path/project=<name>/`` as text
     part files whose name order is document order."""
-    n = partitions or lines.sparkSession.sparkContext.defaultParallelism
+    spark = lines.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          spark.sparkContext.defaultParallelism)
     ordered = (lines.repartitionByRange(n, "project", "sec", "ord")
                .sortWithinPartitions("project", "sec", "ord"))
     ordered.select("project", "line").write.mode("overwrite").partitionBy("project").text(path)

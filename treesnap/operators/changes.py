@@ -85,7 +85,7 @@ def describe_prompt(path, content, sentences):
               "assistant, not a human."))
 
 
-def pending_work(files: DataFrame, work: DataFrame, broadcast_limit: int = 2_000_000) -> DataFrame:
+def pending_work(files: DataFrame, work: DataFrame, broadcast_limit: int = 250_000) -> DataFrame:
     """Misses joined to their content, with the decoded text and prompt."""
     keys = pending_keys(work)
     rows = checked_broadcast_rows(keys, broadcast_limit) if broadcast_limit else None

@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "treesnap") -> SparkSession:
     """A local session for tests and benchmarks (never used on a cluster)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+               .config("spark.eventLog.enabled", os.environ.get("TREESNAP_EVENTLOG", "") != "")
+               .config("spark.eventLog.dir", os.environ.get("TREESNAP_EVENTLOG", "/tmp"))
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("TREESNAP_DRIVER_MEM", "8g")))
     for k, v in DEFAULT_CONF.items():
@@ -72,7 +74,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 # Largest row count of a per-project (or per-request) table that is shipped
 # whole to every task.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def bounded_broadcast(small: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -83,6 +83,9 @@ def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str]
     # chunks: every accepted push contributes; the latest push wins per id
     chunks = R.chunks_from_documents(docs, extra=["push_order"])
     chunks = R.latest_per_key(chunks, ["project", "id"], "push_order")
+    # embedding is CPU-bound Python: spread it over every core (an explicit
+    # count, which AQE does not coalesce away on small batches)
+    chunks = chunks.repartition(raw.sparkSession.sparkContext.defaultParallelism, "project", "id")
     chunks = embed(chunks) if embed else with_hashed_embedding(chunks, "text", "embedding")
     touched = bounded_broadcast(latest.select("project"), "touched") if persist else latest.select("project")
     old_touched = state.chunks.join(touched, "project", "left_semi")
@@ -112,6 +115,12 @@ def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str]
 
 
 # ------------------------------------------------------------ persistence
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -134,9 +143,9 @@ def load_state(spark: SparkSession, root: str) -> State:
     ov = _versions(spark, f"{root}/overviews")
     projects = spark.read.schema(PROJECT_SCHEMA).parquet(f"{root}/projects/v={pv[-1]}") if pv else st.projects
     overviews = spark.read.schema(OVERVIEW_SCHEMA).parquet(f"{root}/overviews/v={ov[-1]}") if ov else st.overviews
-    try:
+    if _exists(spark, f"{root}/chunks"):
         chunks = spark.read.parquet(f"{root}/chunks").select(*CHUNK_SCHEMA.fieldNames())
-    except Exception:  # no chunks written yet
+    else:  # no chunks written yet
         chunks = st.chunks
     return State(chunks, projects, overviews)
 
