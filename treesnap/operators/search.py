@@ -47,27 +47,40 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
         return 1.0 - dots / (xn * qn)
 
 
+# Queries scored together inside one Arrow batch: bounds the (rows x
+# queries) distance matrix to batch_rows * 256 doubles (about 20 MB).
+SCORE_BLOCK = 256
+
+
+def _topk_rows(proj_codes: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Row indices of the k nearest per project, ordered by (distance, id)."""
+    order = np.lexsort((ids, dist, proj_codes))
+    sp = proj_codes[order]
+    starts = np.r_[0, np.flatnonzero(sp[1:] != sp[:-1]) + 1]
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[rank < k]
+
+
 def _partial_topk(qids, qmat, k, metric, payload):
     """mapInPandas body: per batch, keep the k nearest chunks per (query,
     project), ordered by (distance, id)."""
     def run(batches):
-        q = qmat.value
+        q_all = qmat.value
         for pdf in batches:
             if pdf.empty:
                 continue
             x = np.stack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            dist = _distances(x, q, metric)
-            proj = pdf["project"].to_numpy()
+            proj_codes, _ = pd.factorize(pdf["project"], sort=True)
             ids = pdf["id"].to_numpy()
             out = []
-            for j, qid in enumerate(qids):
-                frame = pd.DataFrame({"project": proj, "id": ids, "dist": dist[:, j], "_row": np.arange(len(pdf))})
-                frame = frame.sort_values(["project", "dist", "id"], kind="mergesort")
-                top = frame.groupby("project", sort=False).head(k)
-                sel = pdf.iloc[top["_row"].to_numpy()][payload].reset_index(drop=True)
-                sel.insert(0, "query_id", qid)
-                sel["dist"] = top["dist"].to_numpy()
-                out.append(sel)
+            for lo in range(0, q_all.shape[0], SCORE_BLOCK):
+                dist = _distances(x, q_all[lo:lo + SCORE_BLOCK], metric)
+                for j in range(dist.shape[1]):
+                    rows = _topk_rows(proj_codes, ids, dist[:, j], k)
+                    sel = pdf.iloc[rows][payload].reset_index(drop=True)
+                    sel.insert(0, "query_id", qids[lo + j])
+                    sel["dist"] = dist[rows, j]
+                    out.append(sel)
             if out:
                 yield pd.concat(out, ignore_index=True)
     return run
