@@ -85,3 +85,10 @@ def bounded_broadcast(small: DataFrame, name: str = "small", limit: int = BROADC
     ordinary shuffle join to spread."""
     m = materialize(small, name)
     return F.broadcast(m) if m.count() <= limit else m
+
+
+def counted_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Like ``bounded_broadcast`` for a side that is cheap to recompute
+    (derived from materialised data): count it and broadcast within the
+    bound, without writing it first."""
+    return F.broadcast(small) if small.count() <= limit else small

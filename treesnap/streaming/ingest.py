@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from treesnap.operators import registry as R
 from treesnap.operators.describe import with_hashed_embedding
-from treesnap.session import bounded_broadcast, materialize
+from treesnap.session import counted_broadcast, materialize
 from treesnap.sources import snapshots as S
 
 CHUNK_SCHEMA = T.StructType([
@@ -87,7 +87,8 @@ def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str]
     # count, which AQE does not coalesce away on small batches)
     chunks = chunks.repartition(raw.sparkSession.sparkContext.defaultParallelism, "project", "id")
     chunks = embed(chunks) if embed else with_hashed_embedding(chunks, "text", "embedding")
-    touched = bounded_broadcast(latest.select("project"), "touched") if persist else latest.select("project")
+    # parsed input is materialised: the project list is cheap to count and reuse
+    touched = counted_broadcast(docs.select("project").distinct()) if persist else latest.select("project")
     old_touched = state.chunks.join(touched, "project", "left_semi")
     new_chunks = R.upsert(old_touched, chunks.select(*CHUNK_SCHEMA.fieldNames()), ["project", "id"])
 
