@@ -806,3 +806,17 @@ def q_ingest_results(spark, sf_dir):
     _, second, _, _ = _ingested(spark, sf_dir)
     return second.results.select("status", "project", "chunks", "action", "indexed_at",
                                  F.array_join("overview_fields", ",").alias("overview_fields"))
+
+
+
+# ------------------------------------------------------- 11. tree source
+@register("tree_scan", ORACLE["file_meta"])
+def q_tree_scan(spark, sf_dir):
+    """The documents landed as real files (one folder per project) and read
+    back through the tree data source, then hashed and measured."""
+    from treesnap.session import scratch_path
+    from treesnap.sources.files import read_tree, write_tree
+    root = scratch_path(spark, "tree")
+    local = root[len("file:"):] if root.startswith("file:") else root
+    write_tree(TB.files_from_documents(_documents(spark, sf_dir)), local)
+    return changes.file_meta(read_tree(spark, local, multi=True, buckets=2))

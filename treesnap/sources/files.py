@@ -5,7 +5,8 @@ folder, paths POSIX and relative to the root, hidden files and names
 starting with '_' included (Spark's file sources skip those). Include and
 exclude patterns are applied before any file is read.
 
-Partitioning: the driver lists only the root's top-level entries; each
+Partitioning: the driver lists only top-level entries (of the root, or of each
+project folder with layout "projects"); each
 partition walks one of them on an executor. ``buckets`` > 1 splits every
 entry further by a hash of the file path (each bucket walks the same
 subtree, reads only its own files), so one directory holding most files is
@@ -31,7 +32,8 @@ SCHEMA = StructType([StructField("project", StringType()), StructField("path", S
 
 @dataclass
 class TreePartition(InputPartition):
-    entry: str          # top-level entry name, '' = files directly under the root
+    project: str        # project folder ('' in single-project layout)
+    entry: str          # top-level entry of the project, '' = its loose files
     bucket: int
     buckets: int
 
@@ -59,44 +61,58 @@ class TreeReader(DataSourceReader):
         self.include = json.loads(options.get("include", '["**/*"]'))
         self.exclude = json.loads(options.get("exclude", "[]"))
         self.buckets = max(1, int(options.get("buckets", "1")))
+        self.multi = options.get("layout", "single") == "projects"
         if not os.path.isdir(self.root):
             raise NotADirectoryError(f"Scan root is not a directory: {self.root}")
 
-    def partitions(self):
-        entries = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=True))
-        return [TreePartition(e, b, self.buckets) for e in [""] + entries for b in range(self.buckets)]
+    def _project_dirs(self):
+        if not self.multi:
+            return [("", self.root)]
+        return [(e.name, e.path) for e in sorted(os.scandir(self.root), key=lambda e: e.name)
+                if e.is_dir(follow_symlinks=True)]
 
-    def _files(self, entry: str):
+    def partitions(self):
+        parts = []
+        for name, pdir in self._project_dirs():
+            entries = sorted(e.name for e in os.scandir(pdir) if e.is_dir(follow_symlinks=True))
+            parts += [TreePartition(name, e, b, self.buckets) for e in [""] + entries for b in range(self.buckets)]
+        return parts
+
+    @staticmethod
+    def _files(base: str, entry: str):
         if entry == "":
-            for e in os.scandir(self.root):
+            for e in os.scandir(base):
                 if e.is_file(follow_symlinks=True):
                     yield e.name
             return
-        top = os.path.join(self.root, entry)
-        for dirpath, _dirs, names in os.walk(top, followlinks=False):
-            rel_dir = os.path.relpath(dirpath, self.root).replace(os.sep, "/")
+        for dirpath, _dirs, names in os.walk(os.path.join(base, entry), followlinks=False):
+            rel_dir = os.path.relpath(dirpath, base).replace(os.sep, "/")
             for n in names:
                 if os.path.isfile(os.path.join(dirpath, n)):
                     yield f"{rel_dir}/{n}"
 
     def read(self, partition: TreePartition):
         keep = _selector(self.include, self.exclude)
-        for rel in self._files(partition.entry):
+        base = os.path.join(self.root, partition.project) if self.multi else self.root
+        project = partition.project if self.multi else self.project
+        for rel in self._files(base, partition.entry):
             if partition.buckets > 1 and zlib.crc32(rel.encode()) % partition.buckets != partition.bucket:
                 continue
             if not keep(rel):
                 continue
             try:
-                with open(os.path.join(self.root, rel), "rb") as fh:
+                with open(os.path.join(base, rel), "rb") as fh:
                     data = fh.read()
             except OSError:
                 continue
-            yield (self.project, rel, data)
+            yield (project, rel, data)
 
 
 class TreeDataSource(DataSource):
-    """Options: root (required), project (default: root folder name),
-    include / exclude (JSON lists of gitignore-style patterns), buckets."""
+    """Options: root (required); layout 'single' (root is one project, named
+    by ``project`` or the folder name) or 'projects' (each folder under root
+    is a project); include / exclude (JSON lists of gitignore-style
+    patterns); buckets."""
 
     @classmethod
     def name(cls):
@@ -113,11 +129,33 @@ def register(spark) -> None:
     spark.dataSource.register(TreeDataSource)
 
 
-def read_tree(spark, root: str, include=("**/*",), exclude=(), project: str | None = None, buckets: int = 1):
-    """(project, path, content) of the files under ``root``."""
+def read_tree(spark, root: str, include=("**/*",), exclude=(), project: str | None = None, buckets: int = 1,
+              multi: bool = False):
+    """(project, path, content) of the files under ``root`` (one project, or
+    one project per folder with ``multi=True``)."""
     register(spark)
     r = (spark.read.format("tree").option("root", root).option("include", json.dumps(list(include)))
-         .option("exclude", json.dumps(list(exclude))).option("buckets", str(buckets)))
+         .option("exclude", json.dumps(list(exclude))).option("buckets", str(buckets))
+         .option("layout", "projects" if multi else "single"))
     if project:
         r = r.option("project", project)
     return r.load()
+
+
+def write_tree(files, root: str) -> int:
+    """Land a (project, path, content) table as files under
+    ``root/<project>/<path>`` from the executors (root must be a folder every
+    executor can write, such as a shared mount). Returns the file count."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for project, path, content in zip(pdf["project"], pdf["path"], pdf["content"]):
+                full = os.path.join(root, project, *path.split("/"))
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as fh:
+                    fh.write(bytes(content))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    out = files.select("project", "path", "content").mapInPandas(run, "n long")
+    return int(out.groupBy().sum("n").first()[0] or 0)
