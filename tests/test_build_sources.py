@@ -71,3 +71,24 @@ def test_token_usage(spark):
     r = U.usage(calls).first()
     assert (r["input_tokens"], r["output_tokens"], r["total_tokens"], r["calls"]) == (300, 125, 425, 2)
     assert F is not None
+
+
+def test_string_layout_matches_python_json(spark, tmp_path):
+    root = str(tmp_path / "MyApp")
+    make_tree(root)
+    files = read_tree(spark, root)
+    empty_cache = spark.createDataFrame([], "project string, path string, sha256 string, description string")
+    empty_syn = spark.createDataFrame([], "project string, use_cases string, conventions_ai string")
+    res = B.build(files, empty_cache, empty_syn, B.BuildSettings(generated_at="2026-01-01T00:00:00+00:00",
+                                                                  text_fields="string"))
+    out = scratch_path(spark, "build-string")
+    B.write_build(res, out)
+    local = out[len("file:"):] if out.startswith("file:") else out
+    pdir = os.path.join(local, "documents", "project=MyApp")
+    text = "".join(open(os.path.join(pdir, f), encoding="utf-8").read()
+                   for f in sorted(os.listdir(pdir)) if f.startswith("part-"))
+    doc = json.loads(text)
+    assert isinstance(doc["file_tree"], str) and doc["file_tree"].startswith("MyApp/\n")
+    assert isinstance(doc["architecture"], str) and "\n\n    %% dependency edges\n" in doc["architecture"]
+    # byte-for-byte the layout Python's json.dumps(indent=2, ensure_ascii=False) gives
+    assert text == json.dumps(doc, ensure_ascii=False, indent=2) + "\n"

@@ -61,17 +61,63 @@ def _listed(df: DataFrame, sec: int, ord_col, item) -> DataFrame:
     return j.select("project", "sec", "ord", line.alias("line"))
 
 
+# Largest file tree or diagram text (bytes) that is concatenated into one
+# JSON string in the reference-compatible layout.
+MAX_TEXT_BYTES = 64 << 20
+
+
+def _joined_text(lines: DataFrame, ord_col, small: DataFrame) -> DataFrame:
+    """(project, text): the ordered lines of each *small* project joined by
+    newlines. Only projects whose measured size is within the bound reach
+    the per-project aggregation."""
+    rows = lines.join(small, "project", "left_semi").select("project", F.struct(ord_col.alias("o"), "line").alias("x"))
+    g = rows.groupBy("project").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return g.select("project", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("text"))
+
+
 def document_lines(meta: DataFrame, tree_lines: DataFrame, diagram_lines: DataFrame,
-                   descriptions: DataFrame) -> DataFrame:
+                   descriptions: DataFrame, text_fields: str = "lines",
+                   max_text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
     """Lines of each project's document.
 
     meta: (project, generated_at, file_count, instructions, use_cases,
     conventions_user, conventions_ai), one row per project;
     tree_lines: (project, node_path, line); diagram_lines: (project,
     section, sort_path, pos, line); descriptions: (project, path,
-    description). Returns (project, sec, ord, line)."""
+    description). Returns (project, sec, ord, line).
+
+    ``text_fields='lines'`` writes the file tree and the diagram as JSON
+    arrays of lines. ``'string'`` writes them as single strings, like the
+    reference, for every project whose tree and diagram each measure at most
+    ``max_text_bytes`` (a partial-aggregate size check first); larger
+    projects keep the array form."""
+    if text_fields not in ("lines", "string"):
+        raise ValueError("text_fields must be 'lines' or 'string'")
+    tree_ord = _ord(0, F.when(F.col("node_path") == "", F.array().cast("array<string>"))
+                    .otherwise(P.parts("node_path")))
+    arch_ord = _ord(F.col("section"), F.when(F.col("section") == SEC_DIRS, F.array(F.col("sort_path")))
+                    .otherwise(P.parts("sort_path")), F.col("pos"))
+    m = meta.select("project", "generated_at", "file_count", "instructions", "use_cases",
+                    "conventions_user", "conventions_ai")
+    tree_rows, arch_rows = tree_lines, diagram_lines
+    if text_fields == "string":
+        size = lambda df: df.groupBy("project").agg(
+            F.sum(F.octet_length("line") + 1).alias("b"))
+        t_size, a_size = size(tree_lines), size(diagram_lines)
+        small = (t_size.join(a_size.withColumnRenamed("b", "b2"), "project", "inner")
+                 .filter((F.col("b") <= max_text_bytes) & (F.col("b2") <= max_text_bytes)).select("project"))
+        small = bounded_broadcast(small, "small-projects")
+        m = (m.join(_joined_text(tree_lines, tree_ord, small).withColumnRenamed("text", "tree_text"), "project", "left")
+             .join(_joined_text(diagram_lines, arch_ord, small).withColumnRenamed("text", "arch_text"),
+                   "project", "left"))
+        tree_rows = tree_lines.join(small, "project", "left_anti")
+        arch_rows = diagram_lines.join(small, "project", "left_anti")
+    else:
+        m = m.withColumn("tree_text", F.lit(None).cast("string")).withColumn("arch_text", F.lit(None).cast("string"))
+
     s = lambda c: json_string(py_strip(F.coalesce(F.col(c), F.lit(""))))
-    fixed = _fixed(meta, [
+    as_string = lambda c: F.col(c).isNotNull()
+    fixed = _fixed(m, [
         (S_OPEN, F.lit("{")),
         (S_META_OPEN, F.lit('  "metadata": {')),
         (S_NAME, F.concat(F.lit('    "name": '), json_string(F.col("project")), F.lit(","))),
@@ -84,20 +130,20 @@ def document_lines(meta: DataFrame, tree_lines: DataFrame, diagram_lines: DataFr
         (S_CONV_USER, F.concat(F.lit('    "user": '), s("conventions_user"), F.lit(","))),
         (S_CONV_AI, F.concat(F.lit('    "ai": '), s("conventions_ai"))),
         (S_CONV_CLOSE, F.lit("  },")),
-        (S_TREE_OPEN, F.lit('  "file_tree": [')),
-        (S_TREE_CLOSE, F.lit("  ],")),
-        (S_ARCH_OPEN, F.lit('  "architecture": [')),
-        (S_ARCH_CLOSE, F.lit("  ],")),
+        (S_TREE_OPEN, F.when(as_string("tree_text"), F.concat(F.lit('  "file_tree": '),
+                                                              json_string(F.col("tree_text")), F.lit(",")))
+         .otherwise(F.lit('  "file_tree": ['))),
+        (S_TREE_CLOSE, F.when(~as_string("tree_text"), F.lit("  ],"))),
+        (S_ARCH_OPEN, F.when(as_string("arch_text"), F.concat(F.lit('  "architecture": '),
+                                                              json_string(F.col("arch_text")), F.lit(",")))
+         .otherwise(F.lit('  "architecture": ['))),
+        (S_ARCH_CLOSE, F.when(~as_string("arch_text"), F.lit("  ],"))),
         (S_FILES_OPEN, F.lit('  "files": {')),
         (S_FILES_CLOSE, F.lit("  }")),
         (S_CLOSE, F.lit("}")),
-    ])
-    tree = _listed(tree_lines, S_TREE,
-                   _ord(0, F.when(F.col("node_path") == "", F.array().cast("array<string>"))
-                        .otherwise(P.parts("node_path"))), json_string(F.col("line")))
-    arch = _listed(diagram_lines, S_ARCH,
-                   _ord(F.col("section"), F.when(F.col("section") == SEC_DIRS, F.array(F.col("sort_path")))
-                        .otherwise(P.parts("sort_path")), F.col("pos")), json_string(F.col("line")))
+    ]).filter(F.col("line").isNotNull())
+    tree = _listed(tree_rows, S_TREE, tree_ord, json_string(F.col("line")))
+    arch = _listed(arch_rows, S_ARCH, arch_ord, json_string(F.col("line")))
     files = _listed(descriptions, S_FILES, _ord(0, F.array(F.col("path"))),
                     F.concat(json_string(F.col("path")), F.lit(": "),
                              json_string(F.coalesce("description", F.lit("")))))

@@ -48,6 +48,7 @@ class BuildSettings:
     describe: Callable[[DataFrame], DataFrame] | None = None    # pending -> (project, path, sha256, description)
     synthesize: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # (gate, work) -> synthesis rows
     checkpoint: bool = True
+    text_fields: str = "lines"               # 'string': reference layout for projects under the size bound
 
 
 @dataclass
@@ -94,7 +95,7 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
         "project", gen.alias("generated_at"), "file_count", F.lit(s.instructions).alias("instructions"),
         "use_cases", F.lit(s.user_conventions).alias("conventions_user"), "conventions_ai")
     doc = A.document_lines(meta, tree.select("project", "node_path", "line"), diagram,
-                           merged.select("project", "path", "description"))
+                           merged.select("project", "path", "description"), text_fields=s.text_fields)
     return BuildResult(merged, gate, new_synthesis, new_cache, tree, edges, diagram, doc)
 
 
