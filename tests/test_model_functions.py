@@ -78,3 +78,34 @@ def test_build_calls_model_once_per_miss(spark, project_files):
     B.write_build(res, scratch_path(spark, "once"))
     res.document_lines.count()
     assert calls.value == 4
+
+
+def test_build_with_one_model_for_files_and_projects(spark, project_files):
+    from treesnap.operators import synthesis as SY
+    calls = spark.sparkContext.accumulator(0)
+
+    def complete(prompts, max_tokens):
+        calls.add(len(prompts))
+        return ["graph LR" if "use case diagram" in p else ("- bullet" if "conventions" in p else "desc")
+                for p in prompts]
+
+    empty_cache = spark.createDataFrame([], "project string, path string, sha256 string, description string")
+    empty_syn = spark.createDataFrame([], "project string, use_cases string, conventions_ai string")
+    res = B.build(project_files, empty_cache, empty_syn,
+                  B.BuildSettings(complete=complete, concurrency=2, instructions="Be brief.",
+                                  generated_at="2026-01-01T00:00:00+00:00"))
+    syn = res.synthesis.collect()
+    assert [(r["use_cases"], r["conventions_ai"]) for r in syn] == [("graph LR", "- bullet")]
+    res.document_lines.count()
+    assert calls.value == 4 + 2
+    gate = spark.createDataFrame([("proj", True)], "project string, regenerate boolean")
+    tl = spark.createDataFrame([("proj", "", "proj/"), ("proj", "a.py", "└── a.py")],
+                               "project string, node_path string, line string")
+    d = spark.createDataFrame([("proj", "a.py", "A.")], "project string, path string, description string")
+    p = SY.prompts(gate, tl, d, user_conventions="Tabs.").first()
+    assert "<file_tree>\nproj/\n└── a.py\n</file_tree>" in p["use_cases_prompt"]
+    assert "<file_descriptions>\na.py: A.\n</file_descriptions>" in p["conventions_prompt"]
+    assert "<user_conventions>\nTabs.\n</user_conventions>" in p["conventions_prompt"]
+    assert "<instructions>" not in p["use_cases_prompt"]
+    big = SY.prompts(gate, tl, d, max_chars=5).first()
+    assert big["use_cases_prompt"] is None and "exceeds" in big["error"]

@@ -29,6 +29,7 @@ from treesnap.operators import changes as C
 from treesnap.operators import deps as D
 from treesnap.operators import describe as DS
 from treesnap.operators import registry as R
+from treesnap.operators import synthesis as SY
 from treesnap.operators import tree as TR
 from treesnap.session import materialize
 
@@ -48,6 +49,9 @@ class BuildSettings:
     describe: Callable[[DataFrame], DataFrame] | None = None    # pending -> (project, path, sha256, description)
     synthesize: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # (gate, work) -> synthesis rows
     checkpoint: bool = True
+    # one model for descriptions and synthesis: complete(prompts, max_tokens) -> texts
+    complete: Callable[[list[str], int], list[str]] | None = None
+    concurrency: int = DS.DEFAULT_CONCURRENCY
     text_fields: str = "lines"               # 'string': reference layout for projects under the size bound
 
 
@@ -71,7 +75,12 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
     if s.checkpoint:  # hash + cache join once; the pending count and all branches read it
         work = materialize(work, "work")
     pending = C.pending_work(sel, work)
-    generated = (s.describe or DS.stand_in_descriptions)(pending)
+    if s.describe:
+        generated = s.describe(pending)
+    elif s.complete:
+        generated = DS.describe_with(pending, s.complete, s.concurrency)
+    else:
+        generated = DS.stand_in_descriptions(pending)
     if s.checkpoint:  # the model runs exactly once per miss
         generated = materialize(generated, "descriptions")
     merged = C.merge_descriptions(work, generated)
@@ -79,13 +88,25 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
         merged = materialize(merged, "described")
 
     gate = C.change_gate(C.miss_counts(merged), synthesis, s.threshold, s.force)
-    regenerated = (s.synthesize or DS.stand_in_synthesis)(gate, merged)
+    paths = merged.select("project", "path")
+    tree = TR.tree_lines(paths)
+    tree_rows = tree.select("project", "node_path", "line")
+    if s.synthesize:
+        regenerated = s.synthesize(gate, merged)
+    elif s.complete:
+        if s.checkpoint:  # read by the prompts (twice) and by the document
+            tree_rows = materialize(tree_rows, "tree-lines")
+        prompts = SY.prompts(gate, tree_rows, merged.select("project", "path", "description"),
+                             s.instructions, s.user_conventions)
+        regenerated = SY.synthesize_with(prompts, s.complete, s.concurrency)
+    else:
+        regenerated = DS.stand_in_synthesis(gate, merged)
+    if s.checkpoint:  # project texts are generated once
+        regenerated = materialize(regenerated, "synthesis")
     new_synthesis = DS.merge_synthesis(synthesis, regenerated)
     new_cache = R.upsert(cache.select("project", "path", "sha256", "description"),
                          generated.select("project", "path", "sha256", "description"), ["project", "path"])
 
-    paths = merged.select("project", "path")
-    tree = TR.tree_lines(paths)
     edges = D.dependency_edges(sel, build_registry(s.parsers) if s.parsers else None)
     diagram = TR.diagram_tree_lines(paths).unionByName(D.diagram_dep_lines(edges))
 
@@ -94,7 +115,7 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
     meta = counts.join(new_synthesis, "project", "left").select(
         "project", gen.alias("generated_at"), "file_count", F.lit(s.instructions).alias("instructions"),
         "use_cases", F.lit(s.user_conventions).alias("conventions_user"), "conventions_ai")
-    doc = A.document_lines(meta, tree.select("project", "node_path", "line"), diagram,
+    doc = A.document_lines(meta, tree_rows, diagram,
                            merged.select("project", "path", "description"), text_fields=s.text_fields)
     return BuildResult(merged, gate, new_synthesis, new_cache, tree, edges, diagram, doc)
 

@@ -820,3 +820,50 @@ def q_tree_scan(spark, sf_dir):
     local = root[len("file:"):] if root.startswith("file:") else root
     write_tree(TB.files_from_documents(_documents(spark, sf_dir)), local)
     return changes.file_meta(read_tree(spark, local, multi=True, buckets=2))
+
+
+# ------------------------------------------------- 12. synthesis prompts
+from treesnap.operators import synthesis as SY  # noqa: E402
+
+SYNTH_INSTRUCTIONS = "Answer questions about the corpus."
+
+
+@register("synthesis_prompts", f"""
+  WITH w AS ({SQL_WORK}),
+  cache AS ({SQL_CACHE}),
+  prev AS (SELECT DISTINCT project FROM cache),
+  counts AS (SELECT project, count(*) AS total_files, count(*) FILTER (WHERE status <> 'hit') AS miss_files
+             FROM w GROUP BY project),
+  regen AS (SELECT counts.project FROM counts LEFT JOIN prev ON prev.project = counts.project
+            WHERE prev.project IS NULL OR miss_files / total_files >= 0.2),
+  tl AS ({ORACLE['tree_lines']}),
+  tree AS (SELECT project, string_agg(line, chr(10) ORDER BY CASE WHEN node_path = '' THEN []::VARCHAR[]
+                                                             ELSE string_split(node_path, '/') END) AS t
+           FROM tl WHERE project IN (SELECT project FROM regen) GROUP BY project),
+  descs AS (SELECT project, string_agg(path || ': ' || COALESCE(cached_description, {DESC_SQL}), chr(10)
+                                       ORDER BY path) AS d
+            FROM w WHERE project IN (SELECT project FROM regen) GROUP BY project),
+  head AS (SELECT tree.project, 'You are analysing a software project called ''' || tree.project || '''.'
+                  || chr(10) || chr(10) || '<file_tree>' || chr(10) || t || chr(10) || '</file_tree>' || chr(10)
+                  || chr(10) || '<file_descriptions>' || chr(10) || COALESCE(d, '') || chr(10)
+                  || '</file_descriptions>' || chr(10) || chr(10) AS h
+           FROM tree LEFT JOIN descs ON descs.project = tree.project)
+  SELECT project,
+         h || '<instructions>' || chr(10) || '{SYNTH_INSTRUCTIONS}' || chr(10) || '</instructions>' || chr(10) || chr(10)
+           || 'Generate a Mermaid use case diagram for this project.' || chr(10) || 'Rules:' || chr(10)
+           || '- Use only actors and use-cases directly evidenced by the file descriptions.' || chr(10)
+           || '- Output only valid Mermaid code, no explanation.' || chr(10) || '- Start with: graph LR'
+           AS use_cases_prompt,
+         h || '{SY.CONVENTIONS_ASK}' || '{SY.CONVENTIONS_TAIL}' AS conventions_prompt,
+         CAST(NULL AS VARCHAR) AS error
+  FROM head""")
+def q_synthesis_prompts(spark, sf_dir):
+    """Both project prompts for every gated project, built from the whole
+    tree and the whole description listing."""
+    from treesnap.session import materialize
+    files, cache, merged, _ = _descriptions(spark, sf_dir)
+    merged = materialize(merged, "described")  # read by the gate, the tree and the listing
+    gate = changes.change_gate(changes.miss_counts(merged), TB.previous_synthesis(cache))
+    tree = TR.tree_lines(merged.select("project", "path"))
+    return SY.prompts(gate, tree.select("project", "node_path", "line"),
+                      merged.select("project", "path", "description"), instructions=SYNTH_INSTRUCTIONS)
