@@ -497,8 +497,11 @@ def _ingested(spark, sf_dir):
          NULLIF({py_strip_sql('file_tree')}, '') AS file_tree
   FROM ({SQL_PUSHES})""")
 def q_overview_extract(spark, sf_dir):
+    from treesnap.session import materialize
     from treesnap.sources import snapshots as S
-    pushes = TB.snapshot_pushes(_documents(spark, sf_dir))
+    # the landed push log, as an ingest would read it (cut here so the accept
+    # filter does not re-run the fixture's text work below the projection)
+    pushes = materialize(TB.snapshot_pushes(_documents(spark, sf_dir)), "pushes")
     return R.overview_fields(S.accepted(S.parse(pushes)), extra=["doc_id"]).select(
         "doc_id", "project", "use_cases", "conventions", "diagram", "file_tree")
 
