@@ -24,7 +24,6 @@ from treesnap.functions.text import py_strip
 from treesnap.session import bounded_broadcast
 from treesnap.operators.tree import SEC_DIRS
 
-ORD_TYPE = "struct<k1:int,k2:array<string>,k3:int>"
 
 # Document sections in output order.
 (S_OPEN, S_META_OPEN, S_NAME, S_GENERATED, S_COUNT, S_META_CLOSE, S_INSTR, S_USE, S_CONV_OPEN, S_CONV_USER,
