@@ -677,12 +677,13 @@ def q_token_usage(spark, sf_dir):
 from treesnap.plans import build as BLD  # noqa: E402
 
 GENERATED_AT = "2026-01-12T00:00:00+00:00"
+SYNTH_INSTRUCTIONS = "Answer questions about the corpus."
 
 
 def _build(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     cache = TB.previous_cache(docs)
-    settings = BLD.BuildSettings(generated_at=GENERATED_AT, instructions="Answer questions about the corpus.")
+    settings = BLD.BuildSettings(generated_at=GENERATED_AT, instructions=SYNTH_INSTRUCTIONS)
     return BLD.build(TB.files_from_documents(docs), cache, TB.previous_synthesis(cache), settings)
 
 
@@ -724,10 +725,51 @@ def q_synthesis_merge(spark, sf_dir):
         "project", "use_cases", "conventions_ai", F.coalesce("regenerated", F.lit(False)).alias("regenerated"))
 
 
-@register("snapshot_json")
+def _sql_snapshot() -> str:
+    """Document lines of the build over ``documents`` (no dependency section:
+    .txt files have no parser)."""
+    j = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+    fixed = [
+        (0, "'{'"), (1, "'  \"metadata\": {'"), (2, f"'    \"name\": ' || {j('project')} || ','"),
+        (3, f"'    \"generated_at\": \"{GENERATED_AT}\",'"), (4, "'    \"file_count\": ' || CAST(n AS VARCHAR)"),
+        (5, "'  },'"), (6, f"'  \"instructions\": ' || {j(repr(SYNTH_INSTRUCTIONS))} || ','"),
+        (7, f"'  \"use_cases\": ' || {j(py_strip_sql('COALESCE(use_cases, \'\')'))} || ','"),
+        (8, "'  \"conventions\": {'"), (9, "'    \"user\": \"\",'"),
+        (10, f"'    \"ai\": ' || {j(py_strip_sql('COALESCE(conventions_ai, \'\')'))}"),
+        (11, "'  },'"), (12, "'  \"file_tree\": ['"), (14, "'  ],'"), (15, "'  \"architecture\": ['"),
+        (17, "'  ],'"), (18, "'  \"files\": {'"), (20, "'  }'"), (21, "'}'")]
+    items = ", ".join(f"{{'sec': {sec}, 'line': {expr}}}" for sec, expr in fixed)
+    diagram = SQL_DIAGRAM_TREE.format(paths=SQL_PATHS, dirs=SQL_DIRS.format(paths=SQL_PATHS),
+                                      edges=SQL_TREE_EDGES.format(paths=SQL_PATHS))
+    return f"""
+  WITH syn AS ({ORACLE['synthesis_merge']}),
+  fd AS ({ORACLE['file_descriptions']}),
+  meta AS (SELECT c.project, c.n, syn.use_cases, syn.conventions_ai
+           FROM (SELECT project, count(*) AS n FROM fd GROUP BY project) c LEFT JOIN syn ON syn.project = c.project),
+  fixed AS (SELECT project, l.sec AS sec, 0 AS k1, '' AS k2, 0 AS k3, l.line AS line
+            FROM (SELECT project, unnest([{items}]) AS l FROM meta)),
+  tl AS ({ORACLE['tree_lines']}),
+  tree AS (SELECT project, 13 AS sec, 0 AS k1, node_path AS k2, 0 AS k3,
+                  '    ' || {j('line')} || CASE WHEN row_number() OVER (PARTITION BY project ORDER BY
+                      CASE WHEN node_path = '' THEN []::VARCHAR[] ELSE string_split(node_path, '/') END DESC) = 1
+                    THEN '' ELSE ',' END AS line FROM tl),
+  dl AS ({diagram}),
+  arch AS (SELECT project, 16 AS sec, section AS k1, sort_path AS k2, pos AS k3,
+                  '    ' || {j('line')} || CASE WHEN row_number() OVER (PARTITION BY project ORDER BY section DESC,
+                      CASE WHEN section = 1 THEN [sort_path] ELSE string_split(sort_path, '/') END DESC, pos DESC) = 1
+                    THEN '' ELSE ',' END AS line FROM dl),
+  files AS (SELECT project, 19 AS sec, 0 AS k1, path AS k2, 0 AS k3,
+                   '    ' || {j('path')} || ': ' || {j("COALESCE(description, '')")}
+                   || CASE WHEN row_number() OVER (PARTITION BY project ORDER BY path DESC) = 1 THEN '' ELSE ',' END
+                   AS line FROM fd)
+  SELECT project, CAST(sec AS INTEGER) AS sec, CAST(k1 AS INTEGER) AS k1, k2, CAST(k3 AS INTEGER) AS k3, line
+  FROM (SELECT * FROM fixed UNION ALL SELECT * FROM tree UNION ALL SELECT * FROM arch UNION ALL SELECT * FROM files)"""
+
+
+@register("snapshot_json", _sql_snapshot())
 def q_snapshot_json(spark, sf_dir):
-    """Every project's snapshot document as ordered JSON lines (rows-only
-    check: the text escaping is the JSON writer's)."""
+    """Every project's snapshot document as ordered JSON lines with their
+    sort keys (section, then k1/k2/k3)."""
     res = _build(spark, sf_dir)
     return res.document_lines.select("project", "sec", F.col("ord.k1").alias("k1"),
                                      F.array_join("ord.k2", "/").alias("k2"), F.col("ord.k3").alias("k3"), "line")
@@ -828,7 +870,6 @@ def q_tree_scan(spark, sf_dir):
 # ------------------------------------------------- 12. synthesis prompts
 from treesnap.operators import synthesis as SY  # noqa: E402
 
-SYNTH_INSTRUCTIONS = "Answer questions about the corpus."
 
 
 @register("synthesis_prompts", f"""
