@@ -340,13 +340,31 @@ def q_link_extract(spark, sf_dir):
     return e.filter(F.col("link").isNotNull())
 
 
-@register("py_imports")
+SQL_PY_FILES = """
+  SELECT source AS project, lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.py' AS path, lang, doc_id,
+         (doc_id * 3) % (SELECT count(*) FROM documents) AS x, (doc_id * 3) % 20 AS k,
+         -- the module parses unless the text closes or escapes its triple-quoted literal
+         strpos(text, '''''''') = 0 AND NOT ends_with(text, '''') AND strpos(text, chr(92)) = 0 AS parses
+  FROM documents"""
+
+
+@register("py_imports", f"""
+  SELECT project, path, CAST(dep_ord AS INTEGER) AS dep_ord, dep FROM (
+    SELECT project, path, 0 AS dep_ord, 'os' AS dep FROM ({SQL_PY_FILES}) WHERE parses
+    UNION ALL SELECT project, path, 1, '.doc_' || CAST(x AS VARCHAR) FROM ({SQL_PY_FILES}) WHERE parses
+    UNION ALL SELECT project, path, 2, '..src' || CAST(k AS VARCHAR) FROM ({SQL_PY_FILES}) WHERE parses)""")
 def q_py_imports(spark, sf_dir):
     files = TB.python_files(_documents(spark, sf_dir))
     return D.raw_dependencies(files).select("project", "path", "dep_ord", "dep")
 
 
-@register("py_dep_edges")
+@register("py_dep_edges", f"""
+  WITH f AS ({SQL_PY_FILES}),
+  d AS (SELECT project, path, lang || '/doc_' || CAST(x AS VARCHAR) || '.py' AS cand FROM f WHERE parses)
+  SELECT d.project, d.path AS src_path, d.cand AS dst_path, translate(d.path, '/.-', '___') AS src_id,
+         translate(d.cand, '/.-', '___') AS dst_id, CAST(1 AS INTEGER) AS dep_ord
+  FROM d JOIN f ON f.project = d.project AND f.path = d.cand
+  WHERE d.cand <> d.path""")
 def q_py_dep_edges(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return D.dependency_edges(TB.python_files(docs).unionByName(TB.files_from_documents(docs)))
