@@ -66,3 +66,13 @@ def test_gate_includes_projects_without_files(spark):
     assert all(r["regenerate"] for r in C.change_gate(counts, syn, force=True).collect())
     with pytest.raises(ValueError):
         C.change_gate(counts, syn, threshold=1.5)
+
+
+def test_cache_keeps_or_prunes_deleted_files(spark, project_files):
+    from treesnap.plans import build as B
+    cache = cache_of(spark, [("proj", "gone.py", "x", "deleted file")])
+    syn = spark.createDataFrame([], "project string, use_cases string, conventions_ai string")
+    kept = B.build(project_files, cache, syn, B.BuildSettings(checkpoint=False)).cache
+    assert kept.filter("path = 'gone.py'").count() == 1 and kept.count() == 5
+    pruned = B.build(project_files, cache, syn, B.BuildSettings(checkpoint=False, prune_cache=True)).cache
+    assert pruned.filter("path = 'gone.py'").count() == 0 and pruned.count() == 4

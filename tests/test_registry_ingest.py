@@ -95,3 +95,14 @@ def test_stream_ingest_two_drops(spark, tmp_path):
     assert sorted(r["id"] for r in st.chunks.filter("project = 'S'").collect()) == ["file:a.py", "file:b.py"]
     reg = {r["name"]: r["last_indexed_at"].isoformat() for r in st.projects.collect()}
     assert reg == {"S": "2026-03-02T00:00:00", "T": "2026-03-02T00:00:00"}
+
+
+def test_prune_replaces_project_chunks(spark):
+    st = IG.State.empty(spark)
+    r1 = IG.ingest_batch(st, raw(spark, [doc("P", {"a.py": "A", "b.py": "B"})]), "2026-02-01 00:00:00")
+    r2 = IG.ingest_batch(r1.state, raw(spark, [doc("P", {"b.py": "B2"}, gen="2026-01-02T00:00:00+00:00")]),
+                         "2026-02-02 00:00:00", prune=True)
+    assert sorted((r["id"], r["text"]) for r in r2.state.chunks.collect()) == [("file:b.py", "B2")]
+    keep = IG.ingest_batch(r1.state, raw(spark, [doc("P", {"b.py": "B2"}, gen="2026-01-02T00:00:00+00:00")]),
+                           "2026-02-02 00:00:00")
+    assert sorted(r["id"] for r in keep.state.chunks.collect()) == ["file:a.py", "file:b.py"]

@@ -53,6 +53,7 @@ class BuildSettings:
     complete: Callable[[list[str], int], list[str]] | None = None
     concurrency: int = DS.DEFAULT_CONCURRENCY
     text_fields: str = "lines"               # 'string': reference layout for projects under the size bound
+    prune_cache: bool = False                # drop cache entries of files no longer present
 
 
 @dataclass
@@ -106,6 +107,8 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
     new_synthesis = DS.merge_synthesis(synthesis, regenerated)
     new_cache = R.upsert(cache.select("project", "path", "sha256", "description"),
                          generated.select("project", "path", "sha256", "description"), ["project", "path"])
+    if s.prune_cache:  # keep entries of current files only
+        new_cache = new_cache.join(merged.select("project", "path"), ["project", "path"], "left_semi")
 
     edges = D.dependency_edges(sel, build_registry(s.parsers) if s.parsers else None)
     diagram = TR.diagram_tree_lines(paths).unionByName(D.diagram_dep_lines(edges))

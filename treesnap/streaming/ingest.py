@@ -67,10 +67,13 @@ def push_order_key(df: DataFrame, order_cols: list[str]) -> F.Column:
 
 
 def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str] = ("generated_at",),
-                 embed: Callable | None = None, persist: bool = False) -> BatchResult:
+                 embed: Callable | None = None, persist: bool = False, prune: bool = False) -> BatchResult:
     """Apply one batch of pushed documents (column ``value``) to ``state``.
     ``embed`` maps a chunk DataFrame to the same with an ``embedding``
-    column (default: the hashed stand-in; see ``describe.embed_with``)."""
+    column (default: the hashed stand-in; see ``describe.embed_with``).
+    ``prune=True`` makes a touched project's chunks exactly those of its
+    latest push (files removed from the snapshot are deleted); the default
+    upserts and never deletes, as the reference does."""
     parsed = S.parse(raw)
     parsed = parsed.withColumn("push_order", push_order_key(parsed, list(order_cols)))
     if persist:  # four branches read the parsed batch: parse the JSON once
@@ -81,7 +84,8 @@ def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str]
                               ["project"], "push_order")
 
     # chunks: every accepted push contributes; the latest push wins per id
-    chunks = R.chunks_from_documents(docs, extra=["push_order"])
+    # (with prune, only each project's latest push contributes)
+    chunks = R.chunks_from_documents(latest if prune else docs, extra=["push_order"])
     chunks = R.latest_per_key(chunks, ["project", "id"], "push_order")
     # embedding is CPU-bound Python: spread it over every core (an explicit
     # count, which AQE does not coalesce away on small batches)
@@ -90,7 +94,8 @@ def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str]
     # parsed input is materialised: the project list is cheap to count and reuse
     touched = counted_broadcast(docs.select("project").distinct()) if persist else latest.select("project")
     old_touched = state.chunks.join(touched, "project", "left_semi")
-    new_chunks = R.upsert(old_touched, chunks.select(*CHUNK_SCHEMA.fieldNames()), ["project", "id"])
+    new_chunks = (chunks.select(*CHUNK_SCHEMA.fieldNames()) if prune
+                  else R.upsert(old_touched, chunks.select(*CHUNK_SCHEMA.fieldNames()), ["project", "id"]))
 
     # registry: chunk count of each project's latest push
     latest_counts = (R.chunks_from_documents(latest.select("project", "files"))
@@ -164,10 +169,10 @@ def save_batch(result: BatchResult, root: str, batch_id: int) -> None:
 
 
 def ingest_to(spark: SparkSession, raw: DataFrame, root: str, batch_id: int, indexed_at,
-              order_cols=("generated_at",)) -> BatchResult:
+              order_cols=("generated_at",), prune: bool = False) -> BatchResult:
     """Load state, apply one batch, persist it."""
     state = load_state(spark, root)
-    res = ingest_batch(state, raw, indexed_at, list(order_cols), persist=True)
+    res = ingest_batch(state, raw, indexed_at, list(order_cols), persist=True, prune=prune)
     save_batch(res, root, batch_id)
     return res
 
