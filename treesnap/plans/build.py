@@ -128,7 +128,7 @@ def write_build(result: BuildResult, out: str) -> None:
     partition overwrite by project, so a failed run leaves other projects'
     state untouched and a rerun repeats only the same work)."""
     A.write_documents(result.document_lines, f"{out}/documents")
-    (materialize(result.cache, "cache").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("project").parquet(f"{out}/cache"))
+    (materialize(result.cache, "cache").sortWithinPartitions("project", "path").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{out}/cache"))
     (materialize(result.synthesis, "synthesis").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{out}/synthesis"))

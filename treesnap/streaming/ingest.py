@@ -162,8 +162,10 @@ def save_batch(result: BatchResult, root: str, batch_id: int) -> None:
     because their plan reads the partitions being overwritten; the versions
     go to new folders and are written directly."""
     chunks = materialize(result.touched_chunks, "chunks")
-    (chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("project").parquet(f"{root}/chunks"))
+    # sorted by id within each project partition: parquet min/max statistics
+    # then let a point lookup by id skip row groups
+    (chunks.sortWithinPartitions("project", "id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{root}/chunks"))
     result.state.overviews.write.mode("overwrite").parquet(f"{root}/overviews/v={batch_id}")
     result.state.projects.write.mode("overwrite").parquet(f"{root}/projects/v={batch_id}")
 
