@@ -106,3 +106,13 @@ def test_prune_replaces_project_chunks(spark):
     keep = IG.ingest_batch(r1.state, raw(spark, [doc("P", {"b.py": "B2"}, gen="2026-01-02T00:00:00+00:00")]),
                            "2026-02-02 00:00:00")
     assert sorted(r["id"] for r in keep.state.chunks.collect()) == ["file:a.py", "file:b.py"]
+
+
+def test_stream_whole_file_documents(spark, tmp_path):
+    landing, root, ckpt = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "ckpt")
+    landing.mkdir()
+    pretty = json.dumps(json.loads(doc("Pretty", {"x.py": "X does things."})), indent=2, ensure_ascii=False)
+    (landing / "push1.json").write_text(pretty, encoding="utf-8")
+    IG.start_stream(spark, str(landing), root, ckpt, json_lines=False).awaitTermination()
+    st = IG.load_state(spark, root)
+    assert [(r["name"], r["file_chunk_count"]) for r in st.projects.collect()] == [("Pretty", 1)]

@@ -180,16 +180,23 @@ def ingest_to(spark: SparkSession, raw: DataFrame, root: str, batch_id: int, ind
 
 
 def start_stream(spark: SparkSession, landing: str, root: str, checkpoint: str,
-                 clock: Callable[[int], object] | None = None, available_now: bool = True):
-    """Structured Streaming ingest of JSON Lines documents dropped into
-    ``landing``. Each micro-batch is applied with ``foreachBatch``; ``clock``
-    maps a batch id to the registry timestamp (default: now)."""
-    stream = (spark.readStream.format("text").load(landing)
+                 clock: Callable[[int], object] | None = None, available_now: bool = True,
+                 json_lines: bool = True, prune: bool = False):
+    """Structured Streaming ingest of documents dropped into ``landing``:
+    JSON Lines files (one document per line) or, with ``json_lines=False``,
+    one (pretty-printed) document per file. Each micro-batch is applied with
+    ``foreachBatch``; ``clock`` maps a batch id to the registry timestamp
+    (default: now)."""
+    reader = spark.readStream.format("text")
+    if not json_lines:
+        reader = reader.option("wholetext", True)
+    stream = (reader.load(landing)
               .select("value", F.col("_metadata.file_modification_time").alias("pushed_at")))
 
     def each(batch_df: DataFrame, batch_id: int):
         ts = clock(batch_id) if clock else F.current_timestamp()
-        ingest_to(batch_df.sparkSession, batch_df, root, batch_id, ts, order_cols=("pushed_at", "generated_at"))
+        ingest_to(batch_df.sparkSession, batch_df, root, batch_id, ts, order_cols=("pushed_at", "generated_at"),
+                  prune=prune)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
