@@ -17,12 +17,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+SPREAD_BYTES = 256 << 10
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame over the cluster when its scan yields fewer
-    partitions than there are cores (a small or single-row-group file);
-    large inputs already split into many scan tasks and pass through."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """Round-robin a scan over more tasks when it yields fewer partitions
+    than its size warrants (a single-row-group file of heavy text rows):
+    about one partition per 256 KB of compressed input (Spark's size
+    estimate, no job), at most one per core. Tiny tables and inputs that
+    already split into many scan tasks pass through unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    want = min(cores, max(1, size // SPREAD_BYTES))
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
