@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from treesnap.llm import decontaminate, quality_rules, sharding
+from treesnap.llm import decontaminate, language, quality_knn, quality_rules, sharding
 
 QUERIES = {
+    "op1_quality_classifier": quality_knn.op1_quality_classifier,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_language": language.op4_language,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }

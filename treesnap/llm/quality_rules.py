@@ -90,9 +90,9 @@ def rule_votes() -> dict[str, Column]:
         "capitals": _vote(10 * F.col("n_upper") > 4 * chars, 10 * F.col("n_upper") < chars),
         "punctuation": _vote((2 * F.col("n_stops") > n) | (enough & (F.col("n_stops") == 0)),
                              10 * F.col("n_stops") < 3 * n),
-        "noise_per_word": _vote(3 * (F.col("n_symbols") + F.col("n_stops")) > n,
+        "noise_per_word": _vote(2 * (F.col("n_symbols") + F.col("n_stops")) > n,
                                 5 * (F.col("n_symbols") + F.col("n_stops")) < n),
-        "dup_lines": _vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "dup_lines": _vote((F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
                            20 * F.col("n_dup_lines") < F.col("n_lines")),
         "repeats": _vote(20 * F.col("n_repeat_words") > 3 * n, 100 * F.col("n_repeat_words") < 5 * n),
         "variety": _vote(enough & (20 * F.col("n_distinct") < n), 10 * F.col("n_distinct") > 2 * n),
