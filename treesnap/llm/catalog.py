@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from treesnap.llm import decontaminate, language, quality_knn, quality_rules, sharding
+from treesnap.llm import decontaminate, language, line_dedup, packing, quality_knn, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_classifier": quality_knn.op1_quality_classifier,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language": language.op4_language,
+    "op5_packing": packing.op5_packing,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }
