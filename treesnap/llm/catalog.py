@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treesnap.llm import decontaminate, language, line_dedup, packing, quality_knn, quality_rules, sharding
+from treesnap.llm import decontaminate, language, line_dedup, packing, quality_knn, quality_rules, sharding, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_knn.op1_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language": language.op4_language,
     "op5_packing": packing.op5_packing,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_token_files": token_files.op8_token_files,
     "op10_sharding": sharding.op10_sharding,
 }
 

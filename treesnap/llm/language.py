@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from treesnap.llm.common import table
 from treesnap.llm.quality_knn import remainder
@@ -169,24 +168,21 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
     text and text without a letter are ``und`` at score 0, as is everything
     when no language was learned. Other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(keep)
-    given = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], F.col(text).alias("__text"),
-                        has_letter(F.col(text)).alias("__letter"))
-    schema = StructType([StructField(f"__k{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
-                        + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang string, score double")
+    def name(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            langs, scores = [], []
             for at in range(0, len(b), 512):
-                part = b.iloc[at:at + 512]
-                lang, score = predict(shared.value, np.stack([features(t) for t in part["__text"]]))
-                letter = part["__letter"].to_numpy()
-                yield (part.drop(columns=["__text", "__letter"])
-                       .assign(lang_pred=np.where(letter, np.array(lang, dtype=object), UNKNOWN),
-                               score=np.where(letter, score, 0.0)))
-
-    out = given.mapInPandas(run, schema)
-    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score")
+                got, sure = predict(shared.value, np.stack([features(t) for t in b.iloc[at:at + 512]]))
+                langs += got
+                scores += list(sure)
+            yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
+
+    letter = has_letter(F.col(text))
+    return (docs.select(*[F.col(c).alias(c) for c in keep], letter.alias("__letter"), name(F.col(text)).alias("__named"))
+            .select(*keep, F.when(F.col("__letter"), F.col("__named.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+                    F.when(F.col("__letter"), F.col("__named.score")).otherwise(0.0).alias("score")))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from treesnap.llm.arrays import _SPACE, as_bytes, gram_hashes, run_hashes, word_hashes
+from treesnap.llm.arrays import as_bytes, gram_hashes, run_hashes, word_hashes
 from treesnap.llm.common import table
 
 SAMPLE = 3000       # labelled rows the model is fitted on, at most
@@ -152,21 +151,15 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
     per input row. Null and empty texts are scored with the sample's share
     of label 1. Other columns are ignored; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(keep)
-    given = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], F.col(text).alias("__text"))
-    schema = StructType([StructField(f"__k{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
-                        + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at:at + 512]
-                s = vote(shared.value, np.stack([terms(t) for t in part["__text"]]))
-                yield (part.drop(columns="__text")
-                       .assign(score=s, predicted=(s >= keep_at).astype(np.int32)))
-
-    out = given.mapInPandas(run, schema)
-    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)], "score", "predicted")
+            parts = [b.iloc[at:at + 512] for at in range(0, len(b), 512)]
+            yield pd.Series(np.concatenate([vote(shared.value, np.stack([terms(t) for t in x])) for x in parts] or [np.zeros(0)]))
+
+    return (docs.select(*[F.col(c).alias(c) for c in keep], measure(F.col(text)).alias("score"))
+            .withColumn("predicted", (F.col("score") >= keep_at).cast("int")))
 
 
 def remainder(key, modulus: int):
