@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treesnap.llm import decontaminate, language, line_dedup, near_dedup, packing, quality_knn, quality_rules, sharding, token_files
+from treesnap.llm import decontaminate, language, line_dedup, near_dedup, packing, pii, quality_knn, quality_rules, sharding, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_knn.op1_quality_classifier,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_token_files": token_files.op8_token_files,
+    "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_sharding": sharding.op10_sharding,
 }
 
