@@ -1,14 +1,84 @@
-"""The training-data pipeline: stages over ``documents``, in order."""
+"""The training-data pipeline over ``documents``.
+
+Every stage takes (spark, docs, sf_dir) and reads its own parameters below.
+All but the last return the columns of their input. Rows with a null doc_id
+pass every filter on their text's account alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treesnap.llm import decontaminate, line_dedup, near_dedup, packing, quality_knn
+from treesnap.llm.common import split_words, table
+from treesnap.session import materialize
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier accepts. It learns from the labelled
+    rows that op1 learns from; without any of them nothing is rejected."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality_knn.train(docs, labels.where(quality_knn.remainder(F.col("doc_id"), 4) != 2))
+    if not len(model["labels"]):
+        return docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
+    return quality_knn.score(rows, model, text="__text", keep=("__row",)).where("predicted = 1").select("__row.*")
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks cut from the texts, n_chars brought up to date. A
+    document of which nothing but white space is left is gone, as all of it
+    stands elsewhere; texts that were blank before stay."""
+    cut = line_dedup.dedup_lines(docs, removed="__removed")
+    left = cut.where((F.col("__removed") == 0) | (F.size(split_words(F.col("text"))) > 0)).drop("__removed")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, 0.8):
+    the smallest doc_id, and of several rows under it the smallest text."""
+    found = near_dedup.near_duplicates(docs, k=5, percent=80)
+    kept = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "kept-ids")
+    out = docs.join(kept.where("__rows = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    several = kept.where("__rows > 1").select("doc_id")
+    if not several.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.unionByName(docs.join(several, "doc_id", "left_semi").groupBy("doc_id")
+                              .agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*"))
+    return out.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any window of the benchmark."""
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")), "doc_id").alias("__hash"))
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), keep=("doc_id", "__hash"))
+    hit = materialize(found.where("contaminated").select(F.col("doc_id").alias("__hit"), "__hash").distinct(), "contaminated")
+    rows = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit("")), "doc_id"))
+    return rows.join(hit, (F.col("__own") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents in batches; a token is a word."""
+    return packing.pack(docs, F.size(split_words(F.col("text"))))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", cut_repeated_lines),
+    ("minhash_near_dedup", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
-# The classifier, the sketches and the dynamic programme have no SQL form.
+# The classifier, the sketches and the dynamic programme have no SQL form;
+# the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
