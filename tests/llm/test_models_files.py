@@ -1,0 +1,240 @@
+"""Learned operators on held-out rows, packing, files, line chunks,
+surrogates and the pipeline."""
+
+import heapq
+import random
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from treesnap.llm import huffman, language, line_dedup, packing, pii, quality_knn, token_files
+from treesnap.session import scratch_path
+
+from .conftest import OTHER, PROSE
+
+SF = "/root/testdata/sf0.01"
+BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_quality_classifier(spark, messy, nothing):
+    got = quality_knn.op1_quality_classifier(spark, SF).collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [r for r in got if r.held_out and r.doc_id in label]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got) and len(got) == 1000
+    assert np.mean([r.predicted == label[r.doc_id] for r in held]) > 0.95
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (5, None), (99, 0)], "doc_id long, quality int")
+    model = quality_knn.train(messy, labels)
+    out = quality_knn.score(messy, model).collect()
+    assert len(out) == messy.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
+    blank = quality_knn.train(nothing, labels)
+    assert {r.score for r in quality_knn.score(messy, blank).collect()} == {0.5}
+    assert quality_knn.score(nothing, model).count() == 0
+
+
+def test_language(spark, messy, nothing):
+    got = language.op4_language(spark, SF).collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got) and len(got) == 1000
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97
+    model = language.train(messy)
+    out = language.identify(messy, model, keep=("doc_id", "text")).collect()
+    assert len(out) == messy.count()
+    for r in out:
+        no_letter = not any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und" and r.score == 0) == no_letter and 0 <= r.score <= 1
+    assert {r.lang_pred for r in language.identify(messy, language.train(nothing)).collect()} == {"und"}
+    assert language.identify(nothing, model).count() == 0
+
+
+def padding(lengths, counts, bounds):
+    return sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts, strict=True))
+
+
+def test_best_buckets_against_all_choices():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        x = rng.choice(40, rng.integers(1, 9), replace=False)
+        c = rng.integers(1, 50, len(x))
+        for k in (1, 2, 3):
+            best = min(padding(x, c, (*pick, x.max())) for pick in combinations(x, min(k, len(x)) - 1))
+            got = packing.best_buckets(x, c, k)
+            assert len(got) <= k and padding(x, c, got) == best
+    assert packing.best_buckets(np.zeros(0), np.zeros(0), 3) == []
+
+
+def test_packing(messy, nothing):
+    got = packing.pack(messy, packing.F.size(packing.split_words(messy.text)), max_len=64, budget=256, buckets=3).collect()
+    want = Counter()
+    for r in messy.select("doc_id", "text").collect():
+        n = len((r.text or "").split())
+        for p in range(max(1, -(-n // 64))):
+            want[r.doc_id, p, 64 * p, min(64, n - 64 * p)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in got) == want
+    batches = {}
+    for r in got:
+        assert r.length <= r.padded
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    for (bucket, batch), rows in batches.items():
+        assert sorted(r.place for r in rows) == list(range(len(rows))) and len(rows) * rows[0].padded <= 256
+        if (bucket, batch + 1) in batches:
+            assert (len(rows) + 1) * rows[0].padded > 256
+    assert packing.pack(nothing, packing.F.lit(1)).count() == 0
+
+
+def test_huffman_is_optimal_and_limited():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 17, 300):
+        counts = rng.zipf(1.5, n).clip(1, 10 ** 6)
+        heap, cost = sorted(map(int, counts)), 0
+        while len(heap) > 1:
+            a = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += a
+            heapq.heappush(heap, a)
+        assert int((huffman.code_lengths(counts, 40) * counts).sum()) == (cost if n > 1 else counts[0])
+        tight = huffman.code_lengths(counts, max(1, int(np.ceil(np.log2(n)))))
+        assert (2.0 ** -tight).sum() <= 1 and (n < 2 or tight.max() <= np.ceil(np.log2(n)))
+    fib = [1, 1]
+    while len(fib) < 30:
+        fib.append(fib[-1] + fib[-2])
+    assert huffman.code_lengths(np.array(fib), 16).max() == 16
+    with pytest.raises(ValueError):
+        huffman.code_lengths(np.ones(5), 2)
+
+
+def test_huffman_round_trip():
+    rng = np.random.default_rng(5)
+    ids = np.sort(rng.choice(60_000, 4000, replace=False))
+    counts = rng.zipf(1.3, 4000).clip(1, 10 ** 8)
+    code = huffman.Code.fit(ids, counts)
+    blocks = [rng.choice(ids, n).astype(np.uint32) for n in (1, 127, 128, 129, 5000)]
+    coded = [code.encode(b) for b in blocks]
+    back = code.decode([c[0] for c in coded], [c[1] for c in coded], [len(b) for b in blocks])
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
+    # one block alone, from a later checkpoint
+    payload, marks = coded[4]
+    assert (code.decode([payload], [marks[7:]], [5000 - 7 * huffman.STRIDE])[0] == blocks[4][7 * huffman.STRIDE:]).all()
+
+
+def test_encoder_equals_whole_texts():
+    e, rng = token_files.Encoder.load(BPE), random.Random(6)
+    parts = [" ", "\n", "a", "Word", ",", ".", "'s", "é", "7", "!", "  ", "\t", "\xa0", "ß", "的", "\n\n", "ª", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(4000)] + [PROSE, OTHER + "\n" + PROSE]
+    for t in texts:
+        assert np.frombuffer(e(t), np.uint32).tolist() == e.model.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_token_files(spark, messy, nothing):
+    folder = scratch_path(spark, "t")
+    token_files.write(messy, folder, BPE, block_ids=300)
+    got = sorted(token_files.read(spark, folder).collect(), key=lambda r: r.start)
+    model, at = token_files.Encoder.load(BPE).model, 0
+    texts = Counter((r.doc_id, tuple([*model.encode(r.text or "", add_special_tokens=False).ids, 0])) for r in messy.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == texts
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        at += r.n_tokens
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert keys == sorted(keys)
+    token_files.write(nothing, scratch := scratch_path(spark, "t"), BPE)
+    assert token_files.read(spark, scratch).count() == 0
+
+
+def test_line_chunks(spark, messy, nothing):
+    rng = random.Random(7)
+
+    def line(n):
+        return " ".join(f"v{rng.randrange(10 ** 9)}" for _ in range(n))
+    shared, run = line(55), "\n".join(line(9) for _ in range(40))
+    rows = [(i, f"{line(12)}\n{line(30)}\n{shared if i % 2 else line(40)}\n{line(25)}") for i in range(20)]
+    rows += [(100, f"{line(8)}\n{run}\n{line(8)}"), (101, f"{line(9)}\n{line(5)}\n{run}\n{line(7)}"), (102, line(19) + "\n" + line(60))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed="cut").collect()}
+    for i, t in rows[:20]:
+        if i % 2 and i > 1:
+            assert got[i].text == t.replace(shared + "\n", "") and got[i].cut == 1
+        else:
+            assert got[i].text == t and got[i].cut == 0
+    assert got[100].text == rows[20][1] and got[102].text == rows[22][1]
+    left = got[101].text.split("\n")
+    assert len(left) < 25 and set(left) <= set(rows[21][1].split("\n"))  # the inner chunks of the run are gone
+    out = line_dedup.dedup_lines(messy, removed="cut").collect()
+    before = [(r.doc_id, r.text) for r in messy.collect()]
+    assert len(out) == len(before) and out[0].n == "clash"
+    by = Counter((r.doc_id, r.text) for r in out)
+    assert by[None, PROSE] == 1 and by[1, ""] == by[2, ""] == 1  # null keys come first
+    assert by[4, OTHER] == 2 and by[5, None] == 1  # repeated rows count as one
+    assert by[13, ""] == 1 or by[13, PROSE] == 1 or (13, OTHER + "\n" + PROSE) not in by
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_chunk_boundaries_follow_content():
+    rng = random.Random(8)
+    lines = [" ".join(f"q{rng.randrange(10 ** 9)}" for _ in range(6)) for _ in range(200)]
+    def pieces(ls):
+        buf = np.frombuffer("\n".join(ls).encode(), np.uint8)
+        _, s, e, w, n = line_dedup.chunks(buf)
+        assert s[0] == 0 and e[-1] == len(buf) and (s[1:] == e[:-1]).all() and w.sum() == 6 * len(ls) and n.sum() == len(ls)
+        return {buf[i:j].tobytes().strip() for i, j in zip(s, e, strict=True)}
+    assert len(pieces(lines) - pieces(["an extra first line here now", *lines])) <= 2
+
+
+def test_surrogates(spark, messy, nothing):
+    rows = [(1, "Mr. John Smith met Frau Anna Weber. Smith rang +1 (652) 555-4544, +1-652-555-4544; el.01@mail8.example.com EL.01@MAIL8.EXAMPLE.COM"),
+            (2, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 4111 1111 1111 1111 152.143.123.131 152.143.123.131!!'),
+            (3, "Smith is clean. CC BY-NC 4.0, version 3, 12 of 1999."), (4, "Господин Иван Петров, DE89 3704 0044 0532 0130 00, 078-05-1120"),
+            (5, "write to el.01@mail8.example.com")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(df, "k").collect()}
+    assert got[3] == rows[2][1]
+    words = got[1].split()
+    assert words[1].endswith("n") and words[5].endswith("na")  # genders
+    surname = words[2]
+    assert got[1].count(surname) == 2 and "Smith" not in got[1] and "Weber" not in got[1]
+    phone, other, mail, upper = [w.strip(";,") for w in got[1].split("rang ")[1].replace("+1 (", "+1_(").replace(") ", ")_").split()]
+    assert phone.startswith("+1_(") and other.startswith("+1-") and "".join(filter(str.isdigit, phone)) == "".join(filter(str.isdigit, other))
+    assert upper == mail.upper() and mail.endswith(".com") and mail != "el.01@mail8.example.com" and got[5] == f"write to {mail}"
+    card = "".join(got[2].split('"')[2].split()[:4])
+    digits = [int(c) for c in reversed(card)]
+    assert sum(digits[::2]) % 10 == (-sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10  # still passes the check digit
+    ip = got[2].split()[-2]
+    assert got[2].endswith(ip + "!!") and all(0 < int(o) < 256 for o in ip.split(".")) and ip != "152.143.123.131"
+    assert got[2].startswith('token = "') and len(got[2].split('"')[1]) == 40
+    assert "Петров" not in got[4] and "Господин" in got[4] and got[4].split(", ")[1].startswith("DE")
+    assert {r.doc_id: r.text for r in pii.replace_pii(df, "other").collect()} != got
+    out = pii.replace_pii(messy, "k", count="n2").collect()
+    assert len(out) == messy.count() and sorted(map(str, ((r.doc_id, r.text, r.n) for r in out))) == sorted(
+        map(str, ((r.doc_id, r.text, r.n) for r in messy.collect())))
+    assert pii.replace_pii(nothing, "k").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """One-digit octets have 9 values each, so draws collide."""
+    rows = [("ip", f"{a}.{b}.{c}.7") for a in range(1, 10) for b in range(1, 10) for c in range(1, 8)]
+    got = pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), "k").collect()
+    new = [r.new for r in got]
+    assert len(new) == len(set(new)) == len(rows) and not set(new) & {c for _, c in rows}
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "decontamination", "packing"]
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert 100 < len({r.doc_id for r in out}) <= docs.count()
+
+
+def test_pipeline_stages_on_messy_rows(spark, messy, nothing):
+    docs = messy.withColumn("n_chars", packing.F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, docs.where("false")):
+            out = stage(spark, given, "/root/testdata/sf0.001")
+            assert out.columns == docs.columns, name
+            got = Counter(map(str, out.select("doc_id", "lang").collect()))
+            assert not got - Counter(map(str, given.select("doc_id", "lang").collect())), name
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in kept)[13] == 1 and Counter(r.doc_id for r in kept)[None] == 2
+    assert {1, 2, 3} & {r.doc_id for r in kept} == {1, 3} and Counter(r.doc_id for r in kept)[4] == 1
