@@ -58,8 +58,7 @@ def test_build_documents_are_valid_json(spark, tmp_path):
     assert "    web_app_ts -.-> web_u_ts" in doc["architecture"]
     assert doc["use_cases"].startswith("graph LR")
     # a second run with the written cache has no misses
-    cache = spark.read.parquet(os.path.join(out, "cache"))
-    syn = spark.read.parquet(os.path.join(out, "synthesis"))
+    cache, syn = B.read_state(spark, out)
     res2 = B.build(files, cache, syn, B.BuildSettings(exclude=["tests/**"]))
     assert res2.work.filter("status != 'hit'").count() == 0
     assert res2.gate.filter("regenerate").count() == 0
@@ -92,3 +91,30 @@ def test_string_layout_matches_python_json(spark, tmp_path):
     assert isinstance(doc["architecture"], str) and "\n\n    %% dependency edges\n" in doc["architecture"]
     # byte-for-byte the layout Python's json.dumps(indent=2, ensure_ascii=False) gives
     assert text == json.dumps(doc, ensure_ascii=False, indent=2) + "\n"
+
+
+def test_unreadable_files_are_not_passed_over(spark, tmp_path):
+    import pytest
+    root = tmp_path / "App"
+    root.mkdir()
+    (root / "ok.txt").write_text("x")
+    os.symlink("/proc/1/mem", root / "bad.txt")
+    with pytest.raises(Exception):
+        read_tree(spark, str(root)).collect()
+    got = {r["path"]: r["content"] for r in read_tree(spark, str(root), unreadable="null").collect()}
+    assert got["bad.txt"] is None and bytes(got["ok.txt"]) == b"x"
+
+
+def test_build_write_read_ingest(spark, tmp_path, project_files):
+    from treesnap.sources import snapshots as S
+    from treesnap.streaming import ingest as IG
+    from treesnap.operators import assemble as A
+    empty_cache = spark.createDataFrame([], "project string, path string, sha256 string, description string")
+    empty_syn = spark.createDataFrame([], "project string, use_cases string, conventions_ai string")
+    res = B.build(project_files, empty_cache, empty_syn)
+    out = str(tmp_path / "docs")
+    A.write_documents(res.document_lines, out, partitions=8)
+    assert len([f for f in os.listdir(os.path.join(out, "project=proj")) if f.startswith("part-")]) > 1
+    r = IG.ingest_batch(IG.State.empty(spark), S.read_built(spark, out), "2026-02-01 00:00:00")
+    assert r.rejected.count() == 0 and r.results.first()["chunks"] == 4
+    assert {x["path"] for x in r.state.chunks.collect()} == {x["path"] for x in project_files.collect()}

@@ -23,3 +23,12 @@ def test_read_reference_cache_files(spark, tmp_path):
 def test_missing_cache_is_empty(spark, tmp_path):
     assert read_description_cache(spark, str(tmp_path / "nothing" / "cache.json")).count() == 0
     assert read_synthesis(spark, str(tmp_path / "nothing.json")).columns == ["project", "use_cases", "conventions_ai"]
+
+
+def test_broken_cache_is_an_error(spark, tmp_path):
+    import pytest
+    d = tmp_path / "p" / "state"
+    d.mkdir(parents=True)
+    (d / "cache.json").write_text('{"a": {"sha256": "x"')
+    with pytest.raises(Exception, match="no JSON object"):
+        read_description_cache(spark, str(tmp_path / "*" / "state" / "cache.json")).collect()

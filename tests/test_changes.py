@@ -31,14 +31,22 @@ def test_pending_work_only_misses_and_prompt(spark, project_files):
     pend = C.pending_work(project_files, work).collect()
     assert len(pend) == 4
     p = [r for r in pend if r["path"] == "src/cli.py"][0]
-    assert "File: src/cli.py" in p["prompt"] and "import os\nprint('hello')\n" in p["prompt"]
-    assert "Write exactly 2 sentence(s)" in p["prompt"]
+    assert "Path: src/cli.py" in p["prompt"] and "import os\nprint('hello')\n" in p["prompt"]
+    assert "in 2 sentences" in p["prompt"] and p["fresh"]
+
+
+def test_content_that_changed_after_hashing_is_left_out(spark, project_files):
+    work = C.classify(C.file_meta(project_files), cache_of(spark, []))
+    later = project_files.withColumn("content", F.when(F.col("path") == "src/cli.py", F.lit(b"edited\n")).otherwise(F.col("content")))
+    got = {r["path"]: r for r in DS.stand_in_descriptions(C.pending_work(later, work)).collect()}
+    assert got["src/cli.py"]["description"] is None and "changed" in got["src/cli.py"]["error"]
+    assert got["src/utils.py"]["description"] and got["src/utils.py"]["error"] is None
 
 
 def test_run_twice_second_run_has_no_misses(spark, project_files):
     empty = cache_of(spark, [])
     work = C.classify(C.file_meta(project_files), empty)
-    gen = DS.stand_in_descriptions(C.pending_work(project_files, work))
+    gen = DS.stand_in_descriptions(C.pending_work(project_files, work)).drop("error")
     cache2 = R.upsert(empty, gen, ["project", "path"])
     work2 = C.classify(C.file_meta(project_files), cache2)
     assert work2.filter("status != 'hit'").count() == 0

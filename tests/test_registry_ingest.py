@@ -116,3 +116,72 @@ def test_stream_whole_file_documents(spark, tmp_path):
     IG.start_stream(spark, str(landing), root, ckpt, json_lines=False).awaitTermination()
     st = IG.load_state(spark, root)
     assert [(r["name"], r["file_chunk_count"]) for r in st.projects.collect()] == [("Pretty", 1)]
+
+
+def everything(state):
+    return [sorted(map(str, df.collect())) for df in (state.chunks.drop("embedding"), state.projects, state.overviews)]
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "state")
+    first, second = [doc("A", {"a.py": "one"}), doc("007", {"x": "y"})], [doc("A", {"b.py": "two"}), doc("1e3", {"z": "z"})]
+    IG.ingest_to(spark, raw(spark, first), root, 0, "2026-02-01 00:00:00")
+    r = IG.ingest_to(spark, raw(spark, second), root, 1, "2026-02-02 00:00:00")
+    acts, state = sorted(map(str, r.results.collect())), everything(IG.load_state(spark, root))
+    again = IG.ingest_to(spark, raw(spark, second), root, 1, "2026-02-02 00:00:00")
+    assert sorted(map(str, again.results.collect())) == acts and everything(IG.load_state(spark, root)) == state
+    assert everything(IG.load_state(spark, root)) == everything(r.state)
+    IG.compact(spark, root)
+    assert everything(IG.load_state(spark, root)) == state
+    IG.ingest_to(spark, raw(spark, [doc("A", {"b.py": "three"})]), root, 2, "2026-02-03 00:00:00")
+    assert {r["id"]: r["text"] for r in IG.load_state(spark, root).chunks.where("project = 'A'").collect()} == {
+        "file:a.py": "one", "file:b.py": "three"}
+
+
+def test_project_names_that_look_like_values(spark, tmp_path):
+    root = str(tmp_path / "state")
+    names = ["007", "1e3", "2024-01-01", "true", "a=b/c"]
+    for b, text in enumerate(("old", "new")):
+        IG.ingest_to(spark, raw(spark, [doc(n, {"f": text}) for n in names]), root, b, "2026-02-01 00:00:00")
+    got = [(r["project"], r["text"]) for r in IG.load_state(spark, root).chunks.collect()]
+    assert sorted(got) == sorted((n, "new") for n in names)
+
+
+def test_prune_survives_storage(spark, tmp_path):
+    root = str(tmp_path / "state")
+    IG.ingest_to(spark, raw(spark, [doc("P", {"a": "1", "b": "2"}), doc("Q", {"q": "1"})]), root, 0, "2026-02-01 00:00:00")
+    IG.ingest_to(spark, raw(spark, [doc("P", {"b": "3"})]), root, 1, "2026-02-02 00:00:00", prune=True)
+    IG.ingest_to(spark, raw(spark, [doc("P", {"c": "4"})]), root, 2, "2026-02-03 00:00:00")
+    for _ in range(2):
+        got = {(r["project"], r["id"], r["text"]) for r in IG.load_state(spark, root).chunks.collect()}
+        assert got == {("P", "file:b", "3"), ("P", "file:c", "4"), ("Q", "file:q", "1")}
+        IG.compact(spark, root)
+
+
+def test_push_order_is_time_order(spark):
+    docs = [doc("T", {"a": "later"}, gen="2026-01-01T10:00:00Z"), doc("T", {"a": "earlier"}, gen="2026-01-01T11:00:00+02:00"),
+            doc("T", {"a": "no time"}, gen="zzz")]
+    r = IG.ingest_batch(IG.State.empty(spark), raw(spark, docs), "2026-02-01 00:00:00")
+    assert [x["text"] for x in r.state.chunks.collect()] == ["later"]
+
+
+def test_long_and_odd_documents(spark):
+    big = "x" * (21 << 20)
+    docs = [json.dumps({"metadata": {"name": "L"}, "files": {"a": big}}), '{"metadata": {"name": "D", "name": "E"}, "files": {}}',
+            '{"metadata": {"name": "cut"}', '{"metadata": "no object"}', '{"metadata": {"name": ""}}']
+    p = S.parse(raw(spark, docs)).select("project", "error", F.length(F.col("files")["a"]).alias("n")).collect()
+    assert [r["error"] for r in p] == [None, None, S.INVALID_JSON, S.MISSING_NAME, S.MISSING_NAME]
+    assert p[0]["n"] == len(big) and p[1]["project"] == "E"
+
+
+def test_iso_keeps_microseconds(spark):
+    df = spark.createDataFrame([("2026-01-01 00:00:00",), ("2026-01-01 00:00:00.000120",)], "t string")
+    assert [r[0] for r in df.select(R.iso(F.to_timestamp("t"))).collect()] == [
+        "2026-01-01T00:00:00+00:00", "2026-01-01T00:00:00.000120+00:00"]
+
+
+def test_collections_with_empty_project(spark):
+    reg = spark.createDataFrame([("My App",), ("none",)], "name string")
+    chunks = spark.createDataFrame([("My App", "1"), ("gone", "2")], "project string, id string")
+    assert sorted(map(tuple, R.collections(reg, chunks, "c_").collect())) == [("My App", "c_my_app", 1, False), ("none", "c_none", 0, True)]
+    assert [r[0] for r in R.collection_names(reg, "c_", "c_m").collect()] == ["c_my_app"]

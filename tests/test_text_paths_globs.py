@@ -34,11 +34,12 @@ def test_sha256(spark):
     assert got == hashlib.sha256(data).hexdigest() and len(got) == 64
 
 
-def test_first_sentences_whole_text(spark):
-    df = spark.createDataFrame([("One. Two! Three? Four", 2), ("no stop at all " * 1000, 2)], "t string, n int")
-    got = [r[0] for r in df.select(T.first_sentences(F.col("t"), F.col("n"))).collect()]
-    assert got[0] == "One. Two!"
-    assert got[1] == "no stop at all " * 1000  # one unterminated sentence: the whole text
+def test_salient_sentences_whole_text(spark):
+    df = spark.createDataFrame([("One. Two words! A longer third? Four more words", 2), ("no stop at all " * 1000, 2),
+                                ("a. " * 5000 + "The last sentence is the longest one.", 1), ("", 2)], "t string, n int")
+    got = [r[0] for r in df.select(T.salient_sentences(F.col("t"), F.col("n"))).collect()]
+    assert got == ["A longer third? Four more words", "no stop at all " * 1000, "The last sentence is the longest one.", ""]
+    assert one(spark, T.longest_line, "ab\nabc\nabd\n") == "abc"
 
 
 @pytest.mark.parametrize("path,suffix", [("a/b.py", ".py"), (".bashrc", ""), ("a.", ""), ("x/a.tar.gz", ".gz"),
@@ -99,6 +100,22 @@ def test_glob_anchored_and_dir(spark):
     assert select(spark, FILES, ["[st]*/*.py"]) == ["src/cli.py", "src/utils.py", "tests/test_main.py"]
 
 
+@pytest.mark.parametrize("pattern,hits,misses", [
+    ("*.txt", ["a.txt", "d/a.txt", "d.txt/x"], ["a.txt2", "atxt"]),
+    ("a/*.txt", ["a/x.txt"], ["a/b/x.txt", "z/a/x.txt"]),
+    ("**/b/**", ["b/x", "a/b/c/d"], ["b", "ab/x"]),
+    ("a/**/z", ["a/z", "a/b/z", "a/b/c/z"], ["az", "b/a/z"]),
+    ("build/", ["build/x", "a/build/y/z"], ["build", "a/build"]),
+    ("[!a]x", ["bx"], ["ax", "x"]), ("[]x]y", ["]y", "xy"], ["ay"]), ("a[b-d]", ["ac"], ["ae"]),
+    ("\\*.md", ["*.md"], ["a.md"]), ("\\#x", ["#x"], ["x"]), ("\\!x", ["!x"], ["x"]), ("x\\ ", ["x "], ["x"]), ("x  ", ["x"], ["x "]),
+    ("a?c", ["abc"], ["a/c", "ac"]), ("a+b.c", ["a+b.c"], ["aab.c", "a+bxc"]), ("*", ["x", "a/x", "a\nb", "x\n"], []),
+    ("x", ["x", "x/y", "d/x"], ["x\n", "xx"])])
+def test_gitignore_rules_in_columns_and_in_the_reader(spark, pattern, hits, misses):
+    assert select(spark, hits + misses, [pattern]) == sorted(hits)
+    rules = G.compile_patterns([pattern])
+    assert [p for p in hits + misses if G.selected(rules, p)] == hits
+
+
 def test_glob_bad_patterns():
     with pytest.raises(TypeError):
         G.compile_patterns("**/*")

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
-from treesnap.functions.imports import python_import_list
+import pytest
+
+from treesnap.functions.imports import py_imports
 from treesnap.operators import deps as D
 from treesnap.operators import tree as TR
 
@@ -51,15 +53,16 @@ def test_diagram_text(spark):
                                           "    src --> src_utils_py"]
 
 
-def test_python_import_list():
-    assert "os" in python_import_list("import os\n")
-    assert "pathlib" in python_import_list("from pathlib import Path\n")
-    assert ".utils" in python_import_list("from .utils import helper\n")
-    assert "...top" in python_import_list("from ...top import x\n")
-    assert python_import_list("def (broken syntax{{{") == []
-    assert python_import_list("") == []
-    assert python_import_list("x = 1\0") == []
-    assert python_import_list("from . import z\n") == []
+@pytest.mark.parametrize("source,found", [
+    ("import os\n", ["os"]), ("from pathlib import Path\n", ["pathlib"]), ("from .utils import helper\n", [".utils"]),
+    ("from ...top import x\n", ["...top"]), ("def (broken syntax{{{", []), ("", []), ("from . import z\n", []),
+    ("import a.b as c, d\nif x: import e; import f\n", ["a.b", "d", "e", "f"]), ("from.x import (\n  y,\n)\n", [".x"]),
+    ("\"\"\"\nimport no\n\"\"\"\n# import no\nx = 'import no'\n    import yes\n", ["yes"]), ("x = '#'\nimport a # b\n", ["a"]),
+    ("t = \"it's\"\nimport a\ns = 'say \\\'import b\\\''\nimport c\n", ["a", "c"]), ("important = 1\nfromage import x\n", []),
+    ("import a, \\\n   b\n", ["a", "b"]), ("'" + "x" * 200_000 + "'\nimport z\n", ["z"])])
+def test_python_imports(spark, source, found):
+    df = spark.createDataFrame([(source,)], "c string")
+    assert df.select(py_imports(F.col("c"))).first()[0] == found
 
 
 def files_df(spark, rows, project="p"):

@@ -1,16 +1,22 @@
-"""Gitignore-style path patterns compiled to regular expressions on the driver
-and evaluated as ``rlike`` column predicates (JVM side, pushed into the scan's
-projection; no per-row Python).
-
-Rules: blank lines and ``#`` comments are ignored; ``!`` negates; the last
-matching pattern decides; a leading or inner ``/`` anchors the pattern at the
-root, otherwise it matches at any depth; a trailing ``/`` matches the
-directory and everything below it; ``**`` spans directory levels; ``*`` and
-``?`` stay within one component; ``[...]`` is a character class.
+"""Gitignore-style path patterns as regular expressions, evaluated as
+``rlike`` column predicates (JVM side) or matched in Python by the tree reader.
+
+The published rules, as applied to file paths:
+
+- blank lines and lines starting with ``#`` say nothing; trailing blanks go
+  unless escaped; a backslash makes the next character literal
+- ``!`` in front takes matching paths out again; the last matching rule decides
+- a slash at the start or inside binds the rule to the root, otherwise it
+  matches at any depth; a slash at the end matches folders only, that is the
+  files below them
+- ``*``, ``?`` and ``[...]`` match within one name; ``**`` as a whole name
+  matches any number of folders, and at the end everything below
+- a rule that matches a folder matches what is below it
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -19,134 +25,85 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    regex: str
+    regex: str      # for the whole path, newlines in names included
     include: bool
     source: str
 
+    def matches(self, path: str) -> bool:
+        return re.fullmatch(self.regex, path) is not None
 
-_META = set(".^$*+?()[]{}|\\")
-
-
-def _lit(ch: str) -> str:
-    """A literal character, escaped only if it is a regex metacharacter (the
-    result runs in Java regex and RE2 alike)."""
-    return "\\" + ch if ch in _META else ch
-
-
-def _segment(seg: str) -> str:
-    """Translate one path component of a glob into a regex fragment."""
-    out, i, n = [], 0, len(seg)
-    while i < n:
-        ch = seg[i]
-        if ch == "\\" and i + 1 < n:
-            out.append(_lit(seg[i + 1]))
-            i += 2
-            continue
-        if ch == "*":
-            out.append("[^/]*")
-        elif ch == "?":
-            out.append("[^/]")
-        elif ch == "[":
-            j = i + 1
-            if j < n and seg[j] in "!^":
-                j += 1
-            if j < n and seg[j] == "]":
-                j += 1
-            while j < n and seg[j] != "]":
-                j += 1
-            if j >= n:  # unterminated: a literal '['
-                out.append("\\[")
-            else:
-                body = seg[i + 1:j]
-                neg = body[:1] in ("!", "^")
-                if neg:
-                    body = body[1:]
-                body = body.replace("\\", "\\\\")
-                out.append(("[^" if neg else "[") + body + "]")
-                i = j
-        else:
-            out.append(_lit(ch))
-        i += 1
-    return "".join(out)
+
+# what a pattern is made of, in order of precedence
+_PIECES = re.compile(r"""
+    (?P<folders>(?:^|(?<=/))\*\*/)      # any number of folders
+  | (?P<below>(?<=/)\*\*$)              # everything below
+  | (?P<run>\*+)
+  | (?P<one>\?)
+  | \[(?P<negated>[!^]?)(?P<chars>\]?[^\]]*)\]
+  | \\(?P<escaped>.)
+  | (?P<plain>.)
+""", re.X | re.S)
+
+
+def _quote(ch: str) -> str:
+    """A literal character for Java, Python and RE2 regexes alike."""
+    return "\\" + ch if ch in ".^$*+?()[]{}|\\" else ch
+
+
+def _piece(m: re.Match) -> str:
+    kind = m.lastgroup
+    if kind == "folders":
+        return "(?:[^/]+/)*"
+    if kind == "below":
+        return ".+"
+    if kind == "run":
+        return "[^/]*"
+    if kind == "one":
+        return "[^/]"
+    if kind == "chars":
+        body = m["chars"].replace("\\", r"\\").replace("[", r"\[").replace("]", r"\]")
+        return f"(?!/)[{'^' if m['negated'] else ''}{body}]" if body else ""
+    return _quote(m["escaped"] or m["plain"])
 
 
 def compile_pattern(pattern: str) -> Rule | None:
-    """Compile one gitignore-style line; None for blanks and comments."""
-    src = pattern
-    p = pattern.rstrip()
-    if p.endswith("\\") and pattern[len(p):len(p) + 1] == " ":
-        p += " "
-    if not p or p.startswith("#"):
+    """The rule of one line; None for blank lines and comments."""
+    text = re.sub(r"(?<!\\) +$", "", pattern.rstrip("\t\r\n"))
+    if not text or text.startswith("#"):
         return None
-    include = True
-    if p.startswith("!"):
-        include, p = False, p[1:]
-    if p.startswith("\\"):
-        p = p[1:]
-    segs = p.split("/")
-    if segs[0] == "":
-        segs = segs[1:]                       # leading '/': anchored
-    elif len(segs) == 1 or (len(segs) == 2 and segs[1] == ""):
-        if segs[0] != "**":
-            segs = ["**"] + segs              # no inner '/': any depth
-    if not segs:
+    include = not text.startswith("!")
+    body = text if include else text[1:]
+    folder = body.endswith("/")
+    body = body.removesuffix("/")
+    rooted, body = "/" in body, body.removeprefix("/")
+    if not body:
         return None
-    if len(segs) > 1 and segs[-1] == "":
-        segs[-1] = "**"                       # trailing '/': dir and below
-    # collapse runs of '**'
-    collapsed = []
-    for s in segs:
-        if s == "**" and collapsed and collapsed[-1] == "**":
-            continue
-        collapsed.append(s)
-    segs = collapsed
-
-    out = ["^"]
-    need_slash = False
-    last = len(segs) - 1
-    for i, seg in enumerate(segs):
-        if seg == "**":
-            if i == 0 and i == last:
-                out.append(".+")
-            elif i == 0:
-                out.append("(?:.+/)?")
-                need_slash = False
-            elif i == last:
-                out.append("/.*")
-            else:
-                out.append("(?:/.+)?")
-                need_slash = True
-        else:
-            if need_slash:
-                out.append("/")
-            out.append("[^/]+" if seg == "*" else _segment(seg))
-            if i == last:
-                out.append("(?:/.*)?")
-            need_slash = True
-    out.append("$")
-    return Rule("".join(out), include, src)
+    inner = "".join(_piece(m) for m in _PIECES.finditer(body))
+    return Rule(f"(?s){'' if rooted else '(?:.*/)?'}{inner}{'/.+' if folder else '(?:/.*)?'}", include, pattern)
 
 
 def compile_patterns(patterns: list[str] | tuple[str, ...]) -> list[Rule]:
     if isinstance(patterns, str) or not all(isinstance(p, str) for p in patterns):
         raise TypeError("patterns must be a list of strings")
-    return [r for r in (compile_pattern(p) for p in patterns) if r is not None]
+    return [r for p in patterns if (r := compile_pattern(p))]
+
+
+def selected(rules: list[Rule], path: str) -> bool:
+    """The last matching rule decides; no match is False."""
+    return next((r.include for r in reversed(rules) if r.matches(path)), False)
 
 
 def matches(path, patterns) -> Column:
-    """Boolean column: does the pattern list select ``path``? The last
-    matching rule wins; no match is False."""
+    """``selected`` as a column."""
     c = F.col(path) if isinstance(path, str) else path
-    expr = F.lit(False)
-    for rule in compile_patterns(patterns):
-        expr = F.when(c.rlike(rule.regex), F.lit(rule.include)).otherwise(expr)
-    return expr
+    rules = compile_patterns(patterns)
+    if not rules:
+        return F.lit(False)
+    return F.coalesce(*[F.when(c.rlike(f"^(?:{r.regex})\\z"), r.include) for r in reversed(rules)], F.lit(False))
 
 
 def select_paths(path, include, exclude=()) -> Column:
     """Include patterns, then exclude patterns (an empty exclude list excludes
     nothing)."""
     keep = matches(path, include)
-    if exclude:
-        keep = keep & ~matches(path, exclude)
-    return keep
+    return keep & ~matches(path, exclude) if exclude else keep

@@ -1,20 +1,16 @@
 """Dependency extractors: column expressions keyed by file extension.
 
 A parser registry maps a lower-case extension (without the dot) to a function
-``Column(content) -> Column(array<string>)``. Regex parsers run JVM side;
-the Python parser is an Arrow-batched pandas UDF over the ``.py`` rows only.
-Later registrations win on an extension conflict.
+``Column(content) -> Column(array<string>)``. The built-in ones are regexes
+that run JVM side. Later registrations win on an extension conflict.
 """
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from treesnap.functions.text import PY_WS_CLASS
 
@@ -42,26 +38,26 @@ def href_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF_PATTERN), 1)
 
 
-def python_import_list(source: str) -> list[str]:
-    """Modules imported by a Python source: ``import a.b`` gives 'a.b',
-    ``from ..x import y`` gives '..x'; ``from . import z`` gives nothing.
-    Unparseable sources give an empty list."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    found: list[str] = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            found.extend(alias.name for alias in node.names)
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            found.append("." * (node.level or 0) + node.module)
-    return found
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def py_imports(content: pd.Series) -> pd.Series:
-    return content.map(lambda s: python_import_list(s) if isinstance(s, str) else [])
+# Comments and string literals of Python sources, longest quotes first. The
+# runs are possessive, so long literals cost no stack and no backtracking.
+PY_SKIPPED = (r"""(?s)(\"{3}|'{3}).*?(?:\1|\z)|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"?"""
+              r"""|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|#[^\n]*+""")
+PY_STATEMENT = r"(?m)(?:^|[;:])[ \t\f]*+(import[ \t]+[^\n;]+|from(?:[ \t]+|(?=\.))[^\s;()#]+(?=[ \t]+import\b))"
+
+
+def py_imports(content: Column) -> Column:
+    """Modules imported by a Python source, in text order: ``import a.b, c``
+    gives 'a.b' and 'c', ``from ..x import y`` gives '..x', ``from . import
+    z`` nothing. Extraction is lexical: comments and string literals are
+    blanked and statements found by pattern, so a source that does not parse
+    still gives its well-formed import lines."""
+    code = F.regexp_replace(F.regexp_replace(content, PY_SKIPPED, '""'), r"\\\r?\n", " ")
+    statements = F.regexp_extract_all(code, F.lit(PY_STATEMENT), 1)
+    names = F.flatten(F.transform(statements, lambda s: F.when(
+        s.startswith("import"), F.transform(F.split(F.regexp_replace(s, r"^import[ \t]+", ""), ","),
+                                            lambda x: F.regexp_extract(x, r"^[\s(]*([^\s,;()]+)", 1)))
+        .otherwise(F.array(F.regexp_replace(s, r"^from[ \t]*", "")))))
+    return F.filter(names, lambda x: ~x.rlike(r"^\.*$"))
 
 
 def default_parsers() -> dict[str, Parser]:

@@ -63,11 +63,22 @@ def sentence_count(n_lines) -> Column:
 SENTENCE_PATTERN = r"[^.!?\t\n\x0b\f\r ][^.!?]*(?:[.!?]+|\z)"
 
 
-def first_sentences(text, n) -> Column:
-    """Deterministic stand-in description: the first ``n`` sentences of the
-    whole text joined by single spaces ('' when the text has none)."""
-    found = F.regexp_extract_all(_c(text), F.lit(SENTENCE_PATTERN), 0)
-    return F.array_join(F.slice(found, F.lit(1), _c(n)), " ")
+def _longest(found: Column, n) -> Column:
+    """The ``n`` longest strings (bytes; ties to the earlier one), in order."""
+    ranked = F.array_sort(F.transform(found, lambda s, i: F.struct((-F.octet_length(s)).alias("size"), i.alias("i"), s.alias("s"))))
+    kept = F.array_sort(F.transform(F.slice(ranked, F.lit(1), n), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+    return F.transform(kept, lambda x: x["s"])
+
+
+def salient_sentences(text, n) -> Column:
+    """Deterministic stand-in description: the ``n`` longest sentences of the
+    whole text, in text order, joined by single spaces ('' without any)."""
+    return F.array_join(_longest(F.regexp_extract_all(_c(text), F.lit(SENTENCE_PATTERN), 0), _c(n)), " ")
+
+
+def longest_line(text) -> Column:
+    """The longest line of the whole text, the first among equals."""
+    return F.element_at(_longest(F.split(_c(text), "\n"), F.lit(1)), 1)
 
 
 def sha256_hex(content) -> Column:

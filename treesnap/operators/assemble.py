@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from treesnap.functions import paths as P
 from treesnap.functions.text import py_strip
-from treesnap.session import bounded_broadcast
 from treesnap.operators.tree import SEC_DIRS
 
 
@@ -55,28 +54,20 @@ def _listed(df: DataFrame, sec: int, ord_col, item) -> DataFrame:
     """List items of one section with a trailing comma on all but the last."""
     rows = df.select("project", F.lit(sec).alias("sec"), ord_col.alias("ord"), item.alias("item"))
     last = rows.groupBy("project").agg(F.max("ord").alias("_last"))
-    j = rows.join(bounded_broadcast(last, "last-item"), "project", "inner")
+    j = rows.join(last, "project", "inner")
     line = F.concat(F.lit("    "), F.col("item"), F.when(F.col("ord") != F.col("_last"), F.lit(",")).otherwise(F.lit("")))
     return j.select("project", "sec", "ord", line.alias("line"))
 
 
-# Largest file tree or diagram text (bytes) that is concatenated into one
-# JSON string in the reference-compatible layout.
-MAX_TEXT_BYTES = 64 << 20
-
-
-def _joined_text(lines: DataFrame, ord_col, small: DataFrame) -> DataFrame:
-    """(project, text): the ordered lines of each *small* project joined by
-    newlines. Only projects whose measured size is within the bound reach
-    the per-project aggregation."""
-    rows = lines.join(small, "project", "left_semi").select("project", F.struct(ord_col.alias("o"), "line").alias("x"))
+def _joined_text(lines: DataFrame, ord_col) -> DataFrame:
+    """(project, text): the ordered lines of each project as one string."""
+    rows = lines.select("project", F.struct(ord_col.alias("o"), "line").alias("x"))
     g = rows.groupBy("project").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return g.select("project", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("text"))
 
 
 def document_lines(meta: DataFrame, tree_lines: DataFrame, diagram_lines: DataFrame,
-                   descriptions: DataFrame, text_fields: str = "lines",
-                   max_text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+                   descriptions: DataFrame, text_fields: str = "lines") -> DataFrame:
     """Lines of each project's document.
 
     meta: (project, generated_at, file_count, instructions, use_cases,
@@ -86,10 +77,9 @@ def document_lines(meta: DataFrame, tree_lines: DataFrame, diagram_lines: DataFr
     description). Returns (project, sec, ord, line).
 
     ``text_fields='lines'`` writes the file tree and the diagram as JSON
-    arrays of lines. ``'string'`` writes them as single strings, like the
-    reference, for every project whose tree and diagram each measure at most
-    ``max_text_bytes`` (a partial-aggregate size check first); larger
-    projects keep the array form."""
+    arrays of lines. ``'string'`` writes them as single strings for every
+    project, which needs a project's tree in one row of one task: a layout
+    for readers that know no other."""
     if text_fields not in ("lines", "string"):
         raise ValueError("text_fields must be 'lines' or 'string'")
     tree_ord = _ord(0, F.when(F.col("node_path") == "", F.array().cast("array<string>"))
@@ -100,17 +90,9 @@ def document_lines(meta: DataFrame, tree_lines: DataFrame, diagram_lines: DataFr
                     "conventions_user", "conventions_ai")
     tree_rows, arch_rows = tree_lines, diagram_lines
     if text_fields == "string":
-        size = lambda df: df.groupBy("project").agg(
-            F.sum(F.octet_length("line") + 1).alias("b"))
-        t_size, a_size = size(tree_lines), size(diagram_lines)
-        small = (t_size.join(a_size.withColumnRenamed("b", "b2"), "project", "inner")
-                 .filter((F.col("b") <= max_text_bytes) & (F.col("b2") <= max_text_bytes)).select("project"))
-        small = bounded_broadcast(small, "small-projects")
-        m = (m.join(_joined_text(tree_lines, tree_ord, small).withColumnRenamed("text", "tree_text"), "project", "left")
-             .join(_joined_text(diagram_lines, arch_ord, small).withColumnRenamed("text", "arch_text"),
-                   "project", "left"))
-        tree_rows = tree_lines.join(small, "project", "left_anti")
-        arch_rows = diagram_lines.join(small, "project", "left_anti")
+        m = (m.join(_joined_text(tree_lines, tree_ord).withColumnRenamed("text", "tree_text"), "project", "left")
+             .join(_joined_text(diagram_lines, arch_ord).withColumnRenamed("text", "arch_text"), "project", "left"))
+        tree_rows, arch_rows = tree_lines.limit(0), diagram_lines.limit(0)
     else:
         m = m.withColumn("tree_text", F.lit(None).cast("string")).withColumn("arch_text", F.lit(None).cast("string"))
 
@@ -157,4 +139,5 @@ def write_documents(lines: DataFrame, path: str, partitions: int | None = None)
                           spark.sparkContext.defaultParallelism)
     ordered = (lines.repartitionByRange(n, "project", "sec", "ord")
                .sortWithinPartitions("project", "sec", "ord"))
-    ordered.select("project", "line").write.mode("overwrite").partitionBy("project").text(path)
+    (ordered.select("project", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("project").text(path))

@@ -4,13 +4,15 @@ project-level regeneration on the changed fraction.
 
 Scale notes: ``files`` is (project, path, content). Only small columns
 (keys, hash, line count) travel through the cache join; content is read for
-cache misses only (``fetch_content``). The cache join is a shuffle on
+cache misses only. The cache join is a shuffle on
 (project, path), which spreads even a project holding a third of all files
 over every partition. Per-project counts are partial (map-side) aggregates.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,43 +59,32 @@ def pending_keys(work: DataFrame) -> DataFrame:
     return work.filter(F.col("status") != "hit").select(*KEYS, "sha256", "n_lines", "sentences", "status")
 
 
-def fetch_content(files: DataFrame, keys: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
-    """Content of the pending files. When the key set is known to be small
-    (``broadcast_rows`` is an upper bound already checked by the caller) it is
-    broadcast so the big files table is scanned without a shuffle; otherwise a
-    shuffle join on (project, path)."""
-    k = F.broadcast(keys) if broadcast_rows is not None else keys
-    return files.join(k, KEYS, "inner")
+# Own wording; {path}, {content} and {sentences} are filled in per file.
+DESCRIBE_TEMPLATE = ("Describe one file of a code base in {sentences} sentences: why it exists, what other files can "
+                     "take from it, and what it depends on. Plain facts, no preamble.\n\nPath: {path}\n"
+                     "----- content -----\n{content}\n----- end -----")
 
 
-def checked_broadcast_rows(keys: DataFrame, limit: int) -> int | None:
-    """Count the key set and return the count when it is at most ``limit``
-    (safe to broadcast), else None."""
-    n = keys.count()
-    return n if n <= limit else None
+def fill(template: str, values: dict) -> F.Column:
+    """A template with {names} as a column expression."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
-def describe_prompt(path, content, sentences):
+def describe_prompt(path, content, sentences, template: str = DESCRIBE_TEMPLATE):
     """The per-file prompt handed to a description model."""
-    return F.concat(
-        F.lit("You are analysing a source file in a software project.\nFile: "), path,
-        F.lit("\n\n<file_content>\n"), content, F.lit("\n</file_content>\n\nWrite exactly "),
-        sentences.cast("string"),
-        F.lit(" sentence(s) describing this file. Focus on: its purpose, the key "
-              "classes/functions/exports it defines, and how it fits into the broader "
-              "project. Be dense and precise — this description will be read by an AI "
-              "assistant, not a human."))
-
-
-def pending_work(files: DataFrame, work: DataFrame, broadcast_limit: int = 250_000) -> DataFrame:
-    """Misses joined to their content, with the decoded text and prompt."""
-    keys = pending_keys(work)
-    rows = checked_broadcast_rows(keys, broadcast_limit) if broadcast_limit else None
-    j = fetch_content(files.select(*KEYS, "content"), keys, rows)
+    return fill(template, {"path": path, "content": content, "sentences": sentences})
+
+
+def pending_work(files: DataFrame, work: DataFrame, template: str = DESCRIBE_TEMPLATE) -> DataFrame:
+    """Misses joined to their content, with the decoded text and prompt.
+    ``fresh`` is false where the content read now no longer has the hash that
+    was classified: such a file is left to the next run."""
+    j = files.select(*KEYS, "content").join(pending_keys(work), KEYS)
     text = T.utf8_text("content")
-    return j.select(*KEYS, "sha256", "status", "n_lines", "sentences",
-                    text.alias("text"),
-                    describe_prompt(F.col("path"), text, F.col("sentences")).alias("prompt"))
+    return j.select(*KEYS, "sha256", "status", "n_lines", "sentences", text.alias("text"),
+                    describe_prompt(F.col("path"), text, F.col("sentences"), template).alias("prompt"),
+                    (T.sha256_hex("content") == F.col("sha256")).alias("fresh"))
 
 
 def merge_descriptions(work: DataFrame, generated: DataFrame) -> DataFrame:

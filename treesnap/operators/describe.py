@@ -1,83 +1,98 @@
 """Model calls at the edges: file descriptions, project synthesis and
 embeddings. Each has a deterministic JVM-side stand-in (so everything runs
 offline and reproducibly) and a helper that runs a user-supplied function
-over Arrow batches with bounded concurrency (``repartition(n)`` before
-``mapInPandas``: n tasks = n concurrent callers at most).
+over Arrow batches in many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import re
-
 import numpy as np
-import xxhash
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treesnap.functions.text import first_sentences, py_strip
+from treesnap.functions.text import py_strip, salient_sentences
 
 # Output budgets per call and default concurrency.
 DESCRIBE_MAX_TOKENS = 512
 SYNTH_MAX_TOKENS = 2048
 DEFAULT_CONCURRENCY = 10
 EMBED_DIM = 64
+CALL_ROWS = 16          # prompts in one model call
+ITEMS_PER_TASK = 1000   # files in one task
+TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
 def stand_in_descriptions(pending: DataFrame) -> DataFrame:
-    """(project, path, sha256, description): the first ``sentences``
-    sentences of each pending file's whole text."""
+    """(project, path, sha256, description, error): the ``sentences`` longest
+    sentences of each fresh pending file's whole text."""
     return pending.select("project", "path", "sha256",
-                          first_sentences(F.col("text"), F.col("sentences")).alias("description"))
-
-
-def describe_with(pending: DataFrame, complete: Callable[[list[str], int], list[str]],
-                  concurrency: int = DEFAULT_CONCURRENCY) -> DataFrame:
-    """Run ``complete(prompts, max_tokens) -> texts`` over the pending work,
-    at most ``concurrency`` tasks at a time; results are stripped. A failing
-    batch fails its task (Spark retries it); finished partitions are kept by
-    the caller's write."""
-    schema = T.StructType([T.StructField("project", T.StringType()), T.StructField("path", T.StringType()),
-                           T.StructField("sha256", T.StringType()), T.StructField("description", T.StringType())])
+                          F.when(F.col("fresh"), salient_sentences(F.col("text"), F.col("sentences"))).alias("description"),
+                          stale().alias("error"))
+
+
+def stale() -> Column:
+    return F.when(~F.col("fresh"), F.lit("content changed while the run read it"))
+
+
+def call_model(rows: DataFrame, complete: Callable[[list[str], int], list[str]], max_tokens: int, tasks: int,
+               call_rows: int = CALL_ROWS) -> DataFrame:
+    """The columns of ``rows`` without ``prompt``, plus answer (stripped) and
+    error. ``complete(prompts, max_tokens) -> texts`` gets up to ``call_rows``
+    prompts; when a call fails its prompts are tried one by one, and a prompt
+    that fails alone becomes an error row, so the others' answers are kept.
+    ``tasks`` is the number of pieces the work is cut into; how many run at
+    once is the cluster's to say (task slots)."""
+    keep = [f for f in rows.schema.fields if f.name != "prompt"]
+    schema = T.StructType([*keep, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
+
+    def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            texts = complete(prompts, max_tokens)
+            if len(texts) != len(prompts):
+                raise ValueError(f"{len(texts)} answers to {len(prompts)} prompts")
+            return [(str(t).strip(), None) for t in texts]
+        except Exception as e:  # reported per prompt
+            if len(prompts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [x for p in prompts for x in ask([p])]
 
     def run(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            out = complete(pdf["prompt"].tolist(), DESCRIBE_MAX_TOKENS)
-            yield pd.DataFrame({"project": pdf["project"], "path": pdf["path"], "sha256": pdf["sha256"],
-                                "description": [str(x).strip() for x in out]})
+            for lo in range(0, len(pdf), call_rows):
+                part = pdf.iloc[lo:lo + call_rows]
+                got = ask(part["prompt"].tolist())
+                yield part.drop(columns="prompt").astype(object).assign(answer=[x[0] for x in got], error=[x[1] for x in got])
 
-    work = pending.select("project", "path", "sha256", "prompt").repartition(concurrency)
-    return work.mapInPandas(run, schema)
+    return rows.repartition(tasks).mapInPandas(run, schema)
 
 
-_TOKEN = re.compile(r"[^\W_]+")
-
-
-def _hashed_vector(text, dim: int) -> np.ndarray:
-    counts = np.zeros(dim, dtype=np.float64)
-    if isinstance(text, str):
-        toks = _TOKEN.findall(text.lower())
-        if toks:
-            idx = np.fromiter((xxhash.xxh64_intdigest(t) % dim for t in toks), dtype=np.int64, count=len(toks))
-            counts = np.bincount(idx, minlength=dim).astype(np.float64)
-    norm = np.sqrt((counts * counts).sum())
-    return (counts / norm if norm > 0 else counts).astype(np.float32)
-
-
-def hashed_embedding(text, dim: int = EMBED_DIM):
-    """Stand-in embedding: counts of lower-cased word tokens hashed into
-    ``dim`` buckets, L2-normalised (zeros for text without words). An
-    Arrow-batched pandas UDF: one pass over each text, no per-row JVM
-    round trips."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: _hashed_vector(x, dim))
-    return embed(F.col(text) if isinstance(text, str) else text)
+def describe_with(pending: DataFrame, complete: Callable[[list[str], int], list[str]],
+                  concurrency: int = DEFAULT_CONCURRENCY, items: int | None = None) -> DataFrame:
+    """(project, path, sha256, description, error) for the pending work, one
+    row per file. With ``items``, their number, the work is cut into tasks of
+    about ITEMS_PER_TASK files, ``concurrency`` tasks at least."""
+    tasks = max(concurrency, -(-(items or 0) // ITEMS_PER_TASK))
+    asked = call_model(pending.where("fresh").select("project", "path", "sha256", "prompt"), complete, DESCRIBE_MAX_TOKENS, tasks)
+    skipped = pending.where("not fresh").select("project", "path", "sha256", F.lit(None).cast("string").alias("description"), stale().alias("error"))
+    return asked.withColumnRenamed("answer", "description").unionByName(skipped)
+
+
+def hashed_embedding(text, dim: int = EMBED_DIM) -> Column:
+    """Stand-in embedding: counts of lower-cased word tokens in ``dim``
+    buckets by md5, L2-normalised (zeros for text without words)."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    tokens = F.regexp_extract_all(F.lower(t), F.lit(TOKEN_PATTERN), 0)
+    buckets = F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+
+    def unit(b: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double"))
+        return F.transform(F.array(counts), lambda c: F.transform(F.array(F.sqrt(F.aggregate(
+            c, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))[0])[0]
+
+    return F.transform(F.array(buckets), unit)[0]
 
 
 def with_hashed_embedding(df: DataFrame, text_col: str = "text", out_col: str = "embedding",

@@ -17,14 +17,20 @@ from pyspark.sql import functions as F
 
 from treesnap.functions import paths as P
 from treesnap.functions.text import blank_to_null, py_strip
-from treesnap.session import bounded_broadcast
 
 # Overview fields in their fixed order, and the conventions
 # block labels.
 OVERVIEW_FIELDS = ("use_cases", "conventions", "diagram", "file_tree")
 USER_LABEL, AI_LABEL = "[User-defined]", "[AI-inferred]"
 CHUNK_ID_PREFIX = "file:"
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ssxxx"
+
+
+def iso(ts) -> F.Column:
+    """ISO text of a timestamp; microseconds only where there are any."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    whole = F.date_trunc("second", c) == c
+    return F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
+
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,21 +40,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(old.select(*cols).join(new.select(*keys), keys, "left_anti"))
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the greatest ``order`` per key (last writer wins)."""
-    other = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*other), F.col(order)).alias("_r"))
-    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in other])
+def latest_per_key(df: DataFrame, keys: list[str], order) -> DataFrame:
+    """The row with the greatest ``order`` (a column, unique per key) per key.
+    Only keys and order are aggregated; wide columns are joined once."""
+    numbered = df.withColumn("_order", order)
+    win = numbered.groupBy(*keys).agg(F.max("_order").alias("_order"))
+    return numbered.join(win, [*keys, "_order"], "left_semi").drop("_order")
 
 
 def chunks_from_documents(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """One chunk per file entry with a non-blank description:
     (project, id='file:'+path, path, text=stripped description)."""
-    e = docs.select("project", *extra, F.explode_outer("files").alias("path", "description"))
+    e = docs.select("project", *extra, F.posexplode_outer("files").alias("file_pos", "path", "description"))
     text = py_strip("description")
     return (e.filter(F.col("path").isNotNull() & F.col("description").isNotNull() & (text != ""))
             .select("project", F.concat(F.lit(CHUNK_ID_PREFIX), F.col("path")).alias("id"), "path",
-                    text.alias("text"), *extra))
+                    text.alias("text"), "file_pos", *extra))
 
 
 def overview_fields(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
@@ -95,7 +102,7 @@ def overview_upsert(old: DataFrame, batch: DataFrame, updated_at) -> DataFrame:
 def list_projects(registry: DataFrame) -> DataFrame:
     """Registry listing ordered by name with ISO timestamps."""
     return registry.select(F.col("name").alias("project"), F.col("file_chunk_count").alias("chunks"),
-                           F.date_format("last_indexed_at", ISO_FORMAT).alias("last_indexed_at")
+                           iso("last_indexed_at").alias("last_indexed_at")
                            ).orderBy("project")
 
 
@@ -103,10 +110,9 @@ def overview_lookup(requests: DataFrame, overviews: DataFrame) -> DataFrame:
     """requests(project, field, ...) -> (..., project, field, value, error).
     Unknown project or an empty field gives an error row instead of a
     value. Other request columns are passed through."""
-    ov = overviews.select("project", F.lit(True).alias("_known"),
-                          F.create_map(*[x for f in OVERVIEW_FIELDS for x in (F.lit(f), F.col(f))]).alias("_m"))
-    j = requests.join(bounded_broadcast(ov, "overviews"), "project", "left")
-    value = F.element_at(F.col("_m"), F.col("field"))
+    ov = overviews.select("project", F.lit(True).alias("_known"), *[F.col(f).alias(f"_{f}") for f in OVERVIEW_FIELDS])
+    j = requests.join(ov, "project", "left")
+    value = F.coalesce(*[F.when(F.col("field") == f, F.col(f"_{f}")) for f in OVERVIEW_FIELDS])
     quoted = F.concat(F.lit("'"), F.col("project"), F.lit("'"))
     error = (F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown project "), quoted))
              .when(value.isNull() | (value == ""),
@@ -131,8 +137,15 @@ def file_lookup(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return j.select("path", F.col("match_project").alias("project"), "text", err.alias("error"))
 
 
-def collections(chunks: DataFrame, prefix: str = "") -> DataFrame:
-    """Per project: collection slug name, chunk count and emptiness."""
+def collections(registry: DataFrame, chunks: DataFrame, prefix: str = "") -> DataFrame:
+    """Per registered project: collection name, chunk count and emptiness."""
     g = chunks.groupBy("project").agg(F.count(F.lit(1)).alias("chunks"))
-    return g.select("project", F.concat(F.lit(prefix), P.slug("project")).alias("collection"),
-                    F.col("chunks").cast("bigint").alias("chunks"), (F.col("chunks") == 0).alias("is_empty"))
+    n = F.coalesce("chunks", F.lit(0)).cast("bigint")
+    return registry.select(F.col("name").alias("project")).join(g, "project", "left").select(
+        "project", F.concat(F.lit(prefix), P.slug("project")).alias("collection"), n.alias("chunks"), (n == 0).alias("is_empty"))
+
+
+def collection_names(registry: DataFrame, prefix: str = "", starting: str = "") -> DataFrame:
+    """Names of the collections that start with ``starting``, in order."""
+    name = F.concat(F.lit(prefix), P.slug("name"))
+    return registry.select(name.alias("collection")).where(F.col("collection").startswith(starting)).distinct().orderBy("collection")

@@ -72,11 +72,18 @@ def tree_edges(paths: DataFrame) -> DataFrame:
                     "f.first_file", F.col("f.pos").alias("first_pos"))
 
 
+def last_children(nd: DataFrame) -> DataFrame:
+    """(project, node_path): the last child of every directory, by name."""
+    last = nd.groupBy("project", "parent").agg(F.max("name").alias("name"))
+    path = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat("parent", F.lit("/"), "name"))
+    return last.select("project", path.alias("node_path"))
+
+
 def sibling_flags(nd: DataFrame) -> DataFrame:
-    """is_last: the node has the greatest name among its siblings."""
-    last = nd.groupBy("project", "parent").agg(F.max("name").alias("last_name"))
-    j = nd.join(last, ["project", "parent"], "inner")
-    return j.select(*nd.columns, (F.col("name") == F.col("last_name")).alias("is_last"))
+    """is_last: the node has the greatest name among its siblings. Joined on
+    the node's own path, which is unique, so a large directory is no hot key."""
+    j = nd.join(last_children(nd).withColumn("_last", F.lit(True)), ["project", "node_path"], "left")
+    return j.select(*nd.columns, F.coalesce("_last", F.lit(False)).alias("is_last"))
 
 
 def tree_lines(paths: DataFrame, root_name=None) -> DataFrame:
@@ -86,7 +93,7 @@ def tree_lines(paths: DataFrame, root_name=None) -> DataFrame:
     flagged = sibling_flags(nodes(paths))
     anc = flagged.select("project", "node_path", "depth", F.explode(_levels(F.col("depth"))).alias("level"))
     anc = anc.select("project", "node_path", "level", P.ancestor("node_path", F.col("level")).alias("anc_path"))
-    af = flagged.select("project", F.col("node_path").alias("anc_path"), F.col("is_last").alias("anc_last"))
+    af = flagged.where("is_dir").select("project", F.col("node_path").alias("anc_path"), F.col("is_last").alias("anc_last"))
     piece = F.when(F.col("anc_last"), F.lit(SPACE_PREFIX)).otherwise(F.lit(PIPE_PREFIX))
     pre = (anc.join(af, ["project", "anc_path"], "inner")
            .groupBy("project", "node_path")

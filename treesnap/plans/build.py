@@ -8,10 +8,11 @@ snapshot documents, plus the updated description cache and synthesis.
           ├─ tree lines / diagram (tree + dependency edges)
           └─ document lines ─ write (range partitioned, per project folder)
 
-Three cuts (written to the shared checkpoint folder): the classified work
-table (hashing and the cache join run once), the generated descriptions (the
-model is called exactly once per miss, however many branches read them) and
-the described work table that the four output branches read.
+Cuts are written to the shared checkpoint folder: the classified work table
+(hashing and the cache join run once), the answers of the models (kept before
+anything reads them) and the described work table that the output branches
+read. A file whose description fails gets an error row and stays a miss, so
+the next run asks for it alone.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from treesnap.operators import synthesis as SY
 from treesnap.operators import tree as TR
 from treesnap.session import materialize
 
-ISO = "yyyy-MM-dd'T'HH:mm:ssxxx"
 
 
 @dataclass
@@ -52,7 +52,7 @@ class BuildSettings:
     # one model for descriptions and synthesis: complete(prompts, max_tokens) -> texts
     complete: Callable[[list[str], int], list[str]] | None = None
     concurrency: int = DS.DEFAULT_CONCURRENCY
-    text_fields: str = "lines"               # 'string': reference layout for projects under the size bound
+    text_fields: str = "lines"               # 'string': tree and diagram as one string each
     prune_cache: bool = False                # drop cache entries of files no longer present
 
 
@@ -66,6 +66,9 @@ class BuildResult:
     dep_edges: DataFrame
     diagram_lines: DataFrame
     document_lines: DataFrame
+    errors: DataFrame          # project, path ('' for the project's texts), error
+    changed_cache: DataFrame   # the whole cache of the projects whose cache changed
+    changed_synthesis: DataFrame
 
 
 def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: BuildSettings | None = None
@@ -79,11 +82,15 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
     if s.describe:
         generated = s.describe(pending)
     elif s.complete:
-        generated = DS.describe_with(pending, s.complete, s.concurrency)
+        generated = DS.describe_with(pending, s.complete, s.concurrency, C.pending_keys(work).count())
     else:
         generated = DS.stand_in_descriptions(pending)
-    if s.checkpoint:  # the model runs exactly once per miss
+    if "error" not in generated.columns:
+        generated = generated.withColumn("error", F.lit(None).cast("string"))
+    if s.checkpoint:  # answers are stored before anything reads them
         generated = materialize(generated, "descriptions")
+    errors = generated.where("error is not null").select("project", "path", "error")
+    generated = generated.where("error is null")
     merged = C.merge_descriptions(work, generated)
     if s.checkpoint:
         merged = materialize(merged, "described")
@@ -99,36 +106,58 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
             tree_rows = materialize(tree_rows, "tree-lines")
         prompts = SY.prompts(gate, tree_rows, merged.select("project", "path", "description"),
                              s.instructions, s.user_conventions)
-        regenerated = SY.synthesize_with(prompts, s.complete, s.concurrency)
+        answered = SY.synthesize_with(prompts, s.complete, s.concurrency)
+        if s.checkpoint:  # project texts are generated once
+            answered = materialize(answered, "synthesis")
+        errors = errors.unionByName(answered.where("error is not null").select("project", F.lit("").alias("path"), "error"))
+        regenerated = answered.where("error is null").drop("error")
     else:
         regenerated = DS.stand_in_synthesis(gate, merged)
-    if s.checkpoint:  # project texts are generated once
-        regenerated = materialize(regenerated, "synthesis")
+    if s.checkpoint:
+        regenerated = materialize(regenerated, "regenerated")
     new_synthesis = DS.merge_synthesis(synthesis, regenerated)
     new_cache = R.upsert(cache.select("project", "path", "sha256", "description"),
                          generated.select("project", "path", "sha256", "description"), ["project", "path"])
     if s.prune_cache:  # keep entries of current files only
         new_cache = new_cache.join(merged.select("project", "path"), ["project", "path"], "left_semi")
 
+    dirty = generated.select("project").distinct()
+    if s.prune_cache:  # projects that lose entries change too
+        gone = cache.join(merged.select("project", "path"), ["project", "path"], "left_anti").select("project").distinct()
+        dirty = dirty.unionByName(gone).distinct()
+    changed_cache = new_cache.join(dirty, "project", "left_semi")
+
     edges = D.dependency_edges(sel, build_registry(s.parsers) if s.parsers else None)
     diagram = TR.diagram_tree_lines(paths).unionByName(D.diagram_dep_lines(edges))
 
-    gen = F.lit(s.generated_at) if s.generated_at else F.date_format(F.current_timestamp(), ISO)
+    gen = F.lit(s.generated_at) if s.generated_at else R.iso(F.current_timestamp())
     counts = merged.groupBy("project").agg(F.count(F.lit(1)).cast("int").alias("file_count"))
     meta = counts.join(new_synthesis, "project", "left").select(
         "project", gen.alias("generated_at"), "file_count", F.lit(s.instructions).alias("instructions"),
         "use_cases", F.lit(s.user_conventions).alias("conventions_user"), "conventions_ai")
     doc = A.document_lines(meta, tree_rows, diagram,
                            merged.select("project", "path", "description"), text_fields=s.text_fields)
-    return BuildResult(merged, gate, new_synthesis, new_cache, tree, edges, diagram, doc)
+    return BuildResult(merged, gate, new_synthesis, new_cache, tree, edges, diagram, doc, errors, changed_cache, regenerated)
 
 
 def write_build(result: BuildResult, out: str) -> None:
-    """Persist a build: documents, then the cache and synthesis (dynamic
-    partition overwrite by project, so a failed run leaves other projects'
-    state untouched and a rerun repeats only the same work)."""
+    """Persist a build: documents, then the cache and synthesis of the
+    projects that changed (dynamic partition overwrite by project). A run
+    without misses writes neither."""
     A.write_documents(result.document_lines, f"{out}/documents")
-    (materialize(result.cache, "cache").sortWithinPartitions("project", "path").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{out}/cache"))
-    (materialize(result.synthesis, "synthesis").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{out}/synthesis"))
+    for name, df, order in (("cache", result.changed_cache, ["project", "path"]), ("synthesis", result.changed_synthesis, ["project"])):
+        rows = materialize(df, name)  # its plan may read the partitions it replaces
+        if not rows.isEmpty():
+            (rows.sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("project").parquet(f"{out}/{name}"))
+
+
+CACHE_SCHEMA = "path string, sha256 string, description string, project string"
+SYNTHESIS_SCHEMA = "use_cases string, conventions_ai string, project string"
+
+
+def read_state(spark, out: str) -> tuple[DataFrame, DataFrame]:
+    """The cache and synthesis under ``out``. The schema is given, as project
+    names in folder names may look like numbers or dates."""
+    return (spark.read.schema(CACHE_SCHEMA).parquet(f"{out}/cache").select("project", "path", "sha256", "description"),
+            spark.read.schema(SYNTHESIS_SCHEMA).parquet(f"{out}/synthesis").select("project", "use_cases", "conventions_ai"))

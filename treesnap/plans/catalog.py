@@ -86,12 +86,15 @@ def q_change_status(spark, sf_dir):
     return work.select("project", "path", "sha256", "status", "description")
 
 
-PROMPT_SQL = ("'You are analysing a source file in a software project.' || chr(10) || 'File: ' || path"
-              " || chr(10) || chr(10) || '<file_content>' || chr(10) || text || chr(10) || '</file_content>'"
-              " || chr(10) || chr(10) || 'Write exactly ' || CAST(sentences AS VARCHAR) || ' sentence(s) describing "
-              "this file. Focus on: its purpose, the key classes/functions/exports it defines, and how it fits "
-              "into the broader project. Be dense and precise — this description will be read by an AI "
-              "assistant, not a human.'")
+def template_sql(template: str, values: dict[str, str]) -> str:
+    """A template with {names} as a SQL expression."""
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return " || ".join(values[x] if i % 2 else quote(x) for i, x in enumerate(parts))
+
+
+PROMPT_SQL = template_sql(changes.DESCRIBE_TEMPLATE, {"path": "path", "content": "text", "sentences": "CAST(sentences AS VARCHAR)"})
 
 
 @register("pending_work", f"""
@@ -342,17 +345,15 @@ def q_link_extract(spark, sf_dir):
 
 SQL_PY_FILES = """
   SELECT source AS project, lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.py' AS path, lang, doc_id,
-         (doc_id * 3) % (SELECT count(*) FROM documents) AS x, (doc_id * 3) % 20 AS k,
-         -- the module parses unless the text closes or escapes its triple-quoted literal
-         strpos(text, '''''''') = 0 AND NOT ends_with(text, '''') AND strpos(text, chr(92)) = 0 AS parses
+         (doc_id * 3) % (SELECT count(*) FROM documents) AS x, (doc_id * 3) % 20 AS k
   FROM documents"""
 
 
 @register("py_imports", f"""
   SELECT project, path, CAST(dep_ord AS INTEGER) AS dep_ord, dep FROM (
-    SELECT project, path, 0 AS dep_ord, 'os' AS dep FROM ({SQL_PY_FILES}) WHERE parses
-    UNION ALL SELECT project, path, 1, '.doc_' || CAST(x AS VARCHAR) FROM ({SQL_PY_FILES}) WHERE parses
-    UNION ALL SELECT project, path, 2, '..src' || CAST(k AS VARCHAR) FROM ({SQL_PY_FILES}) WHERE parses)""")
+    SELECT project, path, 0 AS dep_ord, 'os' AS dep FROM ({SQL_PY_FILES})
+    UNION ALL SELECT project, path, 1, '.doc_' || CAST(x AS VARCHAR) FROM ({SQL_PY_FILES})
+    UNION ALL SELECT project, path, 2, '..src' || CAST(k AS VARCHAR) FROM ({SQL_PY_FILES}))""")
 def q_py_imports(spark, sf_dir):
     files = TB.python_files(_documents(spark, sf_dir))
     return D.raw_dependencies(files).select("project", "path", "dep_ord", "dep")
@@ -360,7 +361,7 @@ def q_py_imports(spark, sf_dir):
 
 @register("py_dep_edges", f"""
   WITH f AS ({SQL_PY_FILES}),
-  d AS (SELECT project, path, lang || '/doc_' || CAST(x AS VARCHAR) || '.py' AS cand FROM f WHERE parses)
+  d AS (SELECT project, path, lang || '/doc_' || CAST(x AS VARCHAR) || '.py' AS cand FROM f)
   SELECT d.project, d.path AS src_path, d.cand AS dst_path, translate(d.path, '/.-', '___') AS src_id,
          translate(d.cand, '/.-', '___') AS dst_id, CAST(1 AS INTEGER) AS dep_ord
   FROM d JOIN f ON f.project = d.project AND f.path = d.cand
@@ -408,12 +409,22 @@ from treesnap.streaming import ingest as IG  # noqa: E402
 
 def py_strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{PY_WS_CLASS}+', ''), '{PY_WS_CLASS}+\\z', '')"
-DESC_SQL = f"array_to_string(regexp_extract_all(text, '{SENTENCE_RE}', 0)[1:sentences], ' ')"
+def longest_sql(found: str, n: str) -> str:
+    """The n longest strings of a list (bytes, ties to the earlier), in order."""
+    ranked = f"list_sort(list_transform({found}, lambda s, i: {{'z': -strlen(s), 'i': i, 's': s}}))[1:{n}]"
+    return f"list_transform(list_sort(list_transform({ranked}, lambda x: {{'i': x.i, 's': x.s}})), lambda x: x.s)"
+
+
+def salient_sql(text: str, n: str) -> str:
+    return f"array_to_string({longest_sql(f"regexp_extract_all({text}, '{SENTENCE_RE}', 0)", n)}, ' ')"
+
+
+DESC_SQL = salient_sql("text", "sentences")
 
 
 def _descriptions(spark, sf_dir):
     files, cache, work = _work(spark, sf_dir)
-    generated = DS.stand_in_descriptions(changes.pending_work(files, work))
+    generated = DS.stand_in_descriptions(changes.pending_work(files, work)).drop("error")
     return files, cache, changes.merge_descriptions(work, generated), generated
 
 
@@ -450,10 +461,9 @@ SQL_PUSHES = f"""
   SELECT doc_id, source || '-' || lang AS project,
          CASE WHEN doc_id < (SELECT count(*) FROM documents) / 2 THEN 0 ELSE 1 END AS batch,
          {DOC_PATH} AS path,
-         array_to_string(regexp_extract_all(text, '{SENTENCE_RE}', 0)[1:{SENTENCES.format(n=N_LINES)}], ' ')
-           AS description,
-         array_to_string(regexp_extract_all(text, '{SENTENCE_RE}', 0)[1:1], ' ') AS readme,
-         split_part(text, chr(10), 1) AS use_cases,
+         {salient_sql('text', SENTENCES.format(n=N_LINES))} AS description,
+         {salient_sql('text', '1')} AS readme,
+         {longest_sql('string_split(text, chr(10))', '1')}[1] AS use_cases,
          CASE WHEN lang = 'en' THEN '' ELSE '  Write ' || lang || ' prose.  ' END AS conv_user,
          CASE WHEN lang = 'de' THEN '   ' ELSE 'Sources come from ' || source || '.' END AS conv_ai,
          source || '-' || lang || '/' || chr(10) || '└── doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS file_tree,
@@ -529,7 +539,7 @@ def q_registry_upsert(spark, sf_dir):
     _, second, state, _ = _ingested(spark, sf_dir)
     acted = second.results.select(F.col("project").alias("name"), "action")
     reg = state.projects.join(acted, "name", "left")
-    return reg.select("name", F.date_format("last_indexed_at", R.ISO_FORMAT).alias("last_indexed_at"),
+    return reg.select("name", R.iso("last_indexed_at").alias("last_indexed_at"),
                       "file_chunk_count", F.coalesce("action", F.lit("kept")).alias("action"))
 
 
@@ -539,9 +549,8 @@ def q_registry_upsert(spark, sf_dir):
 def q_chunk_upsert(spark, sf_dir):
     _, _, state, _ = _ingested(spark, sf_dir)
     c = state.chunks
-    # push_order carries generated_at; map it back to the pushing doc_id
-    secs = F.unix_timestamp(F.to_timestamp(F.col("push_order"), "yyyy-MM-dd'T'HH:mm:ssXXX")) - \
-        F.unix_timestamp(F.lit(TB.PUSH_EPOCH))
+    # the push time carries the pushing doc_id
+    secs = F.unix_timestamp("pushed") - F.unix_timestamp(F.lit(TB.PUSH_EPOCH))
     return c.select("project", "id", "path", "text", secs.cast("bigint").alias("push_doc"))
 
 
@@ -611,17 +620,36 @@ def q_file_lookup(spark, sf_dir):
     return R.file_lookup(req, state.chunks)
 
 
+SQL_REGISTERED = f"""
+  SELECT name AS project FROM ({SQL_REGISTRY})
+  UNION ALL SELECT DISTINCT 'empty ' || lang FROM documents"""
+SQL_SLUG = ("(CASE WHEN regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g') = '' THEN 'default' ELSE "
+            "regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END)")
+
+
+def _registered(spark, sf_dir, state):
+    """The ingested registry and one project without chunks per language."""
+    empty = _documents(spark, sf_dir).select(F.concat(F.lit("empty "), "lang").alias("name")).distinct()
+    return state.projects.select("name").unionByName(empty)
+
+
 @register("collections", f"""
   WITH ch AS (SELECT * FROM ({SQL_PUSH_CHUNKS})
               QUALIFY row_number() OVER (PARTITION BY project, id ORDER BY doc_id DESC) = 1),
-  g AS (SELECT project, count(*) AS chunks FROM ch GROUP BY project),
-  s AS (SELECT project, chunks,
-          regexp_replace(regexp_replace(lower(project), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM g)
-  SELECT project, CASE WHEN s = '' THEN 'default' ELSE s END AS collection, CAST(chunks AS BIGINT) AS chunks,
-         chunks = 0 AS is_empty FROM s""")
+  g AS (SELECT project, count(*) AS chunks FROM ch GROUP BY project)
+  SELECT r.project, {SQL_SLUG.format(x='r.project')} AS collection, CAST(coalesce(chunks, 0) AS BIGINT) AS chunks,
+         coalesce(chunks, 0) = 0 AS is_empty FROM ({SQL_REGISTERED}) r LEFT JOIN g USING (project)""")
 def q_collections(spark, sf_dir):
     _, _, state, _ = _ingested(spark, sf_dir)
-    return R.collections(state.chunks)
+    return R.collections(_registered(spark, sf_dir, state), state.chunks)
+
+
+@register("collection_names", f"""
+  SELECT DISTINCT 'files_' || {SQL_SLUG.format(x='project')} AS collection FROM ({SQL_REGISTERED})
+  WHERE starts_with('files_' || {SQL_SLUG.format(x='project')}, 'files_src1')""")
+def q_collection_names(spark, sf_dir):
+    _, _, state, _ = _ingested(spark, sf_dir)
+    return R.collection_names(_registered(spark, sf_dir, state), "files_", "files_src1")
 
 
 # ---------------------------------------------------------------- 7. search
@@ -630,8 +658,8 @@ SQL_KNN = """
   c AS (SELECT CAST(label AS VARCHAR) AS project, vec_id, 'file:vec_' || CAST(vec_id AS VARCHAR) AS id, embedding
         FROM embeddings),
   d AS (SELECT q.query_id, c.project, c.vec_id, c.id,
-               list_sum(list_transform(list_zip(c.embedding, q.qv),
-                                       lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ^ 2)) AS dist
+               round(list_sum(list_transform(list_zip(c.embedding, q.qv),
+                                       lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ^ 2)), 9) AS dist
         FROM q, c),
   pp AS (SELECT *, row_number() OVER (PARTITION BY query_id, project ORDER BY dist, id) AS prank FROM d
          QUALIFY prank <= 5)"""
@@ -663,19 +691,81 @@ def q_knn_per_project(spark, sf_dir):
     FROM pp) WHERE rank <= 5""")
 def q_knn_global(spark, sf_dir):
     chunks, queries = _knn_inputs(spark, sf_dir)
-    g = SR.search(chunks, queries, k=5)
+    g = SR.search(chunks, queries, None, k=5)
+    return g.select("query_id", F.col("rank").cast("int").alias("rank"), "project", "vec_id", "score")
+
+
+SQL_TOP5 = """
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, project, {cols}, score FROM (
+    SELECT *, round(1 - dist, 4) AS score,
+           row_number() OVER (PARTITION BY query_id ORDER BY round(1 - dist, 4) DESC, project, dist, id) AS rank
+    FROM ({scored})) WHERE rank <= 5"""
+DOT_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+
+
+def cosine_sql(a: str, b: str) -> str:
+    dot = lambda x, y: DOT_SQL.format(a=x, b=y)
+    return (f"round(1 - CASE WHEN {dot(a, a)} > 0 AND {dot(b, b)} > 0 "
+            f"THEN {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})) ELSE 0 END, 9)")
+
+
+# every 50th vector is the zero vector; project 9 is not registered
+SQL_SPARSE = """
+  WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS project, 'file:vec_' || CAST(vec_id AS VARCHAR) AS id,
+                    CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT)) ELSE embedding END AS v
+             FROM embeddings)
+  SELECT b.item_id AS query_id, c.project, c.id, c.vec_id, {dist} AS dist
+  FROM benchmark b JOIN e q ON q.vec_id = b.item_id, e c WHERE c.project <> '9'"""
+
+
+def _sparse_search(spark, sf_dir, metric):
+    chunks, queries = _knn_inputs(spark, sf_dir)
+    zeroed = lambda df, key: df.withColumn("embedding", F.when(
+        F.col(key) % 50 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
+    registry = chunks.select(F.col("project").alias("name")).distinct().where("name != '9'")
+    g = SR.search(zeroed(chunks, "vec_id"), zeroed(queries, "query_id"), registry, k=5, metric=metric)
     return g.select("query_id", F.col("rank").cast("int").alias("rank"), "project", "vec_id", "score")
 
 
-@register("text_search")
+@register("knn_cosine", SQL_TOP5.format(cols="vec_id", scored=SQL_SPARSE.format(dist=cosine_sql("c.v", "q.v"))))
+def q_knn_cosine(spark, sf_dir):
+    """Cosine search with zero vectors and an unregistered project."""
+    return _sparse_search(spark, sf_dir, "cosine")
+
+
+@register("knn_ip", SQL_TOP5.format(cols="vec_id", scored=SQL_SPARSE.format(dist=f"round(1 - {DOT_SQL.format(a='c.v', b='q.v')}, 9)")))
+def q_knn_ip(spark, sf_dir):
+    """Inner-product search with zero vectors and an unregistered project."""
+    return _sparse_search(spark, sf_dir, "ip")
+
+
+def embedding_sql(rows: str, keys: str) -> str:
+    """(keys, v) from rows of (keys, text): the stand-in embedding."""
+    return f"""
+  SELECT {keys}, list_transform(c, lambda x: CAST(CASE WHEN n > 0 THEN x / n ELSE 0 END AS FLOAT)) AS v FROM (
+    SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM (
+      SELECT *, list_transform(range({DS.EMBED_DIM}), lambda d: CAST(len(list_filter(b, lambda x: x = d)) AS DOUBLE)) AS c FROM (
+        SELECT *, list_transform(regexp_extract_all(lower(text), '{DS.TOKEN_PATTERN}'),
+                                 lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DS.EMBED_DIM}) AS b FROM ({rows}))))"""
+
+
+SQL_TEXT_SCORED = f"""
+  SELECT q.query_id, c.project, c.id, c.path, {cosine_sql('c.v', 'q.v')} AS dist
+  FROM ({embedding_sql('SELECT item_id AS query_id, text FROM benchmark', 'query_id')}) q,
+       ({embedding_sql(f"SELECT * FROM ({SQL_PUSH_CHUNKS}) QUALIFY row_number() OVER (PARTITION BY project, id ORDER BY doc_id DESC) = 1",
+                       'project, id, path')}) c"""
+
+
+@register("text_search", SQL_TOP5.format(cols="id", scored=SQL_TEXT_SCORED))
 def q_text_search(spark, sf_dir):
-    """Benchmark texts as queries against the ingested description chunks,
-    both embedded with the stand-in embedding (rows-only check)."""
+    """Benchmark texts as queries against the ingested description chunks of
+    the registered projects, both embedded with the stand-in embedding."""
     _, _, state, _ = _ingested(spark, sf_dir)
     bench = TB.table(spark, sf_dir, "benchmark")
     queries = DS.with_hashed_embedding(bench.select(F.col("item_id").alias("query_id"), "text")).drop("text")
     chunks = state.chunks.select("project", "id", "path", "embedding")
-    return SR.search(chunks, queries, k=5, metric="cosine").select("query_id", "rank", "project", "id", "score")
+    g = SR.search(chunks, queries, state.projects, k=5, metric="cosine")
+    return g.select("query_id", F.col("rank").cast("int").alias("rank"), "project", "id", "score")
 
 
 # ----------------------------------------------------------------- 8. usage
@@ -806,16 +896,57 @@ def q_stream_ingest(spark, sf_dir):
         pushes.filter(F.col("batch") == b).select("value").write.mode("append").text(landing)
         q = IG.start_stream(spark, landing, root, ckpt, clock=clock, available_now=True)
         q.awaitTermination()
-    state = IG.load_state(spark, root)
-    prev = IG._versions(spark, f"{root}/projects")[-2]
-    before = spark.read.parquet(f"{root}/projects/v={prev}").select("name", F.lit(True).alias("_known"))
-    touched = state.projects.filter(F.col("last_indexed_at") == F.lit(TB.BATCH_TIMES[1]).cast("timestamp"))
-    action = (F.when(F.col("_t").isNull(), F.lit("kept"))
-              .when(F.col("_known"), F.lit("updated")).otherwise(F.lit("created")))
-    reg = (state.projects.join(touched.select("name", F.lit(True).alias("_t")), "name", "left")
-           .join(before, "name", "left"))
-    return reg.select("name", F.date_format("last_indexed_at", R.ISO_FORMAT).alias("last_indexed_at"),
-                      "file_chunk_count", action.alias("action"))
+    return _registry_after(spark, root)
+
+
+def _registry_after(spark, root):
+    """The registry with the action of the last batch, from the two states."""
+    last = IG.batches(spark, root)[-1]
+    state, before = IG.load_state(spark, root), IG.load_state(spark, root, before=last)
+    known = before.projects.select("name", F.lit(True).alias("_known"))
+    now = F.col("last_indexed_at") == F.lit(TB.BATCH_TIMES[1]).cast("timestamp")
+    action = F.when(~now, "kept").when(F.col("_known"), "updated").otherwise("created")
+    return state.projects.join(known, "name", "left").select(
+        "name", R.iso("last_indexed_at").alias("last_indexed_at"), "file_chunk_count", action.alias("action"))
+
+
+@register("stream_replay", f"""
+  WITH reg AS ({SQL_REGISTRY}),
+  ch AS (SELECT project, count(*) AS n FROM (
+           SELECT * FROM ({SQL_PUSH_CHUNKS}) QUALIFY row_number() OVER (PARTITION BY project, id ORDER BY doc_id DESC) = 1)
+         GROUP BY project)
+  SELECT name, last_indexed_at, file_chunk_count, action, CAST(coalesce(n, 0) AS BIGINT) AS chunks
+  FROM reg LEFT JOIN ch ON ch.project = reg.name""")
+def q_stream_replay(spark, sf_dir):
+    """The second batch of the push log is applied three times, the second
+    time without its marker (a batch that failed half way)."""
+    from treesnap.session import scratch_path
+    pushes = TB.snapshot_pushes(_documents(spark, sf_dir))
+    root = scratch_path(spark, "replay-state")
+    batch = lambda b: pushes.filter(F.col("batch") == b).select("value")
+    IG.ingest_to(spark, batch(0), root, 0, TB.BATCH_TIMES[0])
+    half = IG.ingest_batch(IG.load_state(spark, root, before=1), batch(1), TB.BATCH_TIMES[1])
+    half.changed.chunks.withColumn("v", F.lit(1).cast("long")).write.parquet(f"{root}/chunks/v=1")
+    for _ in range(2):
+        IG.ingest_to(spark, batch(1), root, 1, TB.BATCH_TIMES[1])
+    chunks = IG.load_state(spark, root).chunks.groupBy(F.col("project").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return _registry_after(spark, root).join(chunks, "name", "left").select(
+        "name", "last_indexed_at", "file_chunk_count", "action", F.coalesce("n", F.lit(0)).cast("bigint").alias("chunks"))
+
+
+@register("rejected_documents", f"""
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{{msg}}' WHEN 1 THEN '{{msg}}' ELSE 'Missing metadata.name' END AS error
+  FROM documents WHERE doc_id % 4 < 3""".replace("{msg}", "Invalid JSON body"))
+def q_rejected_documents(spark, sf_dir):
+    """Every push spoiled by a rule: cut short, wrapped in an array, nameless,
+    or (the last quarter) sound. Rejects are reported with their reason."""
+    from treesnap.session import materialize
+    from treesnap.sources import snapshots as S
+    value, k = F.col("value"), F.col("doc_id") % 4
+    spoiled = (F.when(k == 0, F.expr("substr(value, 1, length(value) - 1)")).when(k == 1, F.concat(F.lit("["), value, F.lit("]")))
+               .when(k == 2, F.regexp_replace(value, '^\\{"metadata":\\{"name":"[^"]*",', '{"metadata":{')).otherwise(value))
+    pushes = materialize(TB.snapshot_pushes(_documents(spark, sf_dir)).select("doc_id", spoiled.alias("value")), "pushes")
+    return S.rejected(S.parse(pushes)).select("doc_id", "error")
 
 
 # ------------------------------------------------ 10. filters and counters
@@ -832,7 +963,7 @@ def q_knn_filtered(spark, sf_dir):
     """Search restricted to a list of projects (semi-join with the list)."""
     chunks, queries = _knn_inputs(spark, sf_dir)
     wanted = spark.createDataFrame([(p,) for p in FILTER_PROJECTS], "name string")
-    g = SR.search(chunks, queries, k=5, projects=wanted)
+    g = SR.search(chunks, queries, None, k=5, projects=wanted)
     return g.select("query_id", F.col("rank").cast("int").alias("rank"), "project", "vec_id", "score")
 
 
@@ -880,7 +1011,7 @@ def q_tree_scan(spark, sf_dir):
     from treesnap.session import scratch_path
     from treesnap.sources.files import read_tree, write_tree
     root = scratch_path(spark, "tree")
-    local = root[len("file:"):] if root.startswith("file:") else root
+    local = root.removeprefix("file://").removeprefix("file:")
     write_tree(TB.files_from_documents(_documents(spark, sf_dir)), local)
     return changes.file_meta(read_tree(spark, local, multi=True, buckets=2))
 
@@ -890,38 +1021,36 @@ from treesnap.operators import synthesis as SY  # noqa: E402
 
 
 
+SQL_SYNTH_VALUES = {"project": "project", "part": "CAST(part AS VARCHAR)", "parts": "CAST(parts AS VARCHAR)", "material": "material",
+                    "instructions": f"'{SYNTH_INSTRUCTIONS}'"}
+
+
 @register("synthesis_prompts", f"""
   WITH w AS ({SQL_WORK}),
-  cache AS ({SQL_CACHE}),
-  prev AS (SELECT DISTINCT project FROM cache),
+  prev AS (SELECT DISTINCT project FROM ({SQL_CACHE})),
   counts AS (SELECT project, count(*) AS total_files, count(*) FILTER (WHERE status <> 'hit') AS miss_files
              FROM w GROUP BY project),
   regen AS (SELECT counts.project FROM counts LEFT JOIN prev ON prev.project = counts.project
             WHERE prev.project IS NULL OR miss_files / total_files >= 0.2),
-  tl AS ({ORACLE['tree_lines']}),
-  tree AS (SELECT project, string_agg(line, chr(10) ORDER BY CASE WHEN node_path = '' THEN []::VARCHAR[]
-                                                             ELSE string_split(node_path, '/') END) AS t
-           FROM tl WHERE project IN (SELECT project FROM regen) GROUP BY project),
-  descs AS (SELECT project, string_agg(path || ': ' || COALESCE(cached_description, {DESC_SQL}), chr(10)
-                                       ORDER BY path) AS d
-            FROM w WHERE project IN (SELECT project FROM regen) GROUP BY project),
-  head AS (SELECT tree.project, 'You are analysing a software project called ''' || tree.project || '''.'
-                  || chr(10) || chr(10) || '<file_tree>' || chr(10) || t || chr(10) || '</file_tree>' || chr(10)
-                  || chr(10) || '<file_descriptions>' || chr(10) || COALESCE(d, '') || chr(10)
-                  || '</file_descriptions>' || chr(10) || chr(10) AS h
-           FROM tree LEFT JOIN descs ON descs.project = tree.project)
-  SELECT project,
-         h || '<instructions>' || chr(10) || '{SYNTH_INSTRUCTIONS}' || chr(10) || '</instructions>' || chr(10) || chr(10)
-           || 'Generate a Mermaid use case diagram for this project.' || chr(10) || 'Rules:' || chr(10)
-           || '- Use only actors and use-cases directly evidenced by the file descriptions.' || chr(10)
-           || '- Output only valid Mermaid code, no explanation.' || chr(10) || '- Start with: graph LR'
-           AS use_cases_prompt,
-         h || '{SY.CONVENTIONS_ASK}' || '{SY.CONVENTIONS_TAIL}' AS conventions_prompt,
-         CAST(NULL AS VARCHAR) AS error
-  FROM head""")
+  m AS (SELECT project, 0 AS kind, []::VARCHAR[] AS key, '{SY.TREE_HEAD}' AS line FROM regen
+        UNION ALL SELECT project, 2, []::VARCHAR[], '{SY.FILES_HEAD}' FROM regen
+        UNION ALL SELECT project, 1, CASE WHEN node_path = '' THEN []::VARCHAR[] ELSE string_split(node_path, '/') END, line
+                  FROM ({ORACLE['tree_lines']}) SEMI JOIN regen USING (project)
+        UNION ALL SELECT project, 3, [path], path || ': ' || COALESCE(cached_description, {DESC_SQL})
+                  FROM w SEMI JOIN regen USING (project)),
+  placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY project ORDER BY kind, key
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM m),
+  body AS (SELECT project, CAST(floor(pos / {SY.PART_CHARS}) AS BIGINT) AS n, string_agg(line, chr(10) ORDER BY pos) AS material
+           FROM placed GROUP BY 1, 2),
+  j AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY n) AS part, count(*) OVER (PARTITION BY project) AS parts,
+               material FROM body)
+  SELECT project, CAST(part AS INTEGER) AS part, CAST(parts AS INTEGER) AS parts,
+         {template_sql(SY.CONTEXT + SY.INSTRUCTIONS + SY.USE_CASES_ASK, SQL_SYNTH_VALUES)} AS use_cases_prompt,
+         {template_sql(SY.CONTEXT + SY.CONVENTIONS_ASK, SQL_SYNTH_VALUES)} AS conventions_prompt
+  FROM j""")
 def q_synthesis_prompts(spark, sf_dir):
-    """Both project prompts for every gated project, built from the whole
-    tree and the whole description listing."""
+    """The project prompts of every gated project, from its whole tree and its
+    whole description listing, in parts."""
     from treesnap.session import materialize
     files, cache, merged, _ = _descriptions(spark, sf_dir)
     merged = materialize(merged, "described")  # read by the gate, the tree and the listing
@@ -929,3 +1058,23 @@ def q_synthesis_prompts(spark, sf_dir):
     tree = TR.tree_lines(merged.select("project", "path"))
     return SY.prompts(gate, tree.select("project", "node_path", "line"),
                       merged.select("project", "path", "description"), instructions=SYNTH_INSTRUCTIONS)
+
+
+# ------------------------------------------- 13. build, write, read, ingest
+@register("snapshot_roundtrip", f"""
+  WITH fd AS ({ORACLE['file_descriptions']})
+  SELECT project, 'file:' || path AS id, path, {py_strip_sql('description')} AS text,
+         CAST(count(*) OVER (PARTITION BY project) AS INTEGER) AS file_chunk_count
+  FROM fd WHERE {py_strip_sql('description')} <> ''""")
+def q_snapshot_roundtrip(spark, sf_dir):
+    """The build's documents written (several part files a project), read
+    back and ingested: chunks with the registry's count."""
+    from treesnap.operators import assemble as A
+    from treesnap.session import scratch_path
+    from treesnap.sources import snapshots as S
+    out, root = scratch_path(spark, "built"), scratch_path(spark, "roundtrip-state")
+    A.write_documents(_build(spark, sf_dir).document_lines, out, partitions=64)
+    IG.ingest_to(spark, S.read_built(spark, out).select("value"), root, 0, TB.BATCH_TIMES[0])
+    state = IG.load_state(spark, root)
+    return state.chunks.join(state.projects.withColumnRenamed("name", "project"), "project").select(
+        "project", "id", "path", "text", "file_chunk_count")

@@ -42,14 +42,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only when
-    the session names none (local tests). On a cluster the shared folder in
-    ``spark.checkpoint.dir`` is used as given."""
+    """The session's checkpoint folder: the shared one in
+    ``spark.checkpoint.dir`` as given. A local session (tests) that names none
+    gets a scratch folder; on a cluster that is an error, as executors would
+    not share it."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
     if not conf_dir:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="treesnap-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
@@ -70,25 +74,3 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-# Largest row count of a per-project (or per-request) table that is shipped
-# whole to every task.
-BROADCAST_ROWS = 200_000
-
-
-def bounded_broadcast(small: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join helper for a side keyed by a low-cardinality key (project):
-    materialise it once, count it, and broadcast it when the count is within
-    ``limit``. A hash join on such a key would put each project's rows in one
-    partition; past the limit the key has enough distinct values for an
-    ordinary shuffle join to spread."""
-    m = materialize(small, name)
-    return F.broadcast(m) if m.count() <= limit else m
-
-
-def counted_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Like ``bounded_broadcast`` for a side that is cheap to recompute
-    (derived from materialised data): count it and broadcast within the
-    bound, without writing it first."""
-    return F.broadcast(small) if small.count() <= limit else small

@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from treesnap.functions.globs import compile_patterns
+from treesnap.functions.globs import compile_patterns, selected
 
 SCHEMA = StructType([StructField("project", StringType()), StructField("path", StringType()),
                      StructField("content", BinaryType())])
@@ -39,19 +38,8 @@ class TreePartition(InputPartition):
 
 
 def _selector(include: list[str], exclude: list[str]):
-    inc = [(re.compile(r.regex, re.S), r.include) for r in compile_patterns(include)]
-    exc = [(re.compile(r.regex, re.S), r.include) for r in compile_patterns(exclude)]
-
-    def decide(rules, path):
-        hit = False
-        for rx, flag in rules:
-            if rx.search(path):
-                hit = flag
-        return hit
-
-    def keep(path: str) -> bool:
-        return decide(inc, path) and not (exc and decide(exc, path))
-    return keep
+    inc, exc = compile_patterns(include), compile_patterns(exclude)
+    return lambda path: selected(inc, path) and not (exc and selected(exc, path))
 
 
 class TreeReader(DataSourceReader):
@@ -61,6 +49,7 @@ class TreeReader(DataSourceReader):
         self.include = json.loads(options.get("include", '["**/*"]'))
         self.exclude = json.loads(options.get("exclude", "[]"))
         self.buckets = max(1, int(options.get("buckets", "1")))
+        self.unreadable = options.get("unreadable", "fail")
         self.multi = options.get("layout", "single") == "projects"
         if not os.path.isdir(self.root):
             raise NotADirectoryError(f"Scan root is not a directory: {self.root}")
@@ -104,7 +93,9 @@ class TreeReader(DataSourceReader):
                 with open(os.path.join(base, rel), "rb") as fh:
                     data = fh.read()
             except OSError:
-                continue
+                if self.unreadable == "fail":
+                    raise
+                data = None  # reported as a file without content
             yield (project, rel, data)
 
 
@@ -112,7 +103,8 @@ class TreeDataSource(DataSource):
     """Options: root (required); layout 'single' (root is one project, named
     by ``project`` or the folder name) or 'projects' (each folder under root
     is a project); include / exclude (JSON lists of gitignore-style
-    patterns); buckets."""
+    patterns); buckets; unreadable 'fail' (default) or 'null', which gives
+    files that cannot be read a null content."""
 
     @classmethod
     def name(cls):
@@ -130,13 +122,13 @@ def register(spark) -> None:
 
 
 def read_tree(spark, root: str, include=("**/*",), exclude=(), project: str | None = None, buckets: int = 1,
-              multi: bool = False):
+              multi: bool = False, unreadable: str = "fail"):
     """(project, path, content) of the files under ``root`` (one project, or
     one project per folder with ``multi=True``)."""
     register(spark)
     r = (spark.read.format("tree").option("root", root).option("include", json.dumps(list(include)))
          .option("exclude", json.dumps(list(exclude))).option("buckets", str(buckets))
-         .option("layout", "projects" if multi else "single"))
+         .option("layout", "projects" if multi else "single").option("unreadable", unreadable))
     if project:
         r = r.option("project", project)
     return r.load()
@@ -148,6 +140,9 @@ def write_tree(files, root: str) -> int:
     executor can write, such as a shared mount). Returns the file count."""
     import pandas as pd
 
+    if "://" in root or root.startswith("file:"):
+        raise ValueError(f"{root}: files are written through the file system, give a mounted path")
+
     def run(batches):
         for pdf in batches:
             for project, path, content in zip(pdf["project"], pdf["path"], pdf["content"]):

@@ -4,8 +4,7 @@ A document is the nested JSON a build writes for one project:
 metadata{name, generated_at, file_count}, instructions, use_cases,
 conventions{user, ai}, file_tree, architecture, files{path: description}.
 ``file_tree`` and ``architecture`` may be one string or an array of lines
-(the line form this package's writer uses for large projects); both read the
-same. Parsing goes through Spark's VARIANT type, per row, JVM side.
+(the form this package's writer uses); both read the same.
 """
 
 from __future__ import annotations
@@ -18,40 +17,35 @@ INVALID_JSON = "Invalid JSON body"
 MISSING_NAME = "Missing metadata.name"
 
 
-def _text_field(v, path: str):
-    """String field, or an array of lines joined by newlines."""
-    raw = F.variant_get(v, path, "variant")
-    as_lines = F.array_join(F.try_variant_get(v, path, "array<string>"), "\n")
-    return (F.when(F.schema_of_variant(raw).startswith("ARRAY"), as_lines)
-            .otherwise(F.try_variant_get(v, path, "string")))
+# Strings may be as long as a row can hold.
+JSON_OPTIONS = {"maxStringLen": str(2**31 - 1), "allowUnquotedControlChars": "false"}
+_TEXTS = "file_tree string, architecture string"
+SCHEMA = ("metadata struct<name string, generated_at string, file_count string>, instructions string, use_cases string, "
+          f"conventions struct<user string, ai string>, {_TEXTS}, files map<string,string>")
+LINES_SCHEMA = _TEXTS.replace("string", "array<string>")
 
 
 def parse(raw: DataFrame, value: str = "value") -> DataFrame:
     """Rows with a JSON text column -> typed snapshot columns plus
     ``error`` (NULL for accepted documents). Other input columns are kept.
-    The text is parsed once into a VARIANT column; every field is read from
-    that column."""
+    Of a repeated key the last value counts. Long documents and strings are
+    read like short ones; a row's 2 GB are the only limit."""
     keep = [c for c in raw.columns if c != value]
-    parsed = raw.select(*keep, F.try_parse_json(F.col(value)).alias("_v"))
-    v = F.col("_v")
-    name = F.try_variant_get(v, "$.metadata.name", "string")
-    not_object = v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")
-    error = (F.when(not_object, F.lit(INVALID_JSON))
-             .when(name.isNull() | (name == ""), F.lit(MISSING_NAME)))
+    v = F.col(value)
+    parsed = raw.select(*keep, F.from_json(v, SCHEMA, JSON_OPTIONS).alias("_d"),
+                        F.from_json(v, LINES_SCHEMA, JSON_OPTIONS).alias("_l"), F.json_object_keys(v).isNull().alias("_bad"))
+    d = F.col("_d")
+    name = d["metadata"]["name"]
+    error = F.when(F.col("_bad"), F.lit(INVALID_JSON)).when(name.isNull() | (name == ""), F.lit(MISSING_NAME))
+
+    def text(field: str) -> F.Column:
+        return F.coalesce(F.array_join(F.col("_l")[field], "\n"), d[field])
     return parsed.select(
-        *keep,
-        name.alias("project"),
-        F.try_variant_get(v, "$.metadata.generated_at", "string").alias("generated_at"),
-        F.try_variant_get(v, "$.metadata.file_count", "int").alias("file_count"),
-        F.try_variant_get(v, "$.instructions", "string").alias("instructions"),
-        F.try_variant_get(v, "$.use_cases", "string").alias("use_cases"),
-        F.try_variant_get(v, "$.conventions.user", "string").alias("conventions_user"),
-        F.try_variant_get(v, "$.conventions.ai", "string").alias("conventions_ai"),
-        _text_field(v, "$.file_tree").alias("file_tree"),
-        _text_field(v, "$.architecture").alias("architecture"),
-        F.try_variant_get(v, "$.files", "map<string,string>").alias("files"),
-        error.alias("error"),
-    )
+        *keep, name.alias("project"), d["metadata"]["generated_at"].alias("generated_at"),
+        F.expr("try_cast(_d.metadata.file_count as int)").alias("file_count"), d["instructions"].alias("instructions"),
+        d["use_cases"].alias("use_cases"), d["conventions"]["user"].alias("conventions_user"),
+        d["conventions"]["ai"].alias("conventions_ai"), text("file_tree").alias("file_tree"),
+        text("architecture").alias("architecture"), d["files"].alias("files"), error.alias("error"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -72,3 +66,14 @@ def read_documents(spark, path: str, json_lines: bool = True) -> DataFrame:
     df = reader.load(path)
     return df.select("value", F.col("_metadata.file_path").alias("source_file"),
                      F.col("_metadata.file_modification_time").alias("pushed_at"))
+
+
+def read_built(spark, path: str) -> DataFrame:
+    """The documents that a build wrote under ``path`` (project=<name>/part
+    files), one row per project as (value, project_folder): the parts of a
+    folder in name order. A document is one row, as it is one push."""
+    parts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(path, wholetext=True)
+             .select("value", F.col("_metadata.file_path").alias("file")))
+    folder = F.regexp_extract("file", r"project=([^/]*)/[^/]*$", 1)
+    g = parts.groupBy(folder.alias("project_folder")).agg(F.array_sort(F.collect_list(F.struct("file", "value"))).alias("xs"))
+    return g.select(F.array_join(F.transform("xs", lambda x: x["value"]), "").alias("value"), "project_folder")

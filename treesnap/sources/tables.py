@@ -17,23 +17,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-SPREAD_BYTES = 256 << 10
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over more tasks when it yields fewer partitions
-    than its size warrants (a single-row-group file of heavy text rows):
-    about one partition per 256 KB of compressed input (Spark's size
-    estimate, no job), at most one per core. Tiny tables and inputs that
-    already split into many scan tasks pass through unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    want = min(cores, max(1, size // SPREAD_BYTES))
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def doc_path():
@@ -86,7 +71,7 @@ def dependency_files(documents: DataFrame) -> DataFrame:
 
 def python_files(documents: DataFrame) -> DataFrame:
     """Python modules: one absolute, one relative and one package-relative
-    import, then the text as a string literal (a few texts do not parse)."""
+    import, then the text as a string literal."""
     n = documents.select(F.count(F.lit(1))).scalar()
     k = F.col("doc_id") * 3
     body = F.concat(
@@ -111,19 +96,19 @@ def snapshot_pushes(documents: DataFrame) -> DataFrame:
     chunks); pushes are ordered by doc_id through ``generated_at``. Columns:
     doc_id, batch (0 for the first half of doc_ids, 1 for the rest), value."""
     from treesnap.functions import paths as P
-    from treesnap.functions.text import first_sentences, line_count, sentence_count
+    from treesnap.functions.text import line_count, longest_line, salient_sentences, sentence_count
 
     n = documents.select(F.count(F.lit(1))).scalar()
     project = F.concat(F.col("source"), F.lit("-"), F.col("lang"))
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit(PUSH_EPOCH)) + F.col("doc_id"))
     gen = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
     path = doc_path()
-    desc = first_sentences(F.col("text"), sentence_count(line_count(F.col("text"))))
-    readme = first_sentences(F.col("text"), F.lit(1))
+    desc = salient_sentences(F.col("text"), sentence_count(line_count(F.col("text"))))
+    readme = salient_sentences(F.col("text"), F.lit(1))
     doc = F.struct(
         F.struct(project.alias("name"), gen.alias("generated_at"), F.lit(2).alias("file_count")).alias("metadata"),
         F.lit("").alias("instructions"),
-        F.substring_index(F.col("text"), "\n", 1).alias("use_cases"),
+        longest_line("text").alias("use_cases"),
         F.struct(F.when(F.col("lang") == "en", F.lit("")).otherwise(
                      F.concat(F.lit("  Write "), F.col("lang"), F.lit(" prose.  "))).alias("user"),
                  F.when(F.col("lang") == "de", F.lit("   ")).otherwise(

@@ -3,13 +3,16 @@ the project registry. The same batch function serves plain batch jobs and
 Structured Streaming (``foreachBatch`` over a landing folder).
 
 Per batch: parse and validate every document (rejects are reported, not
-dropped silently); within the batch the latest push per project wins
-(``max_by``, partial aggregate); chunks are upserted by (project, id) and
-never deleted; overviews are replaced per project; the registry row is
-written last so it marks a complete snapshot. State lives in parquet under a
-root folder: ``chunks`` partitioned by project (only touched partitions are
-overwritten), ``projects`` and ``overviews`` in numbered versions (one per
-batch id, so a replayed batch rewrites the same version).
+dropped silently); the latest push per project wins, by the pushes' times;
+chunks are upserted by (project, id) and never deleted unless pruning is
+asked for; overviews are replaced per project.
+
+State is a log of batches in parquet: every table has a folder ``v=<batch>``
+that holds only what the batch changed, and ``done/v=<batch>`` is written
+last. Readers merge the finished batches, the latest row of each key winning.
+A batch reads finished batches before its own number only, so replaying it,
+after success or failure, gives the same state and the same actions. The work
+of a batch follows its own size; ``compact`` merges the log into one folder.
 """
 
 from __future__ import annotations
@@ -17,19 +20,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treesnap.operators import registry as R
 from treesnap.operators.describe import with_hashed_embedding
-from treesnap.session import counted_broadcast, materialize
+from treesnap.session import materialize
 from treesnap.sources import snapshots as S
 
 CHUNK_SCHEMA = T.StructType([
     T.StructField("project", T.StringType()), T.StructField("id", T.StringType()),
     T.StructField("path", T.StringType()), T.StructField("text", T.StringType()),
-    T.StructField("push_order", T.StringType()),
+    T.StructField("pushed", T.TimestampType()),
     T.StructField("embedding", T.ArrayType(T.FloatType()))])
 PROJECT_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("last_indexed_at", T.TimestampType()),
@@ -38,6 +41,12 @@ OVERVIEW_SCHEMA = T.StructType(
     [T.StructField("project", T.StringType())]
     + [T.StructField(f, T.StringType()) for f in R.OVERVIEW_FIELDS]
     + [T.StructField("updated_at", T.TimestampType())])
+# on disk a registry row also tells from which batch on the project's chunks
+# count (pruning), and every row carries its batch
+_VERSION = [T.StructField("v", T.LongType())]
+TABLES = {"chunks": (CHUNK_SCHEMA, ["project", "id"]),
+          "projects": (T.StructType(PROJECT_SCHEMA.fields + [T.StructField("chunks_from", T.LongType())]), ["name"]),
+          "overviews": (OVERVIEW_SCHEMA, ["project"])}
 
 
 @dataclass
@@ -54,128 +63,144 @@ class State:
 
 @dataclass
 class BatchResult:
-    state: State
+    state: State             # the whole state after the batch
     results: DataFrame       # one row per accepted project
     rejected: DataFrame      # one row per rejected document
-    touched_chunks: DataFrame  # full chunk rows of the projects this batch touched
+    changed: State           # the rows this batch wrote
 
 
-def push_order_key(df: DataFrame, order_cols: list[str]) -> F.Column:
-    """A sortable text key of the push order (ISO strings and numbers)."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order_cols]
-    return F.concat_ws("\u0001", *parts)
+def push_time(df: DataFrame, order_cols: list[str]) -> Column:
+    """The order of pushes: a struct of the columns, texts read as times
+    (offsets count; a text that is no time comes first)."""
+    return F.struct(*[(F.expr(f"try_cast(`{c}` as timestamp)") if df.schema[c].dataType == T.StringType() else F.col(c)).alias(f"o{i}")
+                      for i, c in enumerate(order_cols)])
 
 
 def ingest_batch(state: State, raw: DataFrame, indexed_at, order_cols: list[str] = ("generated_at",),
-                 embed: Callable | None = None, persist: bool = False, prune: bool = False) -> BatchResult:
+                 embed: Callable | None = None, prune: bool = False) -> BatchResult:
     """Apply one batch of pushed documents (column ``value``) to ``state``.
     ``embed`` maps a chunk DataFrame to the same with an ``embedding``
     column (default: the hashed stand-in; see ``describe.embed_with``).
     ``prune=True`` makes a touched project's chunks exactly those of its
-    latest push (files removed from the snapshot are deleted); the default
-    upserts and never deletes, as the reference does."""
+    latest push; the default upserts and never deletes."""
     parsed = S.parse(raw)
-    parsed = parsed.withColumn("push_order", push_order_key(parsed, list(order_cols)))
-    if persist:  # four branches read the parsed batch: parse the JSON once
-        parsed = materialize(parsed, "parsed")
+    # read by several branches; the row number breaks ties between pushes
+    parsed = materialize(parsed.withColumn("push", push_time(parsed, list(order_cols)))
+                         .withColumn("row", F.monotonically_increasing_id()), "parsed")
     docs = S.accepted(parsed)
-    latest = R.latest_per_key(docs.select("project", "push_order", "use_cases", "conventions_user",
-                                          "conventions_ai", "architecture", "file_tree", "files"),
-                              ["project"], "push_order")
-
-    # chunks: every accepted push contributes; the latest push wins per id
-    # (with prune, only each project's latest push contributes)
-    chunks = R.chunks_from_documents(latest if prune else docs, extra=["push_order"])
-    chunks = R.latest_per_key(chunks, ["project", "id"], "push_order")
-    # embedding is CPU-bound Python: spread it over every core (an explicit
-    # count, which AQE does not coalesce away on small batches)
-    chunks = chunks.repartition(raw.sparkSession.sparkContext.defaultParallelism, "project", "id")
+    latest = R.latest_per_key(docs, ["project"], F.struct("push", "row"))
+
+    chunks = R.chunks_from_documents(latest if prune else docs, extra=["push", "row", "generated_at"])
+    chunks = R.latest_per_key(chunks, ["project", "id"], F.struct("push", "row", "file_pos"))
+    chunks = chunks.withColumn("pushed", F.expr("try_cast(generated_at as timestamp)"))
     chunks = embed(chunks) if embed else with_hashed_embedding(chunks, "text", "embedding")
-    # parsed input is materialised: the project list is cheap to count and reuse
-    touched = counted_broadcast(docs.select("project").distinct()) if persist else latest.select("project")
-    old_touched = state.chunks.join(touched, "project", "left_semi")
-    new_chunks = (chunks.select(*CHUNK_SCHEMA.fieldNames()) if prune
-                  else R.upsert(old_touched, chunks.select(*CHUNK_SCHEMA.fieldNames()), ["project", "id"]))
-
-    # registry: chunk count of each project's latest push
-    latest_counts = (R.chunks_from_documents(latest.select("project", "files"))
-                     .groupBy("project").agg(F.count(F.lit(1)).alias("n")))
-    batch_reg = latest.select(F.col("project").alias("name")).join(
-        latest_counts.withColumnRenamed("project", "name"), "name", "left").select(
-        "name", F.coalesce("n", F.lit(0)).cast("int").alias("file_chunk_count"))
-    projects = R.registry_upsert(state.projects, batch_reg, indexed_at)
+    chunks = materialize(chunks.select(*CHUNK_SCHEMA.fieldNames()), "chunks")
 
-    ov_batch = R.overview_fields(latest)
-    overviews = R.overview_upsert(state.overviews, ov_batch, indexed_at)
+    counts = R.chunks_from_documents(latest, extra=["row"]).groupBy("project").agg(F.countDistinct("id").alias("n"))
+    batch_reg = latest.select("project").join(counts, "project", "left").select(
+        F.col("project").alias("name"), F.coalesce("n", F.lit(0)).cast("int").alias("file_chunk_count"))
+    projects = R.registry_upsert(state.projects, batch_reg, indexed_at)
+    written = materialize(projects.where("action != 'kept'"), "registry")
+    overview = materialize(R.overview_fields(latest).withColumn("updated_at", F.lit(indexed_at).cast("timestamp")), "overviews")
 
-    results = projects.filter(F.col("action") != "kept").join(
-        ov_batch.select("project", R.present_fields(ov_batch).alias("overview_fields"))
-        .withColumnRenamed("project", "name"), "name", "left").select(
+    results = written.join(overview.select(F.col("project").alias("name"), R.present_fields(overview).alias("overview_fields")),
+                           "name", "left").select(
         F.lit("ok").alias("status"), F.col("name").alias("project"), F.col("file_chunk_count").alias("chunks"),
-        "action", F.date_format("last_indexed_at", R.ISO_FORMAT).alias("indexed_at"), "overview_fields")
+        "action", R.iso("last_indexed_at").alias("indexed_at"), "overview_fields")
     rej = S.rejected(parsed).select(F.lit("error").alias("status"), "project", F.col("error").alias("message"))
 
-    # untouched projects keep their chunks: merged view of the whole table
-    all_chunks = new_chunks.unionByName(state.chunks.join(touched, "project", "left_anti"))
-    return BatchResult(State(all_chunks, projects.drop("action"), overviews), results, rej, new_chunks)
+    old = state.chunks
+    if prune:
+        old = old.join(written.select(F.col("name").alias("project")), "project", "left_anti")
+    changed = State(chunks, written.drop("action"), overview.select(*OVERVIEW_SCHEMA.fieldNames()))
+    whole = State(R.upsert(old, chunks, ["project", "id"]), R.upsert(state.projects, changed.projects, ["name"]),
+                  R.upsert(state.overviews, changed.overviews, ["project"]))
+    return BatchResult(whole, results, rej, changed)
 
 
 # ------------------------------------------------------------ persistence
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _finished(spark: SparkSession, root: str, folder: str) -> list[int]:
+    """Numbers of the batches (or compactions) whose marker is complete."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
+    p = jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def load_state(spark: SparkSession, root: str) -> State:
-    """Current state under ``root`` (empty tables when nothing is written)."""
-    st = State.empty(spark)
-    pv = _versions(spark, f"{root}/projects")
-    ov = _versions(spark, f"{root}/overviews")
-    projects = spark.read.schema(PROJECT_SCHEMA).parquet(f"{root}/projects/v={pv[-1]}") if pv else st.projects
-    overviews = spark.read.schema(OVERVIEW_SCHEMA).parquet(f"{root}/overviews/v={ov[-1]}") if ov else st.overviews
-    if _exists(spark, f"{root}/chunks"):
-        chunks = spark.read.parquet(f"{root}/chunks").select(*CHUNK_SCHEMA.fieldNames())
-    else:  # no chunks written yet
-        chunks = st.chunks
-    return State(chunks, projects, overviews)
-
-
-def save_batch(result: BatchResult, root: str, batch_id: int) -> None:
-    """Write chunks of touched projects (dynamic partition overwrite), then the
-    overview and registry versions. The chunk rows are materialised first
-    because their plan reads the partitions being overwritten; the versions
-    go to new folders and are written directly."""
-    chunks = materialize(result.touched_chunks, "chunks")
-    # sorted by id within each project partition: parquet min/max statistics
-    # then let a point lookup by id skip row groups
-    (chunks.sortWithinPartitions("project", "id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{root}/chunks"))
-    result.state.overviews.write.mode("overwrite").parquet(f"{root}/overviews/v={batch_id}")
-    result.state.projects.write.mode("overwrite").parquet(f"{root}/projects/v={batch_id}")
+    return sorted(int(st.getPath().getName()[2:]) for st in fs.listStatus(p)
+                  if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+
+
+def batches(spark: SparkSession, root: str) -> list[int]:
+    return _finished(spark, root, "done")
+
+
+def _log(spark: SparkSession, root: str, table: str, before: int | None) -> DataFrame | None:
+    """Rows of the finished batches (before a number) and of the last
+    compaction they reach, with their batch number ``v``."""
+    wanted = [v for v in batches(spark, root) if before is None or v < before]
+    merged = [v for v in _finished(spark, root, "compacted") if wanted and v <= wanted[-1]]
+    schema = T.StructType(TABLES[table][0].fields + _VERSION)
+    parts = []
+    if merged:
+        parts.append(spark.read.schema(schema).parquet(f"{root}/compacted/v={merged[-1]}/{table}"))
+        wanted = [v for v in wanted if v > merged[-1]]
+    if wanted:
+        folders = [f"{root}/{table}/v={v}" for v in wanted]
+        parts.append(spark.read.schema(schema).parquet(*folders))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else None
+
+
+def _merged(spark: SparkSession, root: str, table: str, before: int | None) -> DataFrame:
+    schema, keys = TABLES[table]
+    log = _log(spark, root, table, before)
+    if log is None:
+        return spark.createDataFrame([], T.StructType(schema.fields + _VERSION))
+    return R.latest_per_key(log, keys, F.col("v"))
+
+
+def load_state(spark: SparkSession, root: str, before: int | None = None) -> State:
+    """State after the finished batches under ``root`` (those numbered below
+    ``before`` only, when given); empty tables when there are none."""
+    state = _live(spark, root, before)
+    return State(*[df.select(*s.fieldNames()) for df, s in zip(state, (CHUNK_SCHEMA, PROJECT_SCHEMA, OVERVIEW_SCHEMA), strict=True)])
+
+
+def _live(spark: SparkSession, root: str, before: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    projects = _merged(spark, root, "projects", before)
+    log = _log(spark, root, "projects", before)
+    pruned = (projects.where("false").select(F.col("name").alias("project"), F.lit(0).alias("_from")) if log is None
+              else log.where("chunks_from is not null").groupBy(F.col("name").alias("project")).agg(F.max("chunks_from").alias("_from")))
+    chunks = _merged(spark, root, "chunks", before).join(pruned, "project", "left").where("_from is null or v >= _from").drop("_from")
+    return chunks, projects, _merged(spark, root, "overviews", before)
+
+
+def save_batch(result: BatchResult, root: str, batch_id: int, prune: bool = False) -> None:
+    """Write the batch's rows, then its marker. Writing the same batch again
+    replaces the same folders."""
+    frm = F.lit(batch_id if prune else None).cast("long")
+    tables = {"chunks": result.changed.chunks.sort("project", "id"),  # point look-ups skip row groups
+              "overviews": result.changed.overviews, "projects": result.changed.projects.withColumn("chunks_from", frm)}
+    for name, df in tables.items():
+        df.withColumn("v", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/{name}/v={batch_id}")
+    result.changed.projects.sparkSession.range(1).write.mode("overwrite").parquet(f"{root}/done/v={batch_id}")
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Merge the finished batches into one folder, which readers then use in
+    their place. The batches' folders stay, for readers at work."""
+    done = batches(spark, root)
+    if done and done[-1] not in _finished(spark, root, "compacted"):
+        out = f"{root}/compacted/v={done[-1]}"
+        for name, df in zip(TABLES, _live(spark, root, None), strict=True):
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
+        spark.range(1).write.mode("append").parquet(out)
 
 
 def ingest_to(spark: SparkSession, raw: DataFrame, root: str, batch_id: int, indexed_at,
               order_cols=("generated_at",), prune: bool = False) -> BatchResult:
-    """Load state, apply one batch, persist it."""
-    state = load_state(spark, root)
-    res = ingest_batch(state, raw, indexed_at, list(order_cols), persist=True, prune=prune)
-    save_batch(res, root, batch_id)
+    """Load the state before this batch, apply the batch, persist it."""
+    res = ingest_batch(load_state(spark, root, before=batch_id), raw, indexed_at, list(order_cols), prune=prune)
+    save_batch(res, root, batch_id, prune)
     return res
 
 
