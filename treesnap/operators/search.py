@@ -97,9 +97,9 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric
                     which.append(np.full(len(near), j))
                     rows.append(near)
                     dists.append(dist[near])
-        take = lambda col, at: col.to_numpy(dtype=object)[np.concatenate(at)] if at else []
+        take = lambda col, at: col.to_numpy(dtype=object)[np.concatenate(at)] if at else np.zeros(0, object)
         out = {"query_id": take(query["query_id"], which)} | {c: take(chunk[c], rows) for c in payload}
-        return pd.DataFrame(out | {"dist": np.concatenate(dists) if dists else []})
+        return pd.DataFrame(out | {"dist": np.concatenate(dists) if dists else np.zeros(0)})
 
     return c.groupBy("_cb", "_qb").cogroup(q.groupBy("_cb", "_qb")).applyInPandas(score, out_schema)
 
