@@ -24,7 +24,7 @@ def make_tree(root):
 def test_tree_source_reads_hidden_and_patterns(spark, tmp_path):
     root = str(tmp_path / "MyApp")
     files = make_tree(root)
-    df = read_tree(spark, root, buckets=3)
+    df = read_tree(spark, root, tasks=3)
     got = {r["path"]: bytes(r["content"]).decode() for r in df.collect()}
     assert got == files and {r["project"] for r in df.collect()} == {"MyApp"}
     sel = read_tree(spark, root, include=["src/**"], exclude=["*utils*"]).collect()
@@ -101,6 +101,7 @@ def test_unreadable_files_are_not_passed_over(spark, tmp_path):
     os.symlink("/proc/1/mem", root / "bad.txt")
     with pytest.raises(Exception):
         read_tree(spark, str(root)).collect()
+    assert read_tree(spark, str(root), unreadable="null", tasks=2).where("content is null").count() == 1
     got = {r["path"]: r["content"] for r in read_tree(spark, str(root), unreadable="null").collect()}
     assert got["bad.txt"] is None and bytes(got["ok.txt"]) == b"x"
 

@@ -7,19 +7,17 @@ exclude patterns are applied before any file is read.
 
 Partitioning: the driver lists only top-level entries (of the root, or of each
 project folder with layout "projects"); each
-partition walks one of them on an executor. ``buckets`` > 1 splits every
-entry further by a hash of the file path (each bucket walks the same
-subtree, reads only its own files), so one directory holding most files is
-still read by many tasks. The root must be on storage every executor sees.
+partition walks one of them on an executor. With ``read_tree(tasks=n)`` the
+files are listed that way once and read by n tasks. The root must be on storage every executor sees.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import zlib
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
@@ -33,8 +31,6 @@ SCHEMA = StructType([StructField("project", StringType()), StructField("path", S
 class TreePartition(InputPartition):
     project: str        # project folder ('' in single-project layout)
     entry: str          # top-level entry of the project, '' = its loose files
-    bucket: int
-    buckets: int
 
 
 def _selector(include: list[str], exclude: list[str]):
@@ -48,7 +44,7 @@ class TreeReader(DataSourceReader):
         self.project = options.get("project") or os.path.basename(os.path.normpath(self.root))
         self.include = json.loads(options.get("include", '["**/*"]'))
         self.exclude = json.loads(options.get("exclude", "[]"))
-        self.buckets = max(1, int(options.get("buckets", "1")))
+        self.list_only = options.get("content", "true") == "false"
         self.unreadable = options.get("unreadable", "fail")
         self.multi = options.get("layout", "single") == "projects"
         if not os.path.isdir(self.root):
@@ -64,7 +60,7 @@ class TreeReader(DataSourceReader):
         parts = []
         for name, pdir in self._project_dirs():
             entries = sorted(e.name for e in os.scandir(pdir) if e.is_dir(follow_symlinks=True))
-            parts += [TreePartition(name, e, b, self.buckets) for e in [""] + entries for b in range(self.buckets)]
+            parts += [TreePartition(name, e) for e in ["", *entries]]
         return parts
 
     @staticmethod
@@ -85,25 +81,25 @@ class TreeReader(DataSourceReader):
         base = os.path.join(self.root, partition.project) if self.multi else self.root
         project = partition.project if self.multi else self.project
         for rel in self._files(base, partition.entry):
-            if partition.buckets > 1 and zlib.crc32(rel.encode()) % partition.buckets != partition.bucket:
-                continue
-            if not keep(rel):
-                continue
-            try:
-                with open(os.path.join(base, rel), "rb") as fh:
-                    data = fh.read()
-            except OSError:
-                if self.unreadable == "fail":
-                    raise
-                data = None  # reported as a file without content
-            yield (project, rel, data)
+            if keep(rel):
+                yield (project, rel, None if self.list_only else read_file(os.path.join(base, rel), self.unreadable))
+
+
+def read_file(path: str, unreadable: str) -> bytes | None:
+    try:
+        with open(path, "rb") as fh:
+            return fh.read()
+    except OSError:
+        if unreadable == "fail":
+            raise
+        return None  # reported as a file without content
 
 
 class TreeDataSource(DataSource):
     """Options: root (required); layout 'single' (root is one project, named
     by ``project`` or the folder name) or 'projects' (each folder under root
     is a project); include / exclude (JSON lists of gitignore-style
-    patterns); buckets; unreadable 'fail' (default) or 'null', which gives
+    patterns); content 'false' to list only; unreadable 'fail' (default) or 'null', which gives
     files that cannot be read a null content."""
 
     @classmethod
@@ -121,25 +117,34 @@ def register(spark) -> None:
     spark.dataSource.register(TreeDataSource)
 
 
-def read_tree(spark, root: str, include=("**/*",), exclude=(), project: str | None = None, buckets: int = 1,
+def read_tree(spark, root: str, include=("**/*",), exclude=(), project: str | None = None, tasks: int = 0,
               multi: bool = False, unreadable: str = "fail"):
     """(project, path, content) of the files under ``root`` (one project, or
-    one project per folder with ``multi=True``)."""
+    one project per folder with ``multi=True``). One task reads each top-level
+    entry; with ``tasks``, the files are listed once, dealt out by path to so
+    many tasks and read there, so a folder with most files is split."""
     register(spark)
     r = (spark.read.format("tree").option("root", root).option("include", json.dumps(list(include)))
-         .option("exclude", json.dumps(list(exclude))).option("buckets", str(buckets))
+         .option("exclude", json.dumps(list(exclude))).option("content", "false" if tasks else "true")
          .option("layout", "projects" if multi else "single").option("unreadable", unreadable))
     if project:
         r = r.option("project", project)
-    return r.load()
+    if not tasks:
+        return r.load()
+
+    def fetch(batches):
+        for pdf in batches:
+            for p, rel in zip(pdf["project"], pdf["path"]):
+                data = read_file(os.path.join(root, p, rel) if multi else os.path.join(root, rel), unreadable)
+                yield pd.DataFrame({"project": [p], "path": [rel], "content": [data]})
+
+    return r.load().repartition(tasks, "project", "path").mapInPandas(fetch, SCHEMA)
 
 
 def write_tree(files, root: str) -> int:
     """Land a (project, path, content) table as files under
     ``root/<project>/<path>`` from the executors (root must be a folder every
     executor can write, such as a shared mount). Returns the file count."""
-    import pandas as pd
-
     if "://" in root or root.startswith("file:"):
         raise ValueError(f"{root}: files are written through the file system, give a mounted path")
 
