@@ -72,7 +72,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text:
     first of ``keep`` spreads rows with equal text over the tasks."""
     windows = materialize(item_windows(benchmark, span, text, item).withColumn("item", F.coalesce("item", F.lit(""))), "item-windows")
     spans = sorted(r["span"] for r in windows.select("span").distinct().collect())  # at most `span` values
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(keep[0]))
+    # 128 bits: rows are joined on it, and there may be very many
+    key = F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(keep[0]).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))))
     words = docs.select(*[F.col(c).alias(c) for c in keep], key.alias("__key"), benchmark_words(F.col(text)).alias("__w"))
     for s in spans:
         words = words.withColumn(f"__g{s}", gram_hashes(F.col("__w"), F.size("__w"), thinning(s)[0]))
