@@ -230,8 +230,9 @@ def replace_pii(docs: DataFrame, secret: str, text: str = "text", key: str = "do
                 .select("__id", "__row", F.struct("at", _render(F.col("kind"), F.col("entity"), F.col("new")).alias("put")).alias("edit")))
     edits = materialize(rendered.groupBy(F.col("__id").alias("__edit_id"), F.col("__row").alias("__edit_row"))
                         .agg(F.array_sort(F.collect_set("edit")).alias("__edits")), "edits")
+    # one plan at every size; the edits are the smaller side
     joined = docs.withColumn("__row", row).join(
-        edits, (F.col("__row") == F.col("__edit_row")) & F.col(key).eqNullSafe(F.col("__edit_id")), "left")
+        edits.hint("shuffle_hash"), (F.col("__row") == F.col("__edit_row")) & F.col(key).eqNullSafe(F.col("__edit_id")), "left")
     put = F.transform(F.col("__edits"), lambda e: e["put"])
     pieces = F.split(t, _pattern(_names(t)), -1)
     new = F.array_join(F.zip_with(pieces, F.concat(put, F.array(F.lit(""))), lambda p, e: F.concat(p, e)), "")
