@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +33,61 @@ from treesnap.session import scratch_path
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
-_CACHE_PIECES = 400_000
-_MIXED_SPACE = re.compile(r"(?:\s|\A) (?:\s|\Z)")
+_YOUNG_PIECES = 600_000
+# white space other than the blank and the line feed
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 characters
+    stand for themselves, the others for successive characters from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Ids of pieces of text, computed where missing; a bounded memory of two
+    generations, of which the older is dropped when the younger is full."""
+
+    def __init__(self, model, lead: str):
+        super().__init__()
+        self.model, self.lead, self.older, self.bare = model, lead, {}, self
+        self.spelling = _byte_letters()
+
+    def _encode(self, piece: str) -> bytes:
+        return array("I", self.model.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
+
+    def _compute(self, piece: str) -> bytes:
+        if _LATIN(piece):  # one word for the pre-tokenizer
+            spelt = (self.lead + piece).encode().decode("latin-1").translate(self.spelling)
+            return array("I", [t.id for t in self.model.model.tokenize(spelt)]).tobytes()
+        if _LATIN(piece[:-1]) and piece[-1] in ",.;:!?":
+            return self[piece[:-1]] + self.bare[piece[-1]] if len(piece) > 1 else self._encode(piece)
+        left, _, right = piece.partition("\n")
+        if left and right and "\n" not in right:  # a lone line break stands by itself
+            return self[left] + self.bare["\n"] + self.bare[right]
+        return self._encode(piece)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            ids = self._compute(piece)
+        if len(self) >= _YOUNG_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
     """Byte-level BPE of whole texts through the tokenizers library.
 
-    The pre-tokenizer always cuts before a space, unless the space lies
-    inside or at the end of a run of white space. Texts without such a space
-    are therefore encoded piece by piece, each distinct piece once while the
-    bounded memory lasts; other texts are encoded whole."""
+    The pre-tokenizer cuts before every blank between two words and around a
+    line break between two words. Texts whose white space is of these two
+    kinds are encoded piece by piece, repeated pieces once while the bounded
+    memory holds them; other texts are encoded whole."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -50,7 +95,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.spaced, self.bare = _Pieces(self.model, " "), _Pieces(self.model, "")
+        self.spaced.bare = self.bare
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -58,26 +104,14 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _run(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without an end id."""
-        if len(self.known) > _CACHE_PIECES:
-            self.known.clear()
-        known, firsts, pieces, whole = self.known, [], [], []
-        for t in texts:
-            if not t or _MIXED_SPACE.search(t):
-                whole.append(t or "")
-                pieces.append(None)
-            else:
-                first, *rest = t.split(" ")
-                firsts.append(first)
-                pieces.append(rest)
-        fresh = list({p for ps in pieces if ps for p in ps} - known.keys())
-        known.update(zip(fresh, self._run([" " + p for p in fresh]), strict=True))
-        head, full = iter(self._run(firsts)), iter(self._run(whole))
-        return [next(full) if ps is None else b"".join([next(head), *map(known.__getitem__, ps)]) for ps in pieces]
+    def __call__(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of the text, without an end id."""
+        if not text:
+            return b""
+        if "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
+            return self.bare._encode(text)
+        first, *rest = text.split(" ")
+        return b"".join([self.bare[first] if first else b"", *map(self.spaced.__getitem__, rest)])
 
 
 def _token_rows(path: str, end_id: int):
@@ -87,7 +121,7 @@ def _token_rows(path: str, end_id: int):
         for b in batches:
             for lo in range(0, len(b), 256):
                 piece = b.iloc[lo:lo + 256]
-                ids = [x + end for x in encoder(list(piece["__text"]))]
+                ids = [encoder(t) + end for t in piece["__text"]]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 wide = max(int(np.frombuffer(x, np.uint32).max()) for x in ids) > 0xFFFF
                 yield pd.DataFrame({
@@ -105,8 +139,8 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
 def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        for raw, wide in zip(b["ids"], b["wide"], strict=True):
-            got = np.bincount(_ids(raw, wide), minlength=len(total))
+        for wide, part in b.groupby("wide")["ids"]:
+            got = np.bincount(_ids(b"".join(part), wide), minlength=len(total))
             got[:len(total)] += total
             total = got
     at = np.flatnonzero(total)
