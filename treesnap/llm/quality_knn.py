@@ -77,11 +77,12 @@ def terms(text: str | None) -> np.ndarray:
 
 def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK) -> dict:
     """Term weights, latent axes and the labelled vectors. ``rows`` are
-    ``terms`` of the sample, ``labels`` in [0, 1]. A fixed start makes the
+    ``terms`` of the sample (overwritten), ``labels`` in [0, 1]. A fixed start makes the
     decomposition repeatable."""
     idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
     idf[-_REPEATS:] *= 4
-    x = rows * idf
+    x = rows
+    x *= idf  # in place: the driver holds one copy of the sample
     k = int(min(rank, *x.shape)) if len(x) else 0
     if k:
         start = np.random.default_rng(0).standard_normal((x.shape[1], min(k + 10, len(x)))).astype(np.float32)
@@ -132,17 +133,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text
             .select("text", "label"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text: str = "text",
+def train(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE, text: str = "text",
           key: str = "doc_id", label: str = "quality") -> dict:
     """Fit on a bounded sample; the tasks turn its texts into terms."""
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "terms": [terms(t).astype(np.float16).tobytes() for t in b["text"]]})
 
-    got = (labelled_sample(docs, labels, rows, text, key, label).mapInPandas(measure, "label double, terms binary")
+    got = (labelled_sample(docs, labelled, rows, text, key, label).mapInPandas(measure, "label double, terms binary")
            .orderBy("terms", "label").collect())
-    x = np.array([np.frombuffer(r["terms"], np.float16) for r in got], np.float32).reshape(-1, TERMS)
-    return fit(x, np.array([r["label"] for r in got], float))
+    labels = np.array([r["label"] for r in got], float)
+    x = np.empty((len(got), TERMS), np.float32)
+    for i in range(len(got) - 1, -1, -1):
+        x[i] = np.frombuffer(got.pop()["terms"], np.float16)
+    return fit(x, labels)
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
