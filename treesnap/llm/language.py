@@ -135,16 +135,17 @@ def has_letter(text):
 def learning_sample(docs: DataFrame, text: str, key: str, lang: str, rows: int = SAMPLE,
                     rows_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     """At most ``rows`` rows over all languages and ``rows_per_lang`` in one:
-    the first by a hash of key and text. Rates from the languages' counts
-    thin the rows before they are ranked, so that no language gathers in a
-    task."""
+    the first by a hash of key and text. Of more languages than half the
+    rows, the most frequent are learned. Rates from the languages' counts
+    thin the rows where they are read, so that only a few times the sample is
+    ranked."""
     usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where(
         F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = usable.groupBy("lang").count()
-    langs = max(1, counts.count())
-    each = max(2, min(rows_per_lang, rows // langs))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows // 2).collect()
+    each = max(2, min(rows_per_lang, rows // max(1, len(counts))))
+    known = docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in counts], "lang string, count long")
     drawn = F.xxhash64(F.col("key").cast("string"), F.col("text"))
-    thin = (usable.withColumn("drawn", drawn).join(counts, "lang")
+    thin = (usable.withColumn("drawn", drawn).join(F.broadcast(known), "lang")  # rows // 2 rows at most
             .where(F.pmod("drawn", F.lit(1 << 20)) * F.col("count") < F.lit(8 * each << 20)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))
     return thin.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "lang")
