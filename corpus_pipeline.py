@@ -41,7 +41,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     the smallest doc_id, and of several rows under it the smallest text."""
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
     kept = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "kept-ids")
-    out = docs.join(kept.where("__rows = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    out = docs.join(kept.where("__rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     several = kept.where("__rows > 1").select("doc_id")
     if not several.isEmpty():
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -56,7 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), keep=("doc_id", "__hash"))
     hit = materialize(found.where("contaminated").select(F.col("doc_id").alias("__hit"), "__hash").distinct(), "contaminated")
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit("")), "doc_id"))
-    return rows.join(hit, (F.col("__own") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
+    return rows.join(hit.hint("shuffle_hash"), (F.col("__own") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
