@@ -172,6 +172,15 @@ def test_line_chunks(spark, messy, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_copies_with_other_blank_lines(spark):
+    """Copies in one layout meet each other, whatever layout came first."""
+    rng = random.Random(9)
+    lines = [" ".join(f"b{rng.randrange(10 ** 9)}" for _ in range(8)) for _ in range(40)]
+    rows = [(0, "\n".join(lines)), *((i, "\n\n".join(lines)) for i in range(1, 5))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all(len(got[i]) < len(rows[i][1]) / 2 for i in range(2, 5))
+
+
 def test_chunk_boundaries_follow_content():
     rng = random.Random(8)
     lines = [" ".join(f"q{rng.randrange(10 ** 9)}" for _ in range(6)) for _ in range(200)]
