@@ -172,6 +172,42 @@ def test_line_chunks(spark, messy, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_shared_lines_are_cut_whole(spark):
+    """Passages of 50 words and more in short lines, between short lines."""
+    rng = random.Random(10)
+
+    def line(n):
+        return " ".join(f"s{rng.randrange(10 ** 9)}" for _ in range(n))
+    rows, want = [], {}
+    for case, (n, words) in enumerate([(3, 18), (4, 15), (5, 12), (7, 8), (9, 12), (12, 5)] * 6):
+        shared = "\n".join(line(words) for _ in range(n))
+        for d in (0, 1):
+            before, after = line(rng.randrange(1, 19)), line(rng.randrange(1, 19))
+            rows.append((2 * case + d, f"{before}\n{shared}\n{after}"))
+            want[2 * case + d] = f"{before}\n{after}" if d else rows[-1][1]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed="cut").collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.cut == r.doc_id % 2 for r in got)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Every run of lines against every other, few kinds of lines."""
+    rng = random.Random(11)
+    kinds = [" ".join(f"{'abcdefgh'[k]}{i}" for i in range(n)) for k, n in enumerate([1, 2, 4, 5, 6, 9, 12, 14])]
+    texts = [[rng.choice(kinds) for _ in range(rng.randrange(9))] for _ in range(60)]
+    seen, cut = {}, set()
+    runs = sorted((d, i, j) for d, t in enumerate(texts) for i in range(len(t)) for j in range(i + 1, len(t) + 1))
+    for d, i, j in runs:
+        n = sum(len(x.split()) for x in texts[d][i:j])
+        if n >= 20 or j - i > 1 and n >= 10:
+            e, at, to = seen.setdefault(tuple(texts[d][i:j]), (d, i, j))
+            cut |= {(d, x) for x in range(max(i, to) if e == d else i, j)} if (e, at) != (d, i) else set()
+    rows = [(d, "\n".join(t)) for d, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(cut) > 50
+    for d, t in enumerate(texts):
+        assert got[d].split("\n") == [x for i, x in enumerate(t) if (d, i) not in cut] + [""] * (not t or (d, len(t) - 1) in cut), d
+
+
 def test_line_copies_with_other_blank_lines(spark):
     """Copies in one layout meet each other, whatever layout came first."""
     rng = random.Random(9)
