@@ -189,6 +189,33 @@ def test_shared_lines_are_cut_whole(spark):
     assert {r.doc_id: r.text for r in got} == want and all(r.cut == r.doc_id % 2 for r in got)
 
 
+def test_passages_inside_lines_are_cut(spark):
+    """Passages of 50 words at any place of differing lines, in one line or
+    over several: 30 words of the copy stay at most, all others stay."""
+    rng = random.Random(12)
+
+    def words(n):
+        return [f"p{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows, shared = [], {}
+    for case in range(60):
+        passage = words(50 + case % 3 * 40)
+        breaks = set(rng.sample(range(1, len(passage)), case % 4))
+        inside = "".join(w + (" \n"[i + 1 in breaks] if i + 1 < len(passage) else "") for i, w in enumerate(passage))
+        for d in (0, 1):
+            before, after = (" ".join(words(rng.randrange(30))) for _ in range(2))
+            rows.append((2 * case + d, f"{before} {inside} {after}\nnext line"))
+            shared[2 * case + d] = set(passage)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed="cut").collect()}
+    for d, t in rows:
+        left = got[d].text.split()
+        if d % 2 == 0:
+            assert got[d].text == t
+        else:
+            gone = [w for w in t.split() if w not in set(left)]
+            assert got[d].cut == 1 and left == [w for w in t.split() if w not in set(gone)]
+            assert set(gone) <= shared[d] and len(shared[d]) - len(gone) <= 30 and got[d].text.endswith("\nnext line")
+
+
 def test_line_dedup_equals_brute_force(spark):
     """Every run of lines against every other, few kinds of lines."""
     rng = random.Random(11)
