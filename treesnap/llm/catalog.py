@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treesnap.llm import conversation_repair, decontaminate, language, line_dedup, near_dedup, packing, periodic_runs, pii, quality_knn, quality_rules, sharding, token_files
+from treesnap.llm import conversation_repair, decontaminate, language, line_dedup, near_dedup, packing, periodic_runs, pii, quality_knn, quality_rules, secret_spans, sharding, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_knn.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_sharding": sharding.op10_sharding,
+    "op11_secret_spans": secret_spans.op11_secret_spans,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
