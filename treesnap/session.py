@@ -60,6 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or conf_dir
 
 
+def bound_arrow_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand Python functions batches of at most ``size`` bytes (or one row
+    more), so that a worker's memory does not grow with the length of texts.
+    Functions that read whole texts call this; it holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
