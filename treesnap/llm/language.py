@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from treesnap.llm.common import table
 from treesnap.llm.quality_knn import remainder
+from treesnap.session import bound_arrow_batches
 
 # ISO 639-1 codes by language family.
 FAMILIES = {
@@ -154,6 +155,8 @@ def learning_sample(docs: DataFrame, text: str, key: str, lang: str, rows: int =
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict:
     """Fit on a bounded sample of rows with a language. No such rows: a model
     that knows no language."""
+    bound_arrow_batches(docs.sparkSession)
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"lang": b["lang"], "x": [features(t).tobytes() for t in b["text"]]})
@@ -168,6 +171,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
     """The kept columns, lang_pred and score, one row per input row. Null
     text and text without a letter are ``und`` at score 0, as is everything
     when no language was learned. Other columns are ignored."""
+    bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

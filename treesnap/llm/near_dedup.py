@@ -26,7 +26,7 @@ from treesnap.llm.arrays import _SPACE, gram_hashes, run_hashes
 from treesnap.llm.common import table
 from treesnap.llm.components import components
 from treesnap.llm.sketch import band_keys, banding, sketches
-from treesnap.session import materialize
+from treesnap.session import bound_arrow_batches, materialize
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,6 +112,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     share a component. A null key is linked with nothing: its component is
     null and it is kept. Other columns are ignored. Shingles are told apart
     by 64-bit hashes, sets by 128-bit ones."""
+    bound_arrow_batches(docs.sparkSession)
     bands, rows = banding(percent / 100)
     doc = F.col("__d")
     base = materialize(docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__hash"), _describe(k, bands, rows)(F.col(text)).alias("__d"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from treesnap.llm.arrays import gram_hashes
 from treesnap.llm.common import split_words, table
+from treesnap.session import bound_arrow_batches
 
 LEAST, TIMES = 6, 4        # words of a run: at least, and times its period
 SEED = LEAST - 1           # words over which every run of period 1 equals itself
@@ -150,6 +151,7 @@ def find_runs(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     an empty table gives an empty one. Texts count whole whatever their length;
     a batch of them is searched together but each for itself. Columns that are
     not kept are ignored, whatever their names."""
+    bound_arrow_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_words long", f"runs {RUNS}", "collapsed string"])
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from treesnap.llm.arrays import as_bytes, gram_hashes, run_hashes, word_hashes
 from treesnap.llm.common import table
+from treesnap.session import bound_arrow_batches
 
 SAMPLE = 3000       # labelled rows the model is fitted on, at most
 RANK = 48           # latent dimensions
@@ -136,6 +137,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text
 def train(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE, text: str = "text",
           key: str = "doc_id", label: str = "quality") -> dict:
     """Fit on a bounded sample; the tasks turn its texts into terms."""
+    bound_arrow_batches(docs.sparkSession)
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "terms": [terms(t).astype(np.float16).tobytes() for t in b["text"]]})
@@ -154,6 +157,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
     """The kept columns, score (probability of label 1) and predicted, one row
     per input row. Null and empty texts are scored with the sample's share
     of label 1. Other columns are ignored; an empty table gives no rows."""
+    bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from treesnap.llm import secret_crf as crf
 from treesnap.llm.common import table
+from treesnap.session import bound_arrow_batches
 
 KINDS = ("assign", "access", "hex", "crf")   # order of spans that start together
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -169,6 +170,7 @@ def find_secrets(docs: DataFrame, model: dict, text: str = "text", keep: tuple[s
     equally likely taggings one fixed choice is made. Texts count whole whatever
     their length. One row per input row; an empty table gives an empty one.
     Columns that are not kept are ignored, whatever their names."""
+    bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # a few MB, of fixed size
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], f"spans {SPANS}"])

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructField, StructType
 
 from treesnap.llm.common import table
 from treesnap.llm.huffman import LIMIT, Code
-from treesnap.session import scratch_path
+from treesnap.session import bound_arrow_batches, scratch_path
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
@@ -181,6 +181,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key:
     without blocks. A block holds whole texts, ``block_ids`` ids or one text
     more. The counts collected have one row per id of the vocabulary."""
     spark = docs.sparkSession
+    bound_arrow_batches(spark)
     placed = (docs.select(F.col(key).alias("__order"), F.col(key).cast("string").alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
               .withColumn("__row", F.monotonically_increasing_id())
               .repartitionByRange("__order", "__hash", "__row").sortWithinPartitions("__order", "__hash", "__row")
@@ -214,6 +215,7 @@ def _type(name: str, of=None):
 def read(spark: SparkSession, folder: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Decode the files: key, start (ids of all texts before it), n_tokens,
     ids_crc32 and, with ``with_ids``, ids, one row per text."""
+    bound_arrow_batches(spark)
     blocks = spark.read.parquet(f"{folder}/blocks")
     lengths = spark.read.parquet(f"{folder}/code").collect()  # one row per id of the vocabulary
     code = spark.sparkContext.broadcast(Code(np.array([r["id"] for r in lengths], np.int64),
