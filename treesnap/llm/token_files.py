@@ -14,6 +14,7 @@ Any block can be decoded by itself, and within it from any mark."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,9 +35,11 @@ from treesnap.session import bound_arrow_batches, scratch_path
 BLOCK_IDS = 1 << 16
 END_ID = 0
 _YOUNG_PIECES = 600_000
-# white space other than the blank and the line feed
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# texts of these characters are cut into pieces here, all others by the tokenizer
+_OTHER = re.compile(f"[^\\n -~{_LETTERS}]").search
+# fixed value: how byte-level tokenizers cut a text, for those characters
+_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|[\\n ]+(?![^\\n ])|[\\n ]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,32 +51,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces of text, computed where missing; a bounded memory of two
-    generations, of which the older is dropped when the younger is full."""
+    """Ids of the pieces that texts are cut into, computed where missing; a
+    bounded memory of two generations, of which the older is dropped when the
+    younger is full."""
 
-    def __init__(self, model, lead: str):
+    def __init__(self, model):
         super().__init__()
-        self.model, self.lead, self.older, self.bare = model, lead, {}, self
-        self.spelling = _byte_letters()
-
-    def _encode(self, piece: str) -> bytes:
-        return array("I", self.model.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
-
-    def _compute(self, piece: str) -> bytes:
-        if _LATIN(piece):  # one word for the pre-tokenizer
-            spelt = (self.lead + piece).encode().decode("latin-1").translate(self.spelling)
-            return array("I", [t.id for t in self.model.model.tokenize(spelt)]).tobytes()
-        if _LATIN(piece[:-1]) and piece[-1] in ",.;:!?":
-            return self[piece[:-1]] + self.bare[piece[-1]] if len(piece) > 1 else self._encode(piece)
-        left, _, right = piece.partition("\n")
-        if left and right and "\n" not in right:  # a lone line break stands by itself
-            return self[left] + self.bare["\n"] + self.bare[right]
-        return self._encode(piece)
+        self.tokenize, self.older, self.spelling = model.model.tokenize, {}, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.pop(piece, None)
         if ids is None:
-            ids = self._compute(piece)
+            spelt = piece.encode().decode("latin-1").translate(self.spelling)
+            ids = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
         if len(self) >= _YOUNG_PIECES:
             self.older = dict(self)
             self.clear()
@@ -84,10 +74,10 @@ class _Pieces(dict):
 class Encoder:
     """Byte-level BPE of whole texts through the tokenizers library.
 
-    The pre-tokenizer cuts before every blank between two words and around a
-    line break between two words. Texts whose white space is of these two
-    kinds are encoded piece by piece, repeated pieces once while the bounded
-    memory holds them; other texts are encoded whole."""
+    Texts of blanks, line breaks, ASCII signs and Latin letters are cut into
+    pieces here, as the library's byte-level pre-tokenizer cuts them, and a piece is
+    encoded once while the bounded memory holds it. Texts with other characters
+    or an added token, and all texts of other kinds of tokenizers, are encoded whole."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -95,8 +85,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
-        self.spaced, self.bare = _Pieces(self.model, " "), _Pieces(self.model, "")
-        self.spaced.bare = self.bare
+        kind = json.loads(self.model.to_str())
+        cutter = kind.get("pre_tokenizer") or {}
+        self.known = (cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+                      and not kind.get("normalizer") and kind["model"].get("type", "BPE") == "BPE")
+        added = [re.escape(t["content"]) for t in kind.get("added_tokens") or []]
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
+        self.pieces = _Pieces(self.model)
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -108,27 +103,31 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of the text, without an end id."""
         if not text:
             return b""
-        if "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
-            return self.bare._encode(text)
-        first, *rest = text.split(" ")
-        return b"".join([self.bare[first] if first else b"", *map(self.spaced.__getitem__, rest)])
+        if not self.known or _OTHER(text) or self.added(text):
+            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, _PIECES(text)))
 
 
 def _token_rows(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, seq, at = Encoder.load(path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, at, total = Encoder.load(path), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int64)
         end = np.array([end_id], np.uint32).tobytes()
         for b in batches:
             for lo in range(0, len(b), 256):
                 piece = b.iloc[lo:lo + 256]
                 ids = [encoder(t) + end for t in piece["__text"]]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
-                wide = max(int(np.frombuffer(x, np.uint32).max()) for x in ids) > 0xFFFF
+                whole = np.frombuffer(b"".join(ids), np.uint32)
+                got = np.bincount(whole, minlength=len(total))
+                got[:len(total)] += total
+                total, wide = got, int(whole.max()) > 0xFFFF
                 yield pd.DataFrame({
                     "range": np.int32(part), "seq": np.arange(seq, seq + len(ids)), "at": at + np.cumsum(n) - n,
                     "key": piece["__key"].to_numpy(), "n": n, "wide": wide,
                     "ids": ids if wide else [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in ids]})
                 seq, at = seq + len(ids), at + int(n.sum())
+        # the range's counts by id, as a row before its first text
+        yield pd.DataFrame({"range": np.int32(part), "seq": [-1], "at": 0, "key": pd.Series([None], dtype=object), "n": 0, "wide": False, "ids": [total.tobytes()]})
     return run
 
 
@@ -137,14 +136,11 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
 
 
 def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
     for b in batches:
-        for wide, part in b.groupby("wide")["ids"]:
-            got = np.bincount(_ids(b"".join(part), wide), minlength=len(total))
-            got[:len(total)] += total
-            total = got
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"id": at, "count": total[at]})
+        for raw in b["ids"]:
+            total = np.frombuffer(raw, np.int64)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"id": at, "count": total[at]})
 
 
 def _block_rows(code: Code, block_ids: int):
@@ -191,8 +187,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key:
                                StructField("wide", _type("boolean")), StructField("ids", _type("binary"))])
     tokens = scratch_path(spark, "token-ids")
     placed.mapInPandas(_token_rows(tokenizer, end_id), token_schema).write.option("compression", "zstd").parquet(tokens)
-    ids = spark.read.schema(token_schema).parquet(tokens)
-    counts = ids.select("ids", "wide").mapInPandas(_count_rows, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
+    stored = spark.read.schema(token_schema).parquet(tokens)
+    ids = stored.where("seq >= 0")
+    counts = stored.where("seq < 0").select("ids").mapInPandas(_count_rows, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
     code = Code.fit(np.array([r["id"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.int64), limit)
     block_schema = StructType([*head, StructField("keys", _type("array", _type("string"))), StructField("sizes", _type("array", _type("long"))),
                                StructField("payload", _type("binary")), StructField("marks", _type("array", _type("long")))])
