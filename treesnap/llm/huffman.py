@@ -51,9 +51,9 @@ class Code:
         spans = np.int64(1) << (self.width - self.lengths)
         first = np.concatenate(([0], np.cumsum(spans)))[:-1]
         size = int(self.ids.max()) + 1 if len(ids) else 1
-        self.length_of, self.code_of = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.length_of, self.code_of = np.zeros(size, np.uint8), np.zeros(size, np.uint64)
         self.length_of[self.ids] = self.lengths
-        self.code_of[self.ids] = first >> (self.width - self.lengths)
+        self.code_of[self.ids] = first.astype(np.uint64) << np.uint64(64 - self.width)   # from the top bit on
         self.symbol = np.zeros(1 << self.width, np.uint32)
         self.skip = np.ones(1 << self.width, np.int64)
         self.symbol[:int(spans.sum())] = np.repeat(self.ids, spans)
@@ -68,40 +68,45 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits as bytes (whole words) and the checkpoints."""
-        n = self.length_of[ids]
-        ends = np.cumsum(n)
+        if not len(ids):
+            return np.zeros(1, ">u4").tobytes(), np.zeros(0, np.int64)
+        ids = np.asarray(ids, np.intp)
+        n = self.length_of.take(ids)
+        ends = np.cumsum(n, dtype=np.int64)
         at = ends - n
-        word = (at >> np.uint64(5)).astype(np.int64)
-        bits = self.code_of[ids] << (np.uint64(64) - n - (at & np.uint64(31)))
-        out = np.zeros(int(ends[-1] >> np.uint64(5)) + 2 if len(ids) else 1, np.uint32)
-        if len(ids):
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            both = np.add.reduceat(bits, first)  # no two codes share a bit
-            out[word[first]] |= (both >> np.uint64(32)).astype(np.uint32)
-            out[word[first] + 1] |= (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return out.astype(">u4").tobytes(), at[::STRIDE].astype(np.int64)
+        word = at >> 5
+        bits = self.code_of.take(ids) >> (at & 31).view(np.uint64)
+        out = np.zeros(int(ends[-1] >> 5) + 2, np.uint32)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        both = np.add.reduceat(bits, first)  # no two codes share a bit
+        word = word[first]
+        out[word] |= (both >> np.uint64(32)).astype(np.uint32)
+        out[word + 1] |= (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return out.astype(">u4").tobytes(), at[::STRIDE].copy()
 
     def decode(self, payloads: list[bytes], marks: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
         """Ids of each block; all lanes of all blocks run together."""
-        raw = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8).astype(np.uint32)
-        ahead = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
+        raw = b"".join([*payloads, bytes(8)])
+        ahead = np.ndarray(len(raw) - 3, ">u4", raw, strides=(1,))   # the 32 bits from every byte on
         base = np.cumsum([0] + [8 * len(p) for p in payloads])[:-1]
         at = np.concatenate([m + b for m, b in zip(marks, base, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
         left = np.concatenate([np.minimum(STRIDE, s - np.arange(0, s, STRIDE)) for s in sizes] or [np.zeros(0, np.int64)])
-        out = np.zeros((len(at), STRIDE), np.uint32)
-        mask = np.uint32((1 << self.width) - 1)
-        full, at_full = np.arange(len(at)), at
+        out = np.zeros((STRIDE, len(at)), np.uint32)
+        mask, room = np.uint32((1 << self.width) - 1), 32 - self.width
+        full, at_full, shortest = None, at, left.min(initial=STRIDE)   # None: all lanes
         for step in range(STRIDE):
-            if step and step >= left.min(initial=STRIDE):
-                on = left[full] > step
-                full, at_full = full[on], at_full[on]
+            if step >= shortest:
+                on = left > step if full is None else left[full] > step
+                full, at_full = np.flatnonzero(on) if full is None else full[on], at_full[on]
                 if not len(full):
                     break
-            shift = (32 - self.width - (at_full & 7)).astype(np.uint32)
-            peek = (ahead[at_full >> 3] >> shift) & mask
-            out[full, step] = self.symbol[peek]
-            at_full = at_full + self.skip[peek]
-        flat = out.reshape(-1)
+            peek = (ahead[at_full >> 3].astype(np.uint32) >> (room - (at_full & 7)).astype(np.uint32)) & mask
+            if full is None:
+                out[step] = self.symbol.take(peek)
+            else:
+                out[step, full] = self.symbol.take(peek)
+            at_full = at_full + self.skip.take(peek)
+        flat = np.ascontiguousarray(out.T).reshape(-1)
         found, lane = [], 0
         for s in sizes:
             lanes = -(-s // STRIDE)
