@@ -119,3 +119,34 @@ def test_build_write_read_ingest(spark, tmp_path, project_files):
     r = IG.ingest_batch(IG.State.empty(spark), S.read_built(spark, out), "2026-02-01 00:00:00")
     assert r.rejected.count() == 0 and r.results.first()["chunks"] == 4
     assert {x["path"] for x in r.state.chunks.collect()} == {x["path"] for x in project_files.collect()}
+
+
+def test_built_rows_equal_whole_documents(spark, tmp_path):
+    """Names and paths that look like sections, both text forms, many parts."""
+    from treesnap.operators import assemble as A
+    from treesnap.plans.build import BuildSettings, build
+    from treesnap.operators import registry as R
+    from treesnap.sources import snapshots as S
+    from treesnap.streaming import ingest as IG
+    paths = ["name", "user", "ai", "files", "a/b.py", "file_tree/x \"q\".md", "metadata", "architecture/[", "z,", "ü/ö.txt", "a%2Bb +.txt"]
+    rows = [(p, f, f"One. {p} {f}!\nTwo: \\ \"x\",".encode()) for p in ("P", "a=b/c%", "007", "x+y z") for f in paths + [f"d{i % 7}/f{i}.py" for i in range(40)]]
+    files = spark.createDataFrame(rows, "project string, path string, content binary")
+    cache = spark.createDataFrame([], "project string, path string, sha256 string, description string")
+    synthesis = spark.createDataFrame([], "project string, use_cases string, conventions_ai string")
+    for form in ("lines", "string"):
+        res = build(files, cache, synthesis, BuildSettings(user_conventions="Mine: \"a\",", generated_at="2026-01-01T00:00:00+00:00", text_fields=form))
+        out = str(tmp_path / form)
+        A.write_documents(res.document_lines, out, partitions=9)
+        whole = IG.ingest_batch(IG.State.empty(spark), S.read_built(spark, out), "2026-02-01 00:00:00")
+        rowed = IG.ingest_built(IG.State.empty(spark), S.read_built_rows(spark, out), "2026-02-01 00:00:00")
+        same = lambda df: sorted(map(str, df.collect()))
+        assert same(rowed.state.chunks) == same(whole.state.chunks)
+        assert same(rowed.state.projects) == same(whole.state.projects) and same(rowed.results) == same(whole.results)
+        req = files.select("project").distinct().crossJoin(spark.createDataFrame([(f,) for f in R.OVERVIEW_FIELDS], "field string"))
+        assert same(R.overview_lookup(req, rowed.state.overviews, texts=rowed.state.texts)) == same(R.overview_lookup(req, whole.state.overviews))
+        root = str(tmp_path / f"state-{form}")
+        for b in range(2):
+            IG.ingest_built_to(spark, out, root, b, "2026-02-01 00:00:00")
+        state = IG.load_state(spark, root)
+        assert same(R.overview_lookup(req, state.overviews, texts=state.texts)) == same(R.overview_lookup(req, whole.state.overviews))
+        assert "collect_list" not in rowed.changed.chunks._jdf.queryExecution().toString()

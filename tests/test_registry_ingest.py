@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -185,3 +188,112 @@ def test_collections_with_empty_project(spark):
     chunks = spark.createDataFrame([("My App", "1"), ("gone", "2")], "project string, id string")
     assert sorted(map(tuple, R.collections(reg, chunks, "c_").collect())) == [("My App", "c_my_app", 1, False), ("none", "c_none", 0, True)]
     assert [r[0] for r in R.collection_names(reg, "c_", "c_m").collect()] == ["c_my_app"]
+
+
+def test_rejects_and_results_are_kept(spark, tmp_path):
+    root = str(tmp_path / "state")
+    docs = [doc("A", {"a.py": "one"}), '{"metadata": {"name": "cut"}', doc("", {"x": "y"})]
+    IG.ingest_to(spark, raw(spark, docs), root, 0, "2026-02-01 00:00:00")
+    for _ in range(2):   # a replay writes each once
+        IG.ingest_to(spark, raw(spark, [doc("A", {"b.py": "two"}), "[]"]), root, 1, "2026-02-02 00:00:00")
+    got = sorted((r["batch"], r["message"], r["value"]) for r in IG.load_rejects(spark, root).collect())
+    assert got == sorted([(0, S.INVALID_JSON, docs[1]), (0, S.MISSING_NAME, docs[2]), (1, S.INVALID_JSON, "[]")])
+    found = sorted((r["batch"], r["project"], r["chunks"], r["action"], r["indexed_at"]) for r in IG.load_results(spark, root).collect())
+    assert found == [(0, "A", 1, "created", "2026-02-01T00:00:00+00:00"), (1, "A", 1, "updated", "2026-02-02T00:00:00+00:00")]
+    # a batch without its marker is not seen
+    IG.open_log(spark, root)._write("rejects", IG.load_rejects(spark, root).select(*IG.REJECT_SCHEMA.fieldNames(), F.lit(2).cast("long").alias("v")), IG.Unit(2, 2))
+    assert IG.load_rejects(spark, root).count() == 3
+
+
+def test_stream_keeps_rejects(spark, tmp_path):
+    landing, root, ckpt = str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "ckpt")
+    raw(spark, [doc("S", {"a.py": "one"}), "broken"]).coalesce(1).write.mode("append").text(landing)
+    IG.start_stream(spark, landing, root, ckpt).awaitTermination()
+    assert [(r["status"], r["message"], r["value"]) for r in IG.load_rejects(spark, root).collect()] == [("error", S.INVALID_JSON, "broken")]
+    assert [(r["status"], r["project"]) for r in IG.load_results(spark, root).collect()] == [("ok", "S")]
+
+
+def test_stale_pushes_do_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(3)
+    pushes = [(i, doc(rng.choice("AB"), {f"{rng.choice('xyz')}.py": f"text {i}"}, gen=rng.choice(
+        ["", "no time", *[f"2026-01-{d:02d}T00:00:00+00:00" for d in range(1, 9)]]))) for i in range(40)]
+    newest, stale = {}, set()
+    for i, text in pushes:
+        m = json.loads(text)["metadata"]
+        at = m["generated_at"] if m["generated_at"][:1] == "2" else "0"
+        if at < newest.get(m["name"], ""):
+            stale.add(i)
+        newest[m["name"]] = max(at, newest.get(m["name"], ""))
+    assert 5 < len(stale) < 35
+    states = []
+    for n, cuts in enumerate([[40], [20, 40], [1, 2, 17, 30, 40]]):
+        root, lo = str(tmp_path / f"state{n}"), 0
+        for b, hi in enumerate(cuts):
+            part = spark.createDataFrame(pushes[lo:hi], "at int, value string").repartition(3)
+            IG.ingest_to(spark, part, root, b, "2026-02-01 00:00:00", order_cols=("at",), stale="reject", arrival=["at"])
+            lo = hi
+        rejects = IG.load_rejects(spark, root).collect()
+        assert {r["value"] for r in rejects} == {t for i, t in pushes if i in stale} and all(r["message"].startswith("Stale push: ") for r in rejects)
+        state = IG.load_state(spark, root)
+        states.append([sorted(map(str, df.collect())) for df in (state.chunks.drop("embedding"), state.overviews, state.versions)])
+    assert states[0] == states[1] == states[2]
+    with pytest.raises(ValueError):
+        IG.ingest_to(spark, raw(spark, []), str(tmp_path / "no"), 0, "2026-02-01 00:00:00", stale="maybe")
+
+
+def test_log_tiers():
+    from treesnap.streaming.log import Unit, tiers
+    assert tiers(6) == [] and tiers(7) == [Unit(0, 7)] and tiers(63) == [Unit(56, 63), Unit(0, 63)]
+
+
+def test_many_batches_are_merged(spark, tmp_path):
+    from pyspark.sql import types as T
+    from treesnap.streaming.log import Log, Table
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("x", T.LongType())])
+    tables = {"kept": Table(schema, ("k",), look_up=True), "all": Table(schema)}
+    root = str(tmp_path / "log")
+    log = Log(spark, root, tables)
+    for b in range(17):
+        rows = spark.createDataFrame([(f"k{b % 5}", b), (f"own{b}", b)], schema).coalesce(1)
+        log.append(b, {"kept": rows, "all": rows})
+    log = Log(spark, root, tables)   # as listed anew
+    assert [u.folder for u in log.units()] == ["run=0-7", "run=8-15", "v=16"]
+    assert [u.folder for u in log.units(before=8)] == ["run=0-7"] and [u.folder for u in log.units(before=7)] == [f"v={b}" for b in range(7)]
+    for before in (None, 16, 9, 8, 3):
+        last = 17 if before is None else before
+        want = {f"own{b}": b for b in range(last)} | {f"k{b % 5}": b for b in range(last)}
+        assert {r["k"]: r["x"] for r in log.read("kept", before).collect()} == want
+        assert log.rows("all", before).count() == 2 * last
+    log.append(3, {"kept": spark.createDataFrame([("k3", 3), ("own3", 3)], schema), "all": spark.createDataFrame([("k3", 3), ("own3", 3)], schema)})
+    assert Log(spark, root, tables).read("kept").where("k = 'k3'").first()["x"] == 13
+    # a look-up opens the files whose range of keys fits
+    assert [r["x"] for r in log.look_up("kept", [("own16",)]).collect()] == [16]
+    assert len(log.files("kept", [("own16",)])) == 3 and log.files("kept", [("zzz",)]) == log.files("kept", [("a",)]) == []
+    assert log.look_up("kept", [("nothing",)]).count() == 0
+
+
+def test_point_look_ups(spark, tmp_path):
+    root = str(tmp_path / "state")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # several files of few rows
+    for b in range(2):
+        IG.ingest_to(spark, raw(spark, [doc(f"P{i}", {f"f{j}.py": f"{b} {i} {j}" for j in range(20)}) for i in range(8)]), root, b, "2026-02-01 00:00:00")
+    got = IG.find_chunks(spark, root, [("P3", "file:f7.py"), ("P5", "file:none")]).collect()
+    assert [(r["project"], r["text"]) for r in got] == [("P3", "1 3 7")]
+    assert IG.find_chunks(spark, root, [("P6",)]).count() == 20
+    log = IG.open_log(spark, root)
+    every = spark.read.parquet(f"{root}/manifest/chunks/*").count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert every > 4 and len(log.files("chunks", [("P3", "file:f7.py")])) <= every / 2
+    IG.ingest_to(spark, raw(spark, [doc("P6", {"z.py": "alone"})]), root, 2, "2026-02-03 00:00:00", prune=True)
+    assert [r["text"] for r in IG.find_chunks(spark, root, [("P6",)]).collect()] == ["alone"]
+
+
+def test_nearest_names(spark):
+    known = spark.createDataFrame([("web-app",), ("Web-Api",), ("billing",), ("web-application",), ("xyz",)], "name string")
+    asked = spark.createDataFrame([("web-ap",), ("web-ap",), ("biling",), ("qqq",)], "name string")
+    got = {r["name"]: r["nearest"] for r in R.nearest_names(asked, known).collect()}
+    assert got["web-ap"][:2] == ["Web-Api", "web-app"] and len(got["web-ap"]) == 3 and got["biling"][0] == "billing" and "qqq" not in got
+    ov = spark.createDataFrame([("billing", "uc", None, None, None)], "project string, use_cases string, conventions string, diagram string, file_tree string")
+    req = spark.createDataFrame([("biling", "use_cases"), ("qqq", "use_cases"), ("billing", "use_cases")], "project string, field string")
+    errors = {r["project"]: r["error"] for r in R.overview_lookup(req, ov, known).collect()}
+    assert errors == {"biling": "Unknown project 'biling'. Nearest: billing", "qqq": "Unknown project 'qqq'", "billing": None}

@@ -12,7 +12,7 @@ project in a batch is a ``max_by`` aggregate (partial, skew-safe).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treesnap.functions import paths as P
@@ -106,15 +106,53 @@ def list_projects(registry: DataFrame) -> DataFrame:
                            ).orderBy("project")
 
 
-def overview_lookup(requests: DataFrame, overviews: DataFrame) -> DataFrame:
+def _trigrams(name) -> F.Column:
+    """Distinct runs of three characters of a lower-cased name between blanks."""
+    t = F.concat(F.lit("  "), F.lower(name), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))
+
+
+def nearest_names(asked: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
+    """asked(name), known(name) -> name, nearest: up to ``k`` known names per
+    asked one, by the number of shared three-character runs, then the edit
+    distance, then the name. Names without a shared run are not near. Pairs are
+    met through their runs and counted before they are shuffled."""
+    a = asked.select("name").distinct().select("name", F.explode(_trigrams("name")).alias("run"))
+    b = known.select(F.col("name").alias("near")).distinct().select("near", F.explode(_trigrams("near")).alias("run"))
+    shared = a.join(b, "run").groupBy("name", "near").agg(F.count(F.lit(1)).alias("runs"))
+    order = [F.desc("runs"), F.levenshtein(F.lower("name"), F.lower("near")), "near"]
+    first = shared.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(*order))).where(F.col("place") <= k)
+    return first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "near"))).alias("x")).select("name", F.col("x.near").alias("nearest"))
+
+
+def joined_texts(texts: DataFrame) -> DataFrame:
+    """(project, field, value): overview texts that are kept as lines (project,
+    field, part, block, n, line), each as one stripped string. For the projects
+    that somebody asked for."""
+    row = F.struct("part", "block", "n", "line")
+    g = texts.groupBy("project", "field").agg(F.array_sort(F.collect_list(row)).alias("x"))
+    return g.select("project", "field", blank_to_null(F.array_join("x.line", "\n")).alias("value"))
+
+
+def overview_lookup(requests: DataFrame, overviews: DataFrame, names: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """requests(project, field, ...) -> (..., project, field, value, error).
     Unknown project or an empty field gives an error row instead of a
-    value. Other request columns are passed through."""
+    value. Other request columns are passed through. With ``names`` (name),
+    the error tells the nearest registered ones; with ``texts``, fields kept as
+    lines are found too."""
     ov = overviews.select("project", F.lit(True).alias("_known"), *[F.col(f).alias(f"_{f}") for f in OVERVIEW_FIELDS])
     j = requests.join(ov, "project", "left")
     value = F.coalesce(*[F.when(F.col("field") == f, F.col(f"_{f}")) for f in OVERVIEW_FIELDS])
+    if texts is not None:
+        own = joined_texts(texts.join(requests.select("project", "field").distinct(), ["project", "field"], "left_semi"))
+        j, value = j.join(own.withColumnRenamed("value", "_text"), ["project", "field"], "left"), F.coalesce(value, "_text")
     quoted = F.concat(F.lit("'"), F.col("project"), F.lit("'"))
-    error = (F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown project "), quoted))
+    unknown = F.concat(F.lit("Unknown project "), quoted)
+    if names is not None:
+        near = nearest_names(requests.select(F.col("project").alias("name")).join(names.select("name"), "name", "left_anti"), names)
+        j = j.join(near.select(F.col("name").alias("project"), F.col("nearest").alias("_nearest")), "project", "left")
+        unknown = F.concat(unknown, F.when(F.size("_nearest") > 0, F.concat(F.lit(". Nearest: "), F.array_join("_nearest", ", "))).otherwise(F.lit("")))
+    error = (F.when(F.col("_known").isNull(), unknown)
              .when(value.isNull() | (value == ""),
                    F.concat(F.lit("No "), F.col("field"), F.lit(" found for project "), quoted)))
     extra = [c for c in requests.columns if c not in ("project", "field")]

@@ -605,6 +605,29 @@ def q_overview_lookup(spark, sf_dir):
     return R.overview_lookup(req.select("project", "field", "item_id"), state.overviews)
 
 
+SQL_GRAMS = "list_distinct(list_transform(range(1, length({x}) + 2), lambda i: substring('  ' || lower({x}) || ' ', CAST(i AS INTEGER), 3)))"
+
+
+@register("nearest_projects", f"""
+  WITH a AS (SELECT DISTINCT 'src' || CAST(item_id % 24 AS VARCHAR) || '-en' AS name FROM benchmark
+             UNION SELECT DISTINCT lang || '-src' || CAST(doc_id % 31 AS VARCHAR) FROM documents),
+  k AS (SELECT DISTINCT source || '-' || lang AS near FROM documents),
+  u AS (SELECT name, unnest({SQL_GRAMS.format(x='name')}) AS run FROM a ANTI JOIN k ON k.near = a.name),
+  r AS (SELECT near, unnest({SQL_GRAMS.format(x='near')}) AS run FROM k),
+  p AS (SELECT name, near, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, levenshtein(lower(name), lower(near)), near) AS place
+        FROM u JOIN r USING (run) GROUP BY name, near),
+  n AS (SELECT name, string_agg(near, ', ' ORDER BY place) AS nearest FROM p WHERE place <= 3 GROUP BY name)
+  SELECT a.name AS project, CASE WHEN k.near IS NULL THEN 'Unknown project ''' || a.name || '''' || coalesce('. Nearest: ' || nearest, '') END AS error
+  FROM a LEFT JOIN k ON k.near = a.name LEFT JOIN n ON n.name = a.name""")
+def q_nearest_projects(spark, sf_dir):
+    """Look-ups under known and unknown names: the error tells the nearest
+    registered names."""
+    _, _, state, _ = _ingested(spark, sf_dir)
+    req = _overview_requests(spark, sf_dir).select("project").unionByName(_documents(spark, sf_dir).select(
+        F.concat("lang", F.lit("-src"), (F.col("doc_id") % 31).cast("string")).alias("project"))).distinct().withColumn("field", F.lit("file_tree"))
+    return R.overview_lookup(req, state.overviews, state.projects).select("project", "error")
+
+
 @register("file_lookup", f"""
   WITH req AS (SELECT DISTINCT 'src' || CAST(doc_id % 20 AS VARCHAR) || '/en/doc_' || CAST(doc_id AS VARCHAR)
                       || '.txt' AS path FROM labels),
@@ -934,6 +957,66 @@ def q_stream_replay(spark, sf_dir):
         "name", "last_indexed_at", "file_chunk_count", "action", F.coalesce("n", F.lit(0)).cast("bigint").alias("chunks"))
 
 
+SQL_SPOILED = """
+  SELECT doc_id, CASE WHEN doc_id < (SELECT count(*) FROM documents) / 2 THEN 0 ELSE 1 END AS batch,
+         CASE doc_id % 4 WHEN 0 THEN '{msg}' WHEN 1 THEN '{msg}' ELSE 'Missing metadata.name' END AS message
+  FROM documents WHERE doc_id % 4 < 3""".replace("{msg}", "Invalid JSON body")
+
+
+def _spoiled():
+    """A push spoiled by a rule: cut short, wrapped in an array, nameless, or
+    (the last quarter) sound."""
+    value, k = F.col("value"), F.col("doc_id") % 4
+    return (F.when(k == 0, F.expr("substr(value, 1, length(value) - 1)")).when(k == 1, F.concat(F.lit("["), value, F.lit("]")))
+            .when(k == 2, F.regexp_replace(value, '^\\{"metadata":\\{"name":"[^"]*",', '{"metadata":{')).otherwise(value))
+
+
+def _pushed_doc():
+    """The doc_id of a push, from the paths in its text."""
+    return F.regexp_extract("value", r'/doc_(\d+)\.txt', 1).cast("bigint").alias("doc_id")
+
+
+@register("stream_rejects", f"""
+  SELECT doc_id, CAST(batch AS BIGINT) AS batch, message FROM ({SQL_SPOILED})""")
+def q_stream_rejects(spark, sf_dir):
+    """Spoiled pushes streamed in two drops, the second batch then applied
+    once more: every reject stands in the stream's log once, with its text."""
+    from treesnap.session import scratch_path
+    pushes = TB.snapshot_pushes(_documents(spark, sf_dir)).select("batch", _spoiled().alias("value"))
+    landing, root, ckpt = (scratch_path(spark, n) for n in ("landing", "reject-state", "reject-ckpt"))
+    for b in (0, 1):
+        pushes.filter(F.col("batch") == b).select("value").write.mode("append").text(landing)
+        IG.start_stream(spark, landing, root, ckpt).awaitTermination()
+    IG.ingest_to(spark, pushes.filter("batch = 1").select("value"), root, 1, TB.BATCH_TIMES[1])
+    return IG.load_rejects(spark, root).select(_pushed_doc(), "batch", "message")
+
+
+STALE_BATCHES = 3
+SQL_ARRIVALS = f"""
+  SELECT doc_id, source || '-' || lang AS project, doc_id * 7919 % n AS turn,
+         CAST(floor({STALE_BATCHES} * (doc_id * 7919 % n) / n) AS BIGINT) AS batch
+  FROM documents, (SELECT count(*) AS n FROM documents)"""
+
+
+@register("stale_pushes", f"""
+  SELECT doc_id, batch, 'Stale push: ' || strftime(TIMESTAMP '{TB.PUSH_EPOCH}' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S+00:00')
+           || ' is older than ' || strftime(TIMESTAMP '{TB.PUSH_EPOCH}' + to_seconds(newest), '%Y-%m-%dT%H:%M:%S+00:00') AS message
+  FROM (SELECT *, max(doc_id) OVER (PARTITION BY project ORDER BY turn, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+        FROM ({SQL_ARRIVALS})) WHERE newest > doc_id""")
+def q_stale_pushes(spark, sf_dir):
+    """The push log in a shuffled order of arrival and three batches: a push
+    that is older than an earlier one of its project is rejected."""
+    from treesnap.session import materialize, scratch_path
+    docs = _documents(spark, sf_dir)
+    n = docs.select(F.count(F.lit(1))).scalar()
+    turn = F.col("doc_id") * 7919 % n
+    pushes = materialize(TB.snapshot_pushes(docs).select("doc_id", "value", turn.alias("turn"), F.floor(STALE_BATCHES * turn / n).alias("drop")), "pushes")
+    root = scratch_path(spark, "stale-state")
+    for b in range(STALE_BATCHES):
+        IG.ingest_to(spark, pushes.where(F.col("drop") == b).select("value", "doc_id", "turn"), root, b, TB.BATCH_TIMES[0], stale="reject", arrival=["turn", "doc_id"])
+    return IG.load_rejects(spark, root).select(_pushed_doc(), "batch", "message")
+
+
 @register("rejected_documents", f"""
   SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{{msg}}' WHEN 1 THEN '{{msg}}' ELSE 'Missing metadata.name' END AS error
   FROM documents WHERE doc_id % 4 < 3""".replace("{msg}", "Invalid JSON body"))
@@ -942,10 +1025,7 @@ def q_rejected_documents(spark, sf_dir):
     or (the last quarter) sound. Rejects are reported with their reason."""
     from treesnap.session import materialize
     from treesnap.sources import snapshots as S
-    value, k = F.col("value"), F.col("doc_id") % 4
-    spoiled = (F.when(k == 0, F.expr("substr(value, 1, length(value) - 1)")).when(k == 1, F.concat(F.lit("["), value, F.lit("]")))
-               .when(k == 2, F.regexp_replace(value, '^\\{"metadata":\\{"name":"[^"]*",', '{"metadata":{')).otherwise(value))
-    pushes = materialize(TB.snapshot_pushes(_documents(spark, sf_dir)).select("doc_id", spoiled.alias("value")), "pushes")
+    pushes = materialize(TB.snapshot_pushes(_documents(spark, sf_dir)).select("doc_id", _spoiled().alias("value")), "pushes")
     return S.rejected(S.parse(pushes)).select("doc_id", "error")
 
 
@@ -1068,13 +1148,12 @@ def q_synthesis_prompts(spark, sf_dir):
   FROM fd WHERE {py_strip_sql('description')} <> ''""")
 def q_snapshot_roundtrip(spark, sf_dir):
     """The build's documents written (several part files a project), read
-    back and ingested: chunks with the registry's count."""
+    back line by line and ingested: chunks with the registry's count."""
     from treesnap.operators import assemble as A
     from treesnap.session import scratch_path
-    from treesnap.sources import snapshots as S
     out, root = scratch_path(spark, "built"), scratch_path(spark, "roundtrip-state")
     A.write_documents(_build(spark, sf_dir).document_lines, out, partitions=64)
-    IG.ingest_to(spark, S.read_built(spark, out).select("value"), root, 0, TB.BATCH_TIMES[0])
+    IG.ingest_built_to(spark, out, root, 0, TB.BATCH_TIMES[0])
     state = IG.load_state(spark, root)
     return state.chunks.join(state.projects.withColumnRenamed("name", "project"), "project").select(
         "project", "id", "path", "text", "file_chunk_count")
