@@ -37,6 +37,22 @@ def stale() -> Column:
     return F.when(~F.col("fresh"), F.lit("content changed while the run read it"))
 
 
+def ask_prompts(complete: Callable, prompts: list[str], max_tokens: int) -> list[tuple[str | None, str | None, int, int]]:
+    """(answer, error, input tokens, output tokens) of each prompt. A model
+    returns texts, or (text, input tokens, output tokens); tokens that it does
+    not tell count 0. If the call fails, its prompts are tried one by one."""
+    try:
+        got = complete(prompts, max_tokens)
+        if len(got) != len(prompts):
+            raise ValueError(f"{len(got)} answers to {len(prompts)} prompts")
+        told = [(x, 0, 0) if isinstance(x, str) else tuple(x) for x in got]
+        return [(str(t).strip(), None, int(i or 0), int(o or 0)) for t, i, o in told]
+    except Exception as e:  # reported per prompt
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}", 0, 0)]
+        return [x for p in prompts for x in ask_prompts(complete, [p], max_tokens)]
+
+
 def call_model(rows: DataFrame, complete: Callable[[list[str], int], list[str]], max_tokens: int, tasks: int,
                call_rows: int = CALL_ROWS) -> DataFrame:
     """The columns of ``rows`` without ``prompt``, plus answer (stripped) and
@@ -48,34 +64,24 @@ def call_model(rows: DataFrame, complete: Callable[[list[str], int], list[str]],
     keep = [f for f in rows.schema.fields if f.name != "prompt"]
     schema = T.StructType([*keep, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
-    def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
-        try:
-            texts = complete(prompts, max_tokens)
-            if len(texts) != len(prompts):
-                raise ValueError(f"{len(texts)} answers to {len(prompts)} prompts")
-            return [(str(t).strip(), None) for t in texts]
-        except Exception as e:  # reported per prompt
-            if len(prompts) == 1:
-                return [(None, f"{type(e).__name__}: {e}")]
-            return [x for p in prompts for x in ask([p])]
-
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), call_rows):
                 part = pdf.iloc[lo:lo + call_rows]
-                got = ask(part["prompt"].tolist())
+                got = ask_prompts(complete, part["prompt"].tolist(), max_tokens)
                 yield part.drop(columns="prompt").astype(object).assign(answer=[x[0] for x in got], error=[x[1] for x in got])
 
     return rows.repartition(tasks).mapInPandas(run, schema)
 
 
 def describe_with(pending: DataFrame, complete: Callable[[list[str], int], list[str]],
-                  concurrency: int = DEFAULT_CONCURRENCY, items: int | None = None) -> DataFrame:
+                  concurrency: int = DEFAULT_CONCURRENCY, items: int | None = None, ask: Callable = call_model) -> DataFrame:
     """(project, path, sha256, description, error) for the pending work, one
     row per file. With ``items``, their number, the work is cut into tasks of
-    about ITEMS_PER_TASK files, ``concurrency`` tasks at least."""
+    about ITEMS_PER_TASK files, ``concurrency`` tasks at least. ``ask`` is the
+    way to the model: ``call_model``, or an answer store's ``ask``."""
     tasks = max(concurrency, -(-(items or 0) // ITEMS_PER_TASK))
-    asked = call_model(pending.where("fresh").select("project", "path", "sha256", "prompt"), complete, DESCRIBE_MAX_TOKENS, tasks)
+    asked = ask(pending.where("fresh").select("project", "path", "sha256", "prompt"), complete, DESCRIBE_MAX_TOKENS, tasks)
     skipped = pending.where("not fresh").select("project", "path", "sha256", F.lit(None).cast("string").alias("description"), stale().alias("error"))
     return asked.withColumnRenamed("answer", "description").unionByName(skipped)
 

@@ -76,17 +76,18 @@ def prompts(gate: DataFrame, tree_lines: DataFrame, descriptions: DataFrame, ins
 
 
 def synthesize_with(prompt_rows: DataFrame, complete: Callable[[list[str], int], list[str]], tasks: int = 10,
-                    merge_parts: int = MERGE_PARTS) -> DataFrame:
+                    merge_parts: int = MERGE_PARTS, ask: Callable = call_model) -> DataFrame:
     """(project, use_cases, conventions_ai, error): the model answers every
     part, then combines the answers. A project of which a call failed has an
-    error and no texts, so its stored synthesis stays."""
+    error and no texts, so its stored synthesis stays. ``ask`` is the way to
+    the model, as for ``describe_with``."""
     asks = F.array(F.struct(F.lit("use_cases").alias("what"), F.col("use_cases_prompt").alias("prompt")),
                    F.struct(F.lit("conventions_ai").alias("what"), F.col("conventions_prompt").alias("prompt")))
     calls = prompt_rows.select("project", "part", F.explode(asks).alias("a")).select("project", "part", "a.what", "a.prompt")
-    done = materialize(call_model(calls, complete, SYNTH_MAX_TOKENS, tasks), "part-answers")
+    done = materialize(ask(calls, complete, SYNTH_MAX_TOKENS, tasks), "part-answers")
     while not done.where("part > 1").isEmpty():
         wording = {"use_cases": USE_CASES_ASK, "conventions_ai": CONVENTIONS_ASK}
-        ask = F.create_map(*[F.lit(x) for kv in wording.items() for x in kv])[F.col("what")]
+        wanted = F.create_map(*[F.lit(x) for kv in wording.items() for x in kv])[F.col("what")]
         group = F.ceil(F.col("part") / merge_parts).cast("int").alias("part")
         g = done.groupBy("project", "what", group).agg(
             F.array_sort(F.collect_list(F.struct(F.col("part").alias("p"), "answer"))).alias("xs"), F.max("error").alias("error"))
@@ -94,8 +95,8 @@ def synthesize_with(prompt_rows: DataFrame, complete: Callable[[list[str], int],
         failed = g.where("error is not null").select("project", "part", "what", F.lit(None).cast("string").alias("answer"), "error")
         single = g.where("error is null and size(xs) = 1").select("project", "part", "what", text.alias("answer"), "error")
         several = g.where("error is null and size(xs) > 1").select(
-            "project", "part", "what", fill(MERGE, {"project": F.col("project"), "answers": text, "ask": ask}).alias("prompt"))
-        done = materialize(failed.unionByName(single).unionByName(call_model(several, complete, SYNTH_MAX_TOKENS, tasks)), "merged-answers")
+            "project", "part", "what", fill(MERGE, {"project": F.col("project"), "answers": text, "ask": wanted}).alias("prompt"))
+        done = materialize(failed.unionByName(single).unionByName(ask(several, complete, SYNTH_MAX_TOKENS, tasks)), "merged-answers")
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col("answer")))
     out = done.groupBy("project").agg(pick("use_cases").alias("u"), pick("conventions_ai").alias("c"), F.max("error").alias("error"))
     ok = F.col("error").isNull()

@@ -10,7 +10,8 @@ snapshot documents, plus the updated description cache and synthesis.
 
 Cuts are written to the shared checkpoint folder: the classified work table
 (hashing and the cache join run once), the answers of the models (kept before
-anything reads them) and the described work table that the output branches
+anything reads them; with ``BuildSettings.answers``, as they come, for this run
+and later ones) and the described work table that the output branches
 read. A file whose description fails gets an error row and stays a miss, so
 the next run asks for it alone.
 """
@@ -33,6 +34,7 @@ from treesnap.operators import registry as R
 from treesnap.operators import synthesis as SY
 from treesnap.operators import tree as TR
 from treesnap.session import materialize
+from treesnap.sources.answers import AnswerStore
 
 
 
@@ -52,6 +54,7 @@ class BuildSettings:
     # one model for descriptions and synthesis: complete(prompts, max_tokens) -> texts
     complete: Callable[[list[str], int], list[str]] | None = None
     concurrency: int = DS.DEFAULT_CONCURRENCY
+    answers: str | None = None               # folder in which the model's answers are kept as they come
     text_fields: str = "lines"               # 'string': tree and diagram as one string each
     prune_cache: bool = False                # drop cache entries of files no longer present
 
@@ -74,6 +77,7 @@ class BuildResult:
 def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: BuildSettings | None = None
           ) -> BuildResult:
     s = settings or BuildSettings()
+    ask = AnswerStore(files.sparkSession, s.answers).ask if s.answers else DS.call_model
     sel = files.filter(G.select_paths("path", s.include, s.exclude))
     work = C.classify(C.file_meta(sel), cache)
     if s.checkpoint:  # hash + cache join once; the pending count and all branches read it
@@ -82,7 +86,7 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
     if s.describe:
         generated = s.describe(pending)
     elif s.complete:
-        generated = DS.describe_with(pending, s.complete, s.concurrency, C.pending_keys(work).count())
+        generated = DS.describe_with(pending, s.complete, s.concurrency, C.pending_keys(work).count(), ask)
     else:
         generated = DS.stand_in_descriptions(pending)
     if "error" not in generated.columns:
@@ -106,7 +110,7 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
             tree_rows = materialize(tree_rows, "tree-lines")
         prompts = SY.prompts(gate, tree_rows, merged.select("project", "path", "description"),
                              s.instructions, s.user_conventions)
-        answered = SY.synthesize_with(prompts, s.complete, s.concurrency)
+        answered = SY.synthesize_with(prompts, s.complete, s.concurrency, ask=ask)
         if s.checkpoint:  # project texts are generated once
             answered = materialize(answered, "synthesis")
         errors = errors.unionByName(answered.where("error is not null").select("project", F.lit("").alias("path"), "error"))
