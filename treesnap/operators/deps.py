@@ -43,12 +43,14 @@ def _js_candidates(src_path, dep):
     tried only when the cleaned base has no suffix."""
     base = F.when(dep.startswith("/"), F.regexp_replace(dep, "^/+", "")) \
         .otherwise(P.join_path(P.parent(src_path), dep))
-    cleaned = P.clean(base)
-    no_suffix = P.suffix(cleaned) == ""
-    tried = [cleaned] + [F.concat(cleaned, F.lit(e)) for e in P.JS_EXTENSIONS] + \
-            [F.concat(cleaned, F.lit("/index" + e)) for e in P.INDEX_EXTENSIONS]
-    return F.when(no_suffix, F.array(*[P.normalise(c) for c in tried])) \
-        .otherwise(F.array(P.normalise(cleaned)))
+    # cleaned and normalised once; the bound names keep the optimiser from repeating them
+    return F.transform(F.array(P.clean(base)), lambda c: F.transform(F.array(P.normalise(c)), lambda n: _js_paths(c, n))[0])[0]
+
+
+def _js_paths(cleaned, normal):
+    tail = F.when(P.name(cleaned) == "..", P.join_path(P.normalise(P.parent(cleaned)), F.lit(".."))).otherwise(normal)
+    tried = [normal] + [F.concat(tail, F.lit(e)) for e in P.JS_EXTENSIONS] + [P.join_path(normal, F.lit("index" + e)) for e in P.INDEX_EXTENSIONS]
+    return F.when(P.suffix(cleaned) == "", F.array(*tried)).otherwise(F.array(normal))
 
 
 def _py_candidates(src_path, dep):
@@ -90,8 +92,12 @@ def dependency_edges(files: DataFrame, registry=None) -> DataFrame:
     keeping the first occurrence: (project, src_path, dst_path, src_id,
     dst_id, dep_ord)."""
     deps = raw_dependencies(files, registry)
-    r = resolve(deps, files.select("project", "path"))
-    r = r.filter(F.col("target") != F.col("path"))
+    return edges_of(resolve(deps, files.select("project", "path")))
+
+
+def edges_of(resolved: DataFrame) -> DataFrame:
+    """Resolved dependencies (project, path, dep_ord, dep, target) as edges."""
+    r = resolved.filter(F.col("target") != F.col("path"))
     g = r.groupBy("project", F.col("path").alias("src_path"), F.col("target").alias("dst_path")).agg(
         F.min("dep_ord").alias("dep_ord"))
     return g.select("project", "src_path", "dst_path", P.node_id("src_path").alias("src_id"),

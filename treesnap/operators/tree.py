@@ -42,13 +42,13 @@ def dir_nodes(paths: DataFrame) -> DataFrame:
                        P.name("dir_path").alias("name"), F.col("depth").cast("int").alias("depth"))
 
 
-def nodes(paths: DataFrame) -> DataFrame:
+def nodes(paths: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
     """Files and their ancestor directories: (project, node_path, parent,
-    name, depth, is_dir)."""
+    name, depth, is_dir). ``dirs`` are the ``dir_nodes`` if they are known."""
     files = paths.select("project", F.col("path").alias("node_path"), P.parent("path").alias("parent"),
                          P.name("path").alias("name"), P.depth("path").cast("int").alias("depth"),
                          F.lit(False).alias("is_dir"))
-    dirs = dir_nodes(paths).select("project", F.col("dir_path").alias("node_path"), "parent", "name",
+    dirs = (dir_nodes(paths) if dirs is None else dirs).select("project", F.col("dir_path").alias("node_path"), "parent", "name",
                                    "depth", F.lit(True).alias("is_dir"))
     return files.unionByName(dirs)
 
@@ -86,11 +86,11 @@ def sibling_flags(nd: DataFrame) -> DataFrame:
     return j.select(*nd.columns, F.coalesce("_last", F.lit(False)).alias("is_last"))
 
 
-def tree_lines(paths: DataFrame, root_name=None) -> DataFrame:
+def tree_lines(paths: DataFrame, root_name=None, dirs: DataFrame | None = None) -> DataFrame:
     """Rendered text tree, one row per line: (project, node_path, depth,
     line). The root line has node_path '' and depth 0 and reads
     '<root_name>/' (root_name defaults to the project name)."""
-    flagged = sibling_flags(nodes(paths))
+    flagged = sibling_flags(nodes(paths, dirs))
     anc = flagged.select("project", "node_path", "depth", F.explode(_levels(F.col("depth"))).alias("level"))
     anc = anc.select("project", "node_path", "level", P.ancestor("node_path", F.col("level")).alias("anc_path"))
     af = flagged.where("is_dir").select("project", F.col("node_path").alias("anc_path"), F.col("is_last").alias("anc_last"))
@@ -111,19 +111,20 @@ def tree_lines(paths: DataFrame, root_name=None) -> DataFrame:
     return roots.unionByName(lines)
 
 
-def diagram_tree_lines(paths: DataFrame) -> DataFrame:
+def diagram_tree_lines(paths: DataFrame, dirs: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Mermaid lines for the hierarchy: (project, section, sort_path, pos,
-    line). Header, directory nodes, file nodes, then tree edges."""
+    line). Header, directory nodes, file nodes, then tree edges. ``dirs`` and
+    ``edges`` are ``dir_nodes`` and ``tree_edges`` if they are known."""
     projects = paths.select("project").distinct()
     header = projects.select("project", F.lit(SEC_HEADER).alias("section"), F.lit("").alias("sort_path"),
                              F.lit(0).alias("pos"), F.lit("graph TD").alias("line"))
-    dn = dir_nodes(paths).select(
+    dn = (dir_nodes(paths) if dirs is None else dirs).select(
         "project", F.lit(SEC_DIRS).alias("section"), F.col("dir_path").alias("sort_path"), F.lit(0).alias("pos"),
         F.concat(F.lit("    "), P.node_id("dir_path"), F.lit('("'), F.col("name"), F.lit('/")')).alias("line"))
     fn = paths.select(
         "project", F.lit(SEC_FILES).alias("section"), F.col("path").alias("sort_path"), F.lit(0).alias("pos"),
         F.concat(F.lit("    "), P.node_id("path"), F.lit("["), P.name("path"), F.lit("]")).alias("line"))
-    ed = tree_edges(paths).select(
+    ed = (tree_edges(paths) if edges is None else edges).select(
         "project", F.lit(SEC_TREE_EDGES).alias("section"), F.col("first_file").alias("sort_path"),
         F.col("first_pos").alias("pos"),
         F.concat(F.lit("    "), F.col("parent_id"), F.lit(" --> "), F.col("child_id")).alias("line"))

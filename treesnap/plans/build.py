@@ -18,6 +18,7 @@ the next run asks for it alone.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,6 +31,7 @@ from treesnap.operators import assemble as A
 from treesnap.operators import changes as C
 from treesnap.operators import deps as D
 from treesnap.operators import describe as DS
+from treesnap.operators import incremental as INC
 from treesnap.operators import registry as R
 from treesnap.operators import synthesis as SY
 from treesnap.operators import tree as TR
@@ -57,6 +59,7 @@ class BuildSettings:
     answers: str | None = None               # folder in which the model's answers are kept as they come
     text_fields: str = "lines"               # 'string': tree and diagram as one string each
     prune_cache: bool = False                # drop cache entries of files no longer present
+    derived: INC.Derived | None = None       # the derived tables of the run before (``Derived.empty`` at first): updated, not rebuilt
 
 
 @dataclass
@@ -72,6 +75,7 @@ class BuildResult:
     errors: DataFrame          # project, path ('' for the project's texts), error
     changed_cache: DataFrame   # the whole cache of the projects whose cache changed
     changed_synthesis: DataFrame
+    derived: INC.Derived | None = None   # with ``BuildSettings.derived``
 
 
 def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: BuildSettings | None = None
@@ -101,7 +105,10 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
 
     gate = C.change_gate(C.miss_counts(merged), synthesis, s.threshold, s.force)
     paths = merged.select("project", "path")
-    tree = TR.tree_lines(paths)
+    parsers = build_registry(s.parsers) if s.parsers else None
+    derived = INC.update(s.derived, merged, INC.content_from(sel), parsers) if s.derived else None
+    dirs = derived.dir_nodes() if derived else None
+    tree = TR.tree_lines(paths, dirs=dirs)
     tree_rows = tree.select("project", "node_path", "line")
     if s.synthesize:
         regenerated = s.synthesize(gate, merged)
@@ -131,8 +138,8 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
         dirty = dirty.unionByName(gone).distinct()
     changed_cache = new_cache.join(dirty, "project", "left_semi")
 
-    edges = D.dependency_edges(sel, build_registry(s.parsers) if s.parsers else None)
-    diagram = TR.diagram_tree_lines(paths).unionByName(D.diagram_dep_lines(edges))
+    edges = derived.edges() if derived else D.dependency_edges(sel, parsers)
+    diagram = TR.diagram_tree_lines(paths, dirs, derived.tree if derived else None).unionByName(D.diagram_dep_lines(edges))
 
     gen = F.lit(s.generated_at) if s.generated_at else R.iso(F.current_timestamp())
     counts = merged.groupBy("project").agg(F.count(F.lit(1)).cast("int").alias("file_count"))
@@ -141,13 +148,18 @@ def build(files: DataFrame, cache: DataFrame, synthesis: DataFrame, settings: Bu
         "use_cases", F.lit(s.user_conventions).alias("conventions_user"), "conventions_ai")
     doc = A.document_lines(meta, tree_rows, diagram,
                            merged.select("project", "path", "description"), text_fields=s.text_fields)
-    return BuildResult(merged, gate, new_synthesis, new_cache, tree, edges, diagram, doc, errors, changed_cache, regenerated)
+    return BuildResult(merged, gate, new_synthesis, new_cache, tree, edges, diagram, doc, errors, changed_cache, regenerated, derived)
 
 
 def write_build(result: BuildResult, out: str) -> None:
     """Persist a build: documents, then the cache and synthesis of the
     projects that changed (dynamic partition overwrite by project). A run
-    without misses writes neither."""
+    without misses writes neither. Derived tables go to a folder of their own
+    per run, named by its time, with a marker written last."""
+    if result.derived:
+        folder = f"{out}/derived/{time.time_ns():020d}"
+        result.derived.write(folder)
+        result.work.sparkSession.range(1).write.parquet(f"{folder}/done")
     A.write_documents(result.document_lines, f"{out}/documents")
     for name, df, order in (("cache", result.changed_cache, ["project", "path"]), ("synthesis", result.changed_synthesis, ["project"])):
         rows = materialize(df, name)  # its plan may read the partitions it replaces
@@ -156,6 +168,18 @@ def write_build(result: BuildResult, out: str) -> None:
              .partitionBy("project").parquet(f"{out}/{name}"))
 
 
+def read_derived(spark, out: str) -> INC.Derived:
+    """The derived tables of the last run under ``out`` that was written
+    whole; empty ones if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/derived")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in fs.listStatus(path)), reverse=True) if fs.exists(path) else []
+    for name in names:
+        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/derived/{name}/done/_SUCCESS")):
+            return INC.Derived.read(spark, f"{out}/derived/{name}")
+    return INC.Derived.empty(spark)
+
+
 CACHE_SCHEMA = "path string, sha256 string, description string, project string"
 SYNTHESIS_SCHEMA = "use_cases string, conventions_ai string, project string"
 

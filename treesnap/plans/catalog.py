@@ -332,6 +332,33 @@ def q_dep_edges(spark, sf_dir):
     return D.dependency_edges(files)
 
 
+def _updated_tables(spark, sf_dir):
+    """The derived tables of an earlier state of the dependency files (some
+    not there yet, some with other content, some that are gone now), updated to
+    the present one."""
+    from treesnap.operators import incremental as INC
+    from treesnap.session import materialize
+    files = materialize(TB.dependency_files(_documents(spark, sf_dir)), "dependency-files")
+    number = F.regexp_extract("path", r"doc_(\d+)\.ts$", 1).cast("bigint")
+    earlier = files.where(number % 5 != 0).withColumn("path", F.when(number % 11 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path")))
+    earlier = earlier.withColumn("content", F.when(number % 7 == 0, F.lit("import a from './doc_1'").cast("binary")).otherwise(F.col("content")))
+    first = INC.update(INC.Derived.empty(spark), changes.file_meta(earlier), INC.content_from(earlier))
+    return INC.update(first, changes.file_meta(files), INC.content_from(files))
+
+
+@register("incremental_edges", SQL_DEP_EDGES)
+def q_incremental_edges(spark, sf_dir):
+    """Dependency edges kept up to date: the oracle rebuilds them."""
+    return _updated_tables(spark, sf_dir).edges()
+
+
+@register("incremental_dirs", f"""
+  SELECT project, string_split(path, '/')[1] AS dir_path, CAST(count(*) AS BIGINT) AS n_files FROM ({SQL_DEP_FILES}) GROUP BY 1, 2""")
+def q_incremental_dirs(spark, sf_dir):
+    """Directories with the number of files below them, kept up to date."""
+    return _updated_tables(spark, sf_dir).dirs
+
+
 @register("link_extract", f"""
   SELECT page_id, CAST(link_ord AS INTEGER) AS link_ord, link FROM (
     SELECT page_id, unnest(l) AS link, unnest(generate_series(0, len(l) - 1)) AS link_ord
