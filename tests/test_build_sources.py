@@ -150,3 +150,43 @@ def test_built_rows_equal_whole_documents(spark, tmp_path):
         state = IG.load_state(spark, root)
         assert same(R.overview_lookup(req, state.overviews, texts=state.texts)) == same(R.overview_lookup(req, whole.state.overviews))
         assert "collect_list" not in rowed.changed.chunks._jdf.queryExecution().toString()
+
+
+def test_filters_reach_the_tree_source(spark, tmp_path):
+    """Filtered scans walk and open matching files only: the others cannot be read."""
+    import os
+    from treesnap.operators import changes as C
+    from treesnap.sources import files as SF
+    for project in ("a", "b", "c"):
+        for path in ("src/x.py", "src/deep/y.py", "doc/z.md", "top.txt", ".hid/_h"):
+            full = tmp_path / project / path
+            full.parent.mkdir(parents=True, exist_ok=True)
+            full.write_bytes(f"{project} {path}\n".encode() * 3)
+    read = lambda: SF.read_tree(spark, str(tmp_path), multi=True)
+    keys = lambda df: sorted((r["project"], r["path"]) for r in df.collect())
+    every = keys(read())
+    assert len(every) == 15
+    meta = SF.tree_meta(spark, str(tmp_path), multi=True)
+    assert sorted(map(str, meta.collect())) == sorted(map(str, C.file_meta(read()).collect()))
+    for name in os.listdir(tmp_path / "c" / "src"):
+        if name != "deep":
+            os.remove(tmp_path / "c/src" / name)
+    os.symlink("/nothing", tmp_path / "c/src/x.py")
+    os.remove(tmp_path / "b/src/x.py")
+    os.mkfifo(tmp_path / "b/src/x.fifo")
+    opened = []
+    reader = SF.TreeDataSource({"root": str(tmp_path), "layout": "projects"}).reader(SF.SCHEMA)
+    from pyspark.sql.datasource import EqualTo, In, StringContains, StringStartsWith
+    left = list(reader.pushFilters([EqualTo(("project",), "a"), StringStartsWith(("path",), "src/"), In(("path",), ("src/x.py", "doc/z.md")), StringContains(("path",), "x")]))
+    assert [type(f).__name__ for f in left] == ["StringContains"]
+    assert [(p.project, p.entry) for p in reader.partitions()] == [("a", ""), ("a", "src")]
+    for p in reader.partitions():
+        opened += [r[:2] for r in reader.read(p)]
+    assert opened == [("a", "src/x.py")]
+    for where in ("project = 'a'", "project in ('a', 'zz') and path like 'src/%'", "path = 'top.txt'", "path like 'doc/%' and project <> 'b'", "path in ('src/deep/y.py', 'none')", "project = 'none'"):
+        want = keys(spark.createDataFrame(every, "project string, path string").where(where))
+        assert keys(read().where(where)) == want, where
+    plan = read().where("project = 'a' and path like 'src/%' and length(path) > 3").select("path")._jdf.queryExecution().executedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x and "length" in x]
+    assert "BatchScan" in plan and not any("StartsWith" in x for x in filters)
+    assert keys(SF.fetch_files(spark.createDataFrame([("a", "src/x.py")], "project string, path string"), str(tmp_path), multi=True)) == [("a", "src/x.py")]
