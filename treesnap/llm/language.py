@@ -136,18 +136,21 @@ def has_letter(text):
 def learning_sample(docs: DataFrame, text: str, key: str, lang: str, rows: int = SAMPLE,
                     rows_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     """At most ``rows`` rows over all languages and ``rows_per_lang`` in one:
-    the first by a hash of key and text. Of more languages than half the
-    rows, the most frequent are learned. Rates from the languages' counts
-    thin the rows where they are read, so that only a few times the sample is
-    ranked."""
-    usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where(
+    the first by a hash of key and text. Copies under one key count once, so
+    that a language with many of them keeps its other rows, and one that has
+    nothing else is learned from one. Of more languages than half the rows, the
+    most frequent are learned. Rates from the languages' counts of different
+    rows, estimated, thin the rows where they are read, so that only a few times
+    the sample is ranked."""
+    drawn = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), drawn.alias("drawn")).where(
         F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows // 2).collect()
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("drawn").alias("count")).orderBy(F.desc("count"), "lang").limit(rows // 2).collect()
     each = max(2, min(rows_per_lang, rows // max(1, len(counts))))
     known = docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in counts], "lang string, count long")
-    drawn = F.xxhash64(F.col("key").cast("string"), F.col("text"))
-    thin = (usable.withColumn("drawn", drawn).join(F.broadcast(known), "lang")  # rows // 2 rows at most
-            .where(F.pmod("drawn", F.lit(1 << 20)) * F.col("count") < F.lit(8 * each << 20)))
+    thin = (usable.join(F.broadcast(known), "lang")  # rows // 2 rows at most
+            .where(F.pmod("drawn", F.lit(1 << 20)) * F.col("count") < F.lit(8 * each << 20))
+            .groupBy("lang", "drawn").agg(F.min("text").alias("text")))   # copies meet before they are shuffled
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))
     return thin.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "lang")
 
@@ -170,7 +173,10 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
 def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred and score, one row per input row. Null
     text and text without a letter are ``und`` at score 0, as is everything
-    when no language was learned. Other columns are ignored."""
+    when no language was learned. Texts count whole, whatever their length;
+    equal texts, repeated rows included, get equal results; ties go to the
+    language that sorts first. An empty table gives an empty one. Columns that are
+    not kept are ignored, whatever their names."""
     bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
