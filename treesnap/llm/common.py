@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+
+
 def split_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of ``text``; empty array for null or blank."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
