@@ -9,6 +9,8 @@ compared, word by word, with the benchmark's windows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,38 @@ def item_windows(benchmark: DataFrame, span: int = SPAN, text: str = "text", ite
         lambda i: F.array_join(F.slice(F.col("w"), i + F.lit(1), F.col("span")), " "))).alias("window")).distinct()
 
 
+def _hits(docs: DataFrame, key: Column, text: str, base: DataFrame, windows: DataFrame, spans: list[int]) -> DataFrame:
+    """(__key, span, start, item) of every window found. The texts of documents
+    that share a fingerprint of any length are fetched once; places of shared
+    fingerprints in them come from a join."""
+    def prints_of(s: int) -> DataFrame:
+        k, w = thinning(s)
+        grams = windows.where(F.col("span") == s).select(F.split("window", " ").alias("w")).withColumn("g", gram_hashes(F.col("w"), F.size("w"), k))
+        return grams.select(F.lit(s).alias("span"), F.explode(fingerprints(F.col("g"), w)).alias("print")).distinct()
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    prints = materialize(union([prints_of(s) for s in spans]), "item-prints")
+    own = union([base.select("__key", F.lit(s).alias("span"), F.explode(f"__f{s}").alias("print")) for s in spans])
+    met = own.join(prints, ["span", "print"], "left_semi").select("__key").distinct()
+    near = materialize(docs.select(key.alias("__key"), F.col(text).alias("__text")).join(met, "__key")
+                       .groupBy("__key").agg(F.first("__text").alias("__text"))   # repeated rows
+                       .select("__key", benchmark_words(F.col("__text")).alias("w")), "met-documents")
+    sized = near.withColumn("n", F.size("w"))
+    grams = union([sized.select("__key", F.lit(s).alias("span"), F.posexplode(gram_hashes(F.col("w"), F.col("n"), thinning(s)[0])).alias("at", "print")) for s in spans])
+    places = grams.join(prints, ["span", "print"], "left_semi").groupBy("__key", "span").agg(F.collect_set("at").alias("places"))
+    k = F.when(F.lit(False), 0)
+    for s in spans:
+        k = k.when(F.col("span") == s, thinning(s)[0])
+    starts = places.withColumn("k", k).join(near, "__key").select("__key", "span", "w", F.array_distinct(F.flatten(F.transform(
+        "places", lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("span") - F.col("k"))), F.least(p, F.size("w") - F.col("span")))))).alias("starts"))
+    return (starts.select("__key", "span", F.explode(F.transform("starts", lambda i: F.struct(
+                i.alias("start"), F.array_join(F.slice("w", i + F.lit(1), F.col("span")), " ").alias("window")))).alias("at"))
+            .select("__key", "span", "at.start", "at.window").join(windows, ["span", "window"])
+            .select("__key", "span", "start", "item"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text: str = "text",
                   item: str = "item_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_words, n_hit, n_items, items_sha256 (null when no
@@ -68,7 +102,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text:
 
     Null and empty texts have no words and no hits. Null item ids count as
     the item named ''. Repeated rows get equal results, since results depend
-    on the text alone. An empty benchmark leaves every document clean. The
+    on the text alone. An empty benchmark leaves every document clean, and an
+    empty table gives an empty one. Texts count whole whatever their length;
+    columns that are not kept are ignored, whatever their names. The
     first of ``keep`` spreads rows with equal text over the tasks."""
     windows = materialize(item_windows(benchmark, span, text, item).withColumn("item", F.coalesce("item", F.lit(""))), "item-windows")
     spans = sorted(r["span"] for r in windows.select("span").distinct().collect())  # at most `span` values
@@ -80,26 +116,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text:
     thinned = words.select(*keep, "__key", F.size("__w").cast("long").alias("n_words"),
                            *[fingerprints(F.col(f"__g{s}"), thinning(s)[1]).alias(f"__f{s}") for s in spans])
     base = materialize(thinned, "doc-fingerprints")
-    found = None
-    for s in spans:
-        k, w = thinning(s)
-        item_grams = (windows.where(F.col("span") == s).select(F.split("window", " ").alias("w"))
-                      .withColumn("g", gram_hashes(F.col("w"), F.size("w"), k)))
-        prints = materialize(item_grams.select(F.explode(fingerprints(F.col("g"), w)).alias("print")).distinct(), "item-prints")
-        met = (base.select("__key", F.explode(f"__f{s}").alias("print")).join(prints, "print")
-               .groupBy("__key").agg(F.collect_set("print").alias("prints")))
-        near = (docs.select(key.alias("__key"), F.col(text).alias("__text")).join(met, "__key")
-                .select("__key", "prints", benchmark_words(F.col("__text")).alias("w"))
-                .withColumn("g", gram_hashes(F.col("w"), F.size("w"), k)))
-        starts = near.select("__key", "w", F.array_distinct(F.flatten(F.transform(
-            F.filter(F.sequence(F.lit(0), F.size("g") - F.lit(1)), lambda i: F.array_contains("prints", F.get("g", i))),
-            lambda p: F.sequence(F.greatest(F.lit(0), p - F.lit(s - k)), F.least(p, F.size("w") - F.lit(s)))))).alias("starts"))
-        hits = (starts.select("__key", F.explode(F.transform("starts", lambda i: F.struct(
-                    i.alias("start"), F.array_join(F.slice("w", i + F.lit(1), s), " ").alias("window")))).alias("at"))
-                .select("__key", "at.start", "at.window")
-                .join(windows.where(F.col("span") == s).select("window", "item"), "window")
-                .select("__key", F.lit(s).alias("span"), "start", "item"))
-        found = hits if found is None else found.unionByName(hits)
+    found = _hits(docs, key, text, base, windows, spans) if spans else None
     if found is None:
         return base.select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
                            F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"),
