@@ -79,5 +79,20 @@ def pack(docs: DataFrame, length: Column, key: str = "doc_id", max_len: int = MA
             .select(key, "piece", "start", "length", "bucket", "padded", "batch", "place"))
 
 
+def batches_of_ids(pieces: DataFrame, ids: DataFrame, key: str = "doc_id", pad_id: int = 0) -> DataFrame:
+    """The token ids of packed pieces: bucket, batch, place, key, piece, ids and
+    the length that counts; ``ids`` is padded to the bucket's length by ``pad_id``.
+
+    ``pieces`` comes from ``pack`` over the lengths in ``ids`` (key, ids), such as
+    ``token_files.read`` gives; keys are unique there. A piece without tokens
+    is all padding. A batch is not put into one row: its rows share bucket and
+    batch and are in the order of ``place``."""
+    own = ids.select(F.col(key).alias("__id"), F.col("ids").alias("__ids"))
+    met = pieces.join(own, F.col(key).eqNullSafe(F.col("__id")))
+    part = F.slice("__ids", F.col("start").cast("int") + 1, F.col("length").cast("int"))
+    padding = F.array_repeat(F.lit(pad_id).cast("bigint"), (F.col("padded") - F.col("length")).cast("int"))
+    return met.select("bucket", "batch", "place", key, "piece", "length", F.concat(part, padding).alias("ids"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), F.size(split_words(F.col("text"))))
