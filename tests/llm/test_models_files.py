@@ -3,6 +3,7 @@ surrogates and the pipeline."""
 
 import heapq
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -249,7 +250,7 @@ def test_chunk_boundaries_follow_content():
     lines = [" ".join(f"q{rng.randrange(10 ** 9)}" for _ in range(6)) for _ in range(200)]
     def pieces(ls):
         buf = np.frombuffer("\n".join(ls).encode(), np.uint8)
-        _, s, e, w, n = line_dedup.chunks(buf)
+        _, s, e, w, n = line_dedup.units_of(buf)
         assert s[0] == 0 and e[-1] == len(buf) and (s[1:] == e[:-1]).all() and w.sum() == 6 * len(ls) and n.sum() == len(ls)
         return {buf[i:j].tobytes().strip() for i, j in zip(s, e, strict=True)}
     assert len(pieces(lines) - pieces(["an extra first line here now", *lines])) <= 2
@@ -308,5 +309,91 @@ def test_pipeline_stages_on_messy_rows(spark, messy, nothing):
             got = Counter(map(str, out.select("doc_id", "lang").collect()))
             assert not got - Counter(map(str, given.select("doc_id", "lang").collect())), name
     kept = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
-    assert Counter(r.doc_id for r in kept)[13] == 1 and Counter(r.doc_id for r in kept)[None] == 2
+    assert Counter(r.doc_id for r in kept)[13] == 2 and Counter(r.doc_id for r in kept)[None] == 1   # the other one is a copy of 1
     assert {1, 2, 3} & {r.doc_id for r in kept} == {1, 3} and Counter(r.doc_id for r in kept)[4] == 1
+
+
+def test_copies_do_not_hide_a_language(spark):
+    """Many copies of one row, against many different rows of another language."""
+    rows = [(i, f"an ordinary English sentence with number words {i} in it", "en") for i in range(6000)] + [(7, "une seule phrase en français, copiée souvent", "fr")] * 6000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.learning_sample(docs, "text", "doc_id", "lang").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got}["fr"] == 1 and {r["lang"]: r["count"] for r in got}["en"] > 300
+
+
+def test_votes_against_all_pairs():
+    """The quality vote by one plain loop over every pair."""
+    rng = np.random.default_rng(2)
+    x = rng.random((60, 40)).astype(np.float32)
+    labels = rng.integers(0, 2, 60).astype(float)
+    model = quality_knn.fit(np.pad(x, ((0, 0), (0, quality_knn.TERMS - 40))), labels, rank=12)
+    rows = np.pad(rng.random((30, 40)).astype(np.float32), ((0, 0), (0, quality_knn.TERMS - 40)))
+    got = quality_knn.vote(model, rows, neighbours=5, block=7)
+    for row, p in zip(rows, got, strict=True):
+        v = row @ model["project"]
+        cosine = [float(v @ u / np.linalg.norm(v)) for u in model["vectors"]]
+        near = sorted(range(60), key=lambda i: -cosine[i])[:5]
+        weight = [max(cosine[i], 0) ** quality_knn.SHARPNESS for i in near]
+        assert abs(p - sum(w * labels[i] for w, i in zip(weight, near)) / sum(weight)) < 1e-4
+
+
+def test_batches_of_ids(spark):
+    rows = [(i, list(range(i * 100, i * 100 + n))) for i, n in enumerate([0, 3, 9, 25, 4, 7, 1])]
+    ids = spark.createDataFrame(rows, "doc_id long, ids array<long>")
+    pieces = packing.pack(ids, packing.F.size("ids"), max_len=10, budget=30, buckets=3)
+    got = packing.batches_of_ids(pieces, ids, pad_id=-1).collect()
+    back = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        assert r.ids[r.length:] == [-1] * (len(r.ids) - r.length)
+        back.setdefault(r.doc_id, []).extend(r.ids[:r.length])
+    assert back == dict(rows)
+    width = {(r.bucket, len(r.ids)) for r in got}
+    assert len(width) == len({b for b, _ in width})   # one length per bucket
+
+
+def shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)] if w else [])
+
+
+def test_pipeline_stages_against_brute_force(spark, messy):
+    """Rows that the near-duplicate and decontamination stages keep: one id
+    under unrelated texts, rows without an id, columns named like internals."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choices(words, k=60)) for _ in range(8)]
+    rows = [(r.doc_id, r.text) for r in messy.collect()] + [(None, base[0]), (None, base[0]), (50, base[1]), (50, base[2]), (51, base[1] + " tail"), (None, base[3]), (52, base[3] + " x y")]
+    rows += [(60 + i, " ".join(w if rng.random() > 0.01 else "zz" for w in base[i % 8].split())) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("__node", "__row", "__rows", "__hash", "__own", "__key", "__id", "removed_0"):
+        docs = docs.withColumn(c, packing.F.lit("clash"))
+    docs = docs.withColumn("n_chars", packing.F.length("text").cast("long"))
+    distinct = list(dict.fromkeys(rows))
+    sets = [shingles(t) for _, t in distinct]
+    group = list(range(len(distinct)))
+    for i in range(len(distinct)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both and 100 * both >= 80 * either:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    assert Counter(group[distinct.index((r.doc_id, r.text))] for r in kept) == Counter(set(group))
+    for r in kept:   # the smallest id of its group
+        own = [d for d, g in zip(distinct, group) if g == group[distinct.index((r.doc_id, r.text))]]
+        assert (r.doc_id is None, r.doc_id or 0) == min((d is None, d or 0) for d, _ in own)
+    assert kept[0].asDict().keys() == docs.first().asDict().keys() and all(r["__node"] == "clash" for r in kept)
+    bench = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    more = docs.unionByName(docs.limit(3).withColumn("text", packing.F.lit("before " + bench[0] + " after")).withColumn("doc_id", packing.F.lit(900).cast("long")))
+    left = corpus_pipeline.drop_contaminated(spark, more, "/root/testdata/sf0.001").collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter((r.doc_id, r.text) for r in docs.collect())
+    cut = corpus_pipeline.cut_repeated_lines(spark, docs, "")
+    assert cut.columns == docs.columns and all(r["removed_0"] == "clash" for r in cut.collect())
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    sizes = Counter()
+    for r in packed:
+        sizes[r.doc_id] += r.length
+    want = Counter()
+    for d, t in rows:
+        want[d] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert +sizes == +want

@@ -110,8 +110,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     without words have empty sets and are linked with nothing. Rows with
     equal keys are one document: each of their texts is compared, and all
     share a component. A null key is linked with nothing: its component is
-    null and it is kept. Other columns are ignored. Shingles are told apart
-    by 64-bit hashes, sets by 128-bit ones."""
+    null and it is kept. Of documents that are equally good the smallest key
+    is kept. Texts count whole whatever their length; an empty table gives an
+    empty one. Other columns are ignored, whatever their names. Shingles are told
+    apart by 64-bit hashes, sets by 128-bit ones."""
     bound_arrow_batches(docs.sparkSession)
     bands, rows = banding(percent / 100)
     doc = F.col("__d")

@@ -156,7 +156,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
           keep_at: float = KEEP_AT) -> DataFrame:
     """The kept columns, score (probability of label 1) and predicted, one row
     per input row. Null and empty texts are scored with the sample's share
-    of label 1. Other columns are ignored; an empty table gives no rows."""
+    of label 1. Texts count whole whatever their length; equal texts, repeated
+    rows included, get equal scores, and of neighbours at the same cosine some
+    fixed ones vote. Columns that are not kept are ignored, whatever their names;
+    an empty table gives no rows."""
     bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
