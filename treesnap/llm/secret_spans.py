@@ -25,6 +25,7 @@ KINDS = ("assign", "access", "hex", "crf")   # order of spans that start togethe
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 SAMPLE = 1200      # texts learned from, at most: half of them with a pattern's match
 THINNED = 40_000   # rows looked at for them, about
+LEARNED = 200_000  # characters of each that are learned from, at most
 _MARGIN = 90       # characters kept on both sides of what is learned
 _BATCH = 1 << 20   # bytes decoded at once, or one text more
 
@@ -143,17 +144,19 @@ def lessons(texts: list[str], seed: int = 5) -> list[tuple[bytes, list[tuple[int
     return out
 
 
-def learning_sample(docs: DataFrame, text: str, rows: int = SAMPLE, thinned: int = THINNED) -> list[str]:
+def learning_sample(docs: DataFrame, text: str, rows: int = SAMPLE, thinned: int = THINNED, chars: int = LEARNED) -> list[str]:
     """Up to ``rows`` texts, half of them with a hint of a secret, the first by a
     hash of the text, each once; looked for in about ``thinned`` rows that a
-    hash draws from all."""
+    hash draws from all. Of a longer text the first ``chars`` characters are
+    learned from, so that the driver holds rows * chars at most; spans are
+    looked for in whole texts."""
     total = docs.where(F.col(text).isNotNull()).count()
     rank = F.xxhash64(F.col(text))
     drawn = (docs.select(F.col(text).alias("text"), rank.alias("rank")).where(F.pmod(rank, F.lit(1 << 30)) < F.lit((thinned << 30) / max(1, total)))
              .where(F.length(F.trim("text")) > 0))
     parts = [drawn.where(hint).distinct().orderBy("rank", "text").limit(rows // 2)
              for hint in (F.col("text").rlike(_HINT), ~F.col("text").rlike(_HINT))]
-    return [r["text"] for p in parts for r in p.select(F.substring("text", 1, 200_000).alias("text")).collect()]
+    return [r["text"] for p in parts for r in p.select(F.substring("text", 1, chars).alias("text")).collect()]
 
 
 def train(docs: DataFrame, text: str = "text", rows: int = SAMPLE) -> dict:
