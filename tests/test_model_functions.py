@@ -1,3 +1,8 @@
+import hashlib
+import math
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from treesnap.operators import changes as C
@@ -41,6 +46,20 @@ def test_hashed_embedding_is_unit_norm(spark):
     assert sum(rows[1]["embedding"]) == 0
 
 
+def test_hashed_embedding_counts_words_in_one_pass(spark):
+    texts = ["Hello hello, world", "", None, " .!? ", "Ünï-漢字 x9 x9 " * 300, *[f"word{i} w" for i in range(600)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    embedded = DS.with_hashed_embedding(df)
+    for r in embedded.collect():
+        counts = [0] * DS.EMBED_DIM
+        for w in re.findall(r"[^\W_]+", (r["text"] or "").lower()):
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DS.EMBED_DIM] += 1
+        size = math.sqrt(sum(c * c for c in counts))
+        assert r["embedding"] == [float(np.float32(c / size)) if size else 0.0 for c in counts]
+    plan = embedded._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan   # no pass over a text's words for each dimension
+
+
 def test_build_with_user_synthesis_and_force(spark, project_files):
     empty_cache = spark.createDataFrame([], "project string, path string, sha256 string, description string")
     syn = spark.createDataFrame([("proj", "old UC", "old C")], "project string, use_cases string, "

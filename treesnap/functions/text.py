@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # LINE SEPARATOR, PARAGRAPH SEPARATOR, NNBSP, MMSP, IDEOGRAPHIC SPACE.
 PY_WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+PY_WS_CHARS = "".join(map(chr, [*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                                0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
 
 # Sentence count per file size, by line count.
 # fewer than 30 lines -> 2 sentences, fewer than 150 -> 4, otherwise 6.
@@ -24,10 +26,7 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """Python ``str.strip()``: drop leading and trailing Unicode whitespace."""
-    c = _c(col)
-    # possessive run before the end anchor: no backtracking inside long runs
-    return F.regexp_replace(F.regexp_replace(c, f"^{PY_WS_CLASS}++", ""),
-                            f"{PY_WS_CLASS}++\\z", "")
+    return F.btrim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def blank_to_null(col) -> Column:
@@ -63,22 +62,37 @@ def sentence_count(n_lines) -> Column:
 SENTENCE_PATTERN = r"[^.!?\t\n\x0b\f\r ][^.!?]*(?:[.!?]+|\z)"
 
 
-def _longest(found: Column, n) -> Column:
-    """The ``n`` longest strings (bytes; ties to the earlier one), in order."""
-    ranked = F.array_sort(F.transform(found, lambda s, i: F.struct((-F.octet_length(s)).alias("size"), i.alias("i"), s.alias("s"))))
-    kept = F.array_sort(F.transform(F.slice(ranked, F.lit(1), n), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    return F.transform(kept, lambda x: x["s"])
+def sentences(text) -> Column:
+    """The sentences of the whole text, in order."""
+    return F.regexp_extract_all(_c(text), F.lit(SENTENCE_PATTERN), 0)
+
+
+def longest(found: Column, n) -> Column:
+    """The ``n`` longest strings (bytes; ties to the earlier one), in order.
+    Sorted are numbers, place - 2^32 * size, by the natural order."""
+    n = _c(n)
+
+    def pick(xs: Column) -> Column:
+        ranked = F.sort_array(F.transform(xs, lambda s, i: i.cast("long") - F.shiftleft(F.octet_length(s).cast("long"), 32)))
+        places = F.sort_array(F.transform(F.slice(ranked, F.lit(1), n), lambda k: k.bitwiseAND(F.lit(2**32 - 1)).cast("int")))
+        return F.transform(places, lambda i: F.get(xs, i))
+    # bound to a variable, so that it is evaluated once
+    return F.get(F.transform(F.array(found), pick), F.lit(0))
+
+
+def joined(found: Column) -> Column:
+    return F.array_join(found, " ")
 
 
 def salient_sentences(text, n) -> Column:
     """Deterministic stand-in description: the ``n`` longest sentences of the
     whole text, in text order, joined by single spaces ('' without any)."""
-    return F.array_join(_longest(F.regexp_extract_all(_c(text), F.lit(SENTENCE_PATTERN), 0), _c(n)), " ")
+    return joined(longest(sentences(text), n))
 
 
 def longest_line(text) -> Column:
     """The longest line of the whole text, the first among equals."""
-    return F.element_at(_longest(F.split(_c(text), "\n"), F.lit(1)), 1)
+    return F.element_at(longest(F.split(_c(text), "\n"), F.lit(1)), 1)
 
 
 def sha256_hex(content) -> Column:

@@ -1,19 +1,22 @@
 """Model calls at the edges: file descriptions, project synthesis and
-embeddings. Each has a deterministic JVM-side stand-in (so everything runs
+embeddings. Each has a deterministic stand-in (so everything runs
 offline and reproducibly) and a helper that runs a user-supplied function
 over Arrow batches in many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treesnap.functions.text import py_strip, salient_sentences
+from treesnap.session import bound_arrow_batches
 
 # Output budgets per call and default concurrency.
 DESCRIBE_MAX_TOKENS = 512
@@ -22,6 +25,7 @@ DEFAULT_CONCURRENCY = 10
 EMBED_DIM = 64
 CALL_ROWS = 16          # prompts in one model call
 ITEMS_PER_TASK = 1000   # files in one task
+BUCKET_WORDS = 200_000  # words whose buckets a task remembers
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
@@ -86,23 +90,50 @@ def describe_with(pending: DataFrame, complete: Callable[[list[str], int], list[
     return asked.withColumnRenamed("answer", "description").unionByName(skipped)
 
 
+class _Buckets(dict):
+    """Bucket of a word by md5, computed where missing; forgotten when full."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= BUCKET_WORDS:
+            self.clear()
+        self[word] = b = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big") % self.dim
+        return b
+
+
+def _unit_counts(dim: int):
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bucket = _Buckets(dim).__getitem__
+        for batch in batches:
+            out = []
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo:lo + 256].tolist()
+                words = " ".join(filter(None, part))
+                at = np.fromiter(map(bucket, words.split(" ") if words else ()), np.int64)
+                row = np.repeat(np.arange(len(part)), [t.count(" ") + 1 if t else 0 for t in part])
+                counts = np.bincount(row * dim + at, minlength=len(part) * dim).reshape(-1, dim)
+                # whole numbers, so their squares add up to the same in any order
+                size = np.sqrt((counts * counts).sum(axis=1).astype(float))[:, None]
+                out.extend(np.divide(counts, size, out=np.zeros(counts.shape), where=size > 0).astype(np.float32))
+            yield pd.Series(out, dtype=object)
+    return embed
+
+
 def hashed_embedding(text, dim: int = EMBED_DIM) -> Column:
     """Stand-in embedding: counts of lower-cased word tokens in ``dim``
     buckets by md5, L2-normalised (zeros for text without words)."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     tokens = F.regexp_extract_all(F.lower(t), F.lit(TOKEN_PATTERN), 0)
-    buckets = F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-
-    def unit(b: Column) -> Column:
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double"))
-        return F.transform(F.array(counts), lambda c: F.transform(F.array(F.sqrt(F.aggregate(
-            c, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))[0])[0]
-
-    return F.transform(F.array(buckets), unit)[0]
+    return _unit_counts(dim)(F.array_join(tokens, " "))   # letters and digits, so no token holds a blank
 
 
 def with_hashed_embedding(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
                           dim: int = EMBED_DIM) -> DataFrame:
+    bound_arrow_batches(df.sparkSession)
     return df.withColumn(out_col, hashed_embedding(F.col(text_col), dim))
 
 
