@@ -28,6 +28,30 @@ def test_py_strip(spark, s):
     assert one(spark, T.py_strip, s) == s.strip()
 
 
+def test_py_strip_looks_at_the_ends_only(spark):
+    every = "".join(chr(i) for i in range(0x3100) if chr(i).isspace())
+    df = spark.createDataFrame([(f"{every}a{every}b{every}",), (every,), ("\u200bx\u180e",)], "v string").select(T.py_strip("v").alias("r"))
+    assert [r["r"] for r in df.collect()] == [f"a{every}b", "", "\u200bx\u180e"]
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_longest_of_many_ties_and_nulls(spark):
+    found = [["b", "ä", "aa", "c", "dd"], [], None]
+    df = spark.createDataFrame([(x, n) for x in found for n in (0, 1, 2, 9)], "xs array<string>, n int")
+    for r in df.select("xs", "n", T.longest(F.col("xs"), F.col("n")).alias("r")).collect():
+        xs = r["xs"]
+        best = None if xs is None else sorted(sorted(range(len(xs)), key=lambda i: (-len(xs[i].encode()), i))[:r["n"]])
+        assert r["r"] == (None if best is None else [xs[i] for i in best])
+
+
+def test_pushes_cut_a_text_into_sentences_once(spark):
+    from treesnap.sources import tables as TB
+    docs = spark.createDataFrame([(1, "One. Two two! Three", "en", "src0")], "doc_id int, text string, lang string, source string")
+    pushes = TB.snapshot_pushes(docs)
+    assert '"src0/en/doc_1.txt":"Two two! Three","README.md":"Two two!"' in pushes.first()["value"]
+    assert pushes._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_sha256(spark):
     data = b"new content\n"
     got = one(spark, T.sha256_hex, bytearray(data), "binary")

@@ -96,15 +96,17 @@ def snapshot_pushes(documents: DataFrame) -> DataFrame:
     chunks); pushes are ordered by doc_id through ``generated_at``. Columns:
     doc_id, batch (0 for the first half of doc_ids, 1 for the rest), value."""
     from treesnap.functions import paths as P
-    from treesnap.functions.text import line_count, longest_line, salient_sentences, sentence_count
+    from treesnap.functions.text import joined, line_count, longest, longest_line, sentence_count, sentences
 
     n = documents.select(F.count(F.lit(1))).scalar()
     project = F.concat(F.col("source"), F.lit("-"), F.col("lang"))
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit(PUSH_EPOCH)) + F.col("doc_id"))
     gen = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
     path = doc_path()
-    desc = salient_sentences(F.col("text"), sentence_count(line_count(F.col("text"))))
-    readme = salient_sentences(F.col("text"), F.lit(1))
+    # a column of its own, read by both descriptions: the longest of the longest is the longest
+    documents = documents.withColumn("_sentences", longest(sentences("text"), sentence_count(line_count(F.col("text")))))
+    desc = joined(F.col("_sentences"))
+    readme = joined(longest(F.col("_sentences"), F.lit(1)))
     doc = F.struct(
         F.struct(project.alias("name"), gen.alias("generated_at"), F.lit(2).alias("file_count")).alias("metadata"),
         F.lit("").alias("instructions"),
