@@ -182,3 +182,35 @@ def test_word_hashes():
     words = "a bb a ccc \t\n bb a" + " " + "z" * 3000
     h = word_hashes(as_bytes(words))
     assert len(h) == 7 and h[0] == h[2] == h[5] and h[1] == h[4] and len(set(h)) == 4
+
+
+def test_block_hashes_and_word_places_match_the_plain_definition():
+    import random
+
+    import numpy as np
+
+    from treesnap.llm import line_dedup as LD
+    full, rng = 2 ** 64 - 1, random.Random(7)
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m & full
+        return x ^ x >> 33
+
+    def plain(part, salt):
+        blocks = [int.from_bytes(part[i:i + 8], "little") for i in range(0, len(part), 8)]
+        return mix((sum(mix(mix(b + salt & full) + i * LD._ODD & full) for i, b in enumerate(blocks)) + len(part) * LD._BACK) & full)
+
+    text = "".join(rng.choice(["a", "bc", "ß漢", " ", "\n", "\n\n", " \n ", "x" * rng.randint(1, 40)]) for _ in range(3000)).encode()
+    buf = np.frombuffer(text, np.uint8)
+    size = np.array([rng.randint(1, 40) for _ in range(300)] + [1, 7, 8, 9, 16, 17], np.int64)
+    begin = np.array([rng.randint(0, len(text) - 40) for _ in size], np.int64)
+    begin[-1], size[-1] = len(text) - 3, 3
+    for salt in (1, LD._BACK):
+        for only in (slice(None), size <= 8, size > 8):
+            got = LD._block_hashes(buf, begin[only], size[only], salt)
+            assert got.tolist() == [plain(text[b:b + n], salt) for b, n in zip(begin[only].tolist(), size[only].tolist())]
+    h, start, end, words, lines = LD.units_of(buf)
+    assert b"".join(text[a:b] for a, b in zip(start, end)) == text and words.sum() == len(text.split())
+    ended = np.cumsum(lines)
+    assert ended[-1] == sum(bool(x.split()) for x in text.split(b"\n"))
