@@ -7,8 +7,10 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -130,6 +132,29 @@ def test_encoder_equals_whole_texts():
         assert np.frombuffer(e(t), np.uint32).tolist() == e.model.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_equals_whole_texts_in_batches(monkeypatch):
+    e, rng = token_files.Encoder(BPE), random.Random(7)
+    monkeypatch.setattr(token_files, "_YOUNG_PIECES", 200)
+    parts = [" ", " ", "\n", "\n", "  ", "a", "Word", ",", "'s", "é", "7", "!"]
+    odd = ["\t", "的", "\x00", "\x01", "<|endoftext|>"]
+    for chars in (1, 40, 1 << 20):
+        monkeypatch.setattr(token_files, "_BATCH_CHARS", chars)
+        for extra in ([], odd):
+            texts = [None, "", *("".join(rng.choices(parts + extra, k=rng.randrange(14))) for _ in range(600)), None]
+            found = [np.frombuffer(x, np.uint32).tolist() for x in e.encode(texts)]
+            assert found == [e.model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert e.encode([]) == []
+
+
+def test_words_of_a_batch_are_cut_once(monkeypatch):
+    cut, find = [], token_files._PIECES
+    monkeypatch.setattr(token_files, "_PIECES", lambda text: cut.extend(got := find(text)) or got)
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = [f"{PROSE} {OTHER}\n{i}" for i in range(200)]
+    rows = pd.concat(token_files._token_rows(BPE, 0)(iter([pd.DataFrame({"__key": [str(i) for i in range(200)], "__text": texts})])))
+    assert rows["n"].sum() > 10_000 and len(cut) < 2_000   # once per text before
+
+
 def test_token_files(spark, messy, nothing):
     folder = scratch_path(spark, "t")
     token_files.write(messy, folder, BPE, block_ids=300)

@@ -20,9 +20,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,11 +39,20 @@ from treesnap.session import bound_arrow_batches, scratch_path
 BLOCK_IDS = 1 << 16
 END_ID = 0
 _YOUNG_PIECES = 600_000
+_BATCH_CHARS = 1 << 23  # of texts cut together, or of one text
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 # texts of these characters are cut into pieces here, all others by the tokenizer
 _OTHER = re.compile(f"[^\\n -~{_LETTERS}]").search
-# fixed value: how byte-level tokenizers cut a text, for those characters
-_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|[\\n ]+(?![^\\n ])|[\\n ]+").findall
+# characters that these texts do not have: a chunk's end, a text's start, a
+# blank inside white space
+_END, _START, _INNER = "\t", "\x00", "\x01"
+_NO_ID = 0xFFFFFFFF  # stands for a chunk's end among the ids
+# fixed value: how byte-level tokenizers cut a text, for those characters; a
+# chunk's end is a piece of its own and looks like white space to the one before
+_PIECES = re.compile(f"{_END}|'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|[\\n ]+(?![^\\n {_END}])|[\\n ]+").findall
+# blanks that begin no piece: white space on both sides, or before the text's end
+_BLANKS = re.compile("(?<=[\n ]) (?![^\n ])").sub
+_ID = attrgetter("id")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,12 +71,18 @@ class _Pieces(dict):
     def __init__(self, model):
         super().__init__()
         self.tokenize, self.older, self.spelling = model.model.tokenize, {}, _byte_letters()
+        self.blank = self.spelling[32]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.pop(piece, None)
-        if ids is None:
-            spelt = piece.encode().decode("latin-1").translate(self.spelling)
-            ids = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+        if piece == _END:
+            ids = array("I", [_NO_ID]).tobytes()
+        elif ids is None:
+            if piece.isascii() and "\n" not in piece:  # only the blank is spelt differently
+                spelt = piece.replace(" ", self.blank)
+            else:
+                spelt = piece.encode().decode("latin-1").translate(self.spelling)
+            ids = array("I", list(map(_ID, self.tokenize(spelt)))).tobytes()
         if len(self) >= _YOUNG_PIECES:
             self.older = dict(self)
             self.clear()
@@ -76,8 +95,11 @@ class Encoder:
 
     Texts of blanks, line breaks, ASCII signs and Latin letters are cut into
     pieces here, as the library's byte-level pre-tokenizer cuts them, and a piece is
-    encoded once while the bounded memory holds it. Texts with other characters
-    or an added token, and all texts of other kinds of tokenizers, are encoded whole."""
+    encoded once while the bounded memory holds it. Many texts together are first
+    cut at the blanks, where a piece always begins, and only their distinct chunks
+    are cut into pieces; blanks inside longer white space are left. Texts with other
+    characters or an added token, and all texts of other kinds of tokenizers, are
+    encoded whole."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -101,11 +123,50 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, without an end id."""
-        if not text:
-            return b""
-        if not self.known or _OTHER(text) or self.added(text):
-            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, _PIECES(text)))
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The same for each text."""
+        out, held, chars = [b""] * len(texts), [], 0
+
+        def flush():
+            for k, ids in zip(held, self._chunked([texts[k] for k in held]), strict=True):
+                out[k] = ids
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.known or _OTHER(text) or self.added(text):
+                out[i] = array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+                continue
+            if held and chars + len(text) > _BATCH_CHARS:
+                flush()
+                chars = 0
+            held.append(i)
+            chars += len(text)
+        if held:
+            flush()
+        return out
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut into pieces here."""
+        marked = [_START + (_BLANKS(_INNER, t) if "  " in t or "\n \n" in t or t.endswith("\n ") else t) for t in texts]
+        lists = pc.split_pattern(pa.array(marked, pa.string()), " ")
+        chunks = lists.values.dictionary_encode()
+        every = pa.ListArray.from_arrays([0, len(chunks.dictionary)], chunks.dictionary)
+        joined = f" {pc.binary_join(every, f'{_END} ')[0]}{_END}".replace(f" {_START}", "").replace(_INNER, " ")
+        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, _PIECES(joined))), np.uint32)
+        ends = np.flatnonzero(ids == _NO_ID)
+        sizes = np.diff(ends, prepend=-1) - 1
+        code = chunks.indices.to_numpy()
+        n = sizes.take(code)
+        stops = np.cumsum(n)
+        at = np.repeat((ends - sizes).take(code) - (stops - n), n)
+        at += np.arange(len(at))
+        raw = ids.take(at).tobytes()
+        bounds = np.append(0, 4 * stops[lists.offsets.to_numpy()[1:] - 1]).tolist()
+        return [raw[a:b] for a, b in pairwise(bounds)]
 
 
 def _token_rows(path: str, end_id: int):
@@ -113,9 +174,10 @@ def _token_rows(path: str, end_id: int):
         encoder, part, seq, at, total = Encoder.load(path), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int64)
         end = np.array([end_id], np.uint32).tobytes()
         for b in batches:
+            found = encoder.encode(b["__text"].tolist())
             for lo in range(0, len(b), 256):
                 piece = b.iloc[lo:lo + 256]
-                ids = [encoder(t) + end for t in piece["__text"]]
+                ids = [x + end for x in found[lo:lo + 256]]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 whole = np.frombuffer(b"".join(ids), np.uint32)
                 got = np.bincount(whole, minlength=len(total))
